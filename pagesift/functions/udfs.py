@@ -22,14 +22,19 @@ FOLD_SCHEMA = T.StructType([
 ])
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
+def _unescape(s: pd.Series) -> pd.Series:
     """Decode named and numeric character references (HTML5 rules)."""
     return s.map(lambda x: None if x is None else (_html.unescape(x) if "&" in x else x))
 
 
-@F.pandas_udf(FOLD_SCHEMA)
-def fold_events(tokens: pd.Series) -> pd.DataFrame:
+# Both UDFs are pure, but are declared non-deterministic so that Catalyst
+# evaluates each exactly once per row: otherwise a filter on a column
+# derived from them is pushed below the projection (and the scan-side
+# repartition) and the UDF runs a second time there.
+html_unescape = F.pandas_udf(_unescape, T.StringType()).asNondeterministic()
+
+
+def _fold(tokens: pd.Series) -> pd.DataFrame:
     """Token array -> struct of parallel event arrays (see ``fold.fold_tokens``)."""
     keys = ("kind", "name", "token", "synthetic", "tag", "cls", "anc", "run")
     cols = {k: [] for k in keys}
@@ -37,3 +42,6 @@ def fold_events(tokens: pd.Series) -> pd.DataFrame:
         for k, v in zip(keys, fold_tokens(None if toks is None else list(toks))):
             cols[k].append(v)
     return pd.DataFrame(cols)
+
+
+fold_events = F.pandas_udf(_fold, FOLD_SCHEMA).asNondeterministic()

@@ -24,8 +24,22 @@ GOLD_SCHEMA = T.StructType([
 ])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+
+    Large inputs are split by the file source into many partitions and pass
+    through untouched; a small file with one row group would otherwise run
+    every narrow per-page step (entity decoding, the fold) in a single task.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("pages", "documents") else df
 
 
 def read_html_folder(spark: SparkSession, folder: str) -> DataFrame:
