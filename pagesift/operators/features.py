@@ -84,37 +84,43 @@ def zscore(x, mean, std):
     return (x - mean) / F.when(std > 0, std).otherwise(F.lit(1.0))
 
 
+def step_normalised(vectors: DataFrame) -> DataFrame:
+    """S-08 moved to the term table: a step's 30 tag (or class) values are one
+    term's vector, so their per-step min-max (with the +eps shift) is a
+    property of the term and is computed once per term, not per node."""
+    eps = C.MINMAX_EPS
+    lo, hi = F.array_min("vector"), F.array_max("vector")
+    mm = F.transform("vector", lambda x: ((x + eps) - (lo + eps)) / ((hi - lo) + eps))
+    return vectors.select("term", mm.alias("vector"))
+
+
 def model_vectors(nodes: DataFrame, vmap: DataFrame, params: DataFrame,
                   max_steps: int = C.MAX_STEPS, maps_in_rows: bool = False) -> DataFrame:
     """E-02/E-03/E-10/S-14/S-15: the normalised 15 x 62 input of a node, flattened.
 
-    ``vmap`` is a one-row table with ``tvec`` / ``cvec`` maps term -> vector
-    (size-checked by the caller, joined as a broadcast); ``params`` the one
-    row of ``norm_params``. Steps past the path are padding: zero vectors
-    and the z-score of zero, as in a zero-padded tensor.
+    ``vmap`` is a one-row table with ``tvec`` / ``cvec`` maps term -> step-
+    normalised vector (size-checked by the caller, joined as a broadcast);
+    ``params`` the one row of ``norm_params``. Steps past the path are
+    padding: zero vectors and the z-score of zero, as in a zero-padded tensor.
+    A term missing from a map (only possible for hand-built maps) is zeros.
     """
     d = C.EMBED_DIM
-    eps = C.MINMAX_EPS
     zero = F.array_repeat(F.lit(0.0), d)
-    j = nodes.crossJoin(F.broadcast(vmap)).crossJoin(F.broadcast(params))
+    j = nodes if maps_in_rows else nodes.crossJoin(F.broadcast(vmap))
+    j = j.crossJoin(F.broadcast(params))
     zl = zscore(F.col("text_len").cast("double"), F.col("text_length_mean"), F.col("text_length_std"))
     zp = zscore(F.col("punct").cast("double"), F.col("punctuation_nb_mean"), F.col("punctuation_nb_std"))
     pad_l = zscore(F.lit(0.0), F.col("text_length_mean"), F.col("text_length_std"))
     pad_p = zscore(F.lit(0.0), F.col("punctuation_nb_mean"), F.col("punctuation_nb_std"))
-
-    def mm(v):
-        lo, hi = F.array_min(v), F.array_max(v)
-        return F.transform(v, lambda x: ((x + eps) - (lo + eps)) / ((hi - lo) + eps))
-
     step = F.transform(
         F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c")),
-        lambda s: F.concat(mm(F.coalesce(F.element_at(F.col("tvec"), s["t"]), zero)),
-                           mm(F.coalesce(F.element_at(F.col("cvec"), s["c"]), zero)),
+        lambda s: F.concat(F.coalesce(F.element_at(F.col("tvec"), s["t"]), zero),
+                           F.coalesce(F.element_at(F.col("cvec"), s["c"]), zero),
                            F.array(zl, zp)))
     pad = F.concat(F.array_repeat(F.lit(0.0), 2 * d), F.array(pad_l, pad_p))
     n_pad = F.lit(max_steps) - F.size("step_tag")
     flat = F.concat(F.flatten(step), F.flatten(F.array_repeat(pad, n_pad)))
-    keep = [c for c in nodes.columns if c not in ("step_tag", "step_class", "step_pos", "tvec", "cvec", "_one")]
+    keep = [c for c in nodes.columns if c not in ("step_tag", "step_class", "step_pos", "tvec", "cvec")]
     return j.select(*keep, flat.alias("x"))
 
 
@@ -135,8 +141,7 @@ def model_vectors_join(nodes: DataFrame, tag_vectors: DataFrame, class_vectors:
                  F.map_from_arrays(F.transform("g", lambda s: s["t"]), F.transform("g", lambda s: s["tv"])).alias("tvec"),
                  F.map_from_arrays(F.transform("g", lambda s: s["c"]), F.transform("g", lambda s: s["cv"])).alias("cvec"))
     base = nodes.drop("step_tag", "step_class").join(g, ["page_id", "pos"])
-    one = base.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    return model_vectors(base, one, params, max_steps, maps_in_rows=True)
+    return model_vectors(base, None, params, max_steps, maps_in_rows=True)
 
 
 def vector_maps(tag_vectors: DataFrame, class_vectors: DataFrame, max_terms: int) -> DataFrame | None:

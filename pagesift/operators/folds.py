@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagesift import config as C
 from pagesift.config import Options
+from pagesift.session import materialize
 
 
 def fold_hash(seed: int, *keys: str):
@@ -33,7 +34,7 @@ def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"
     s = df.withColumn("_h", fold_hash(opts.seed, *keys)).repartitionByRange(label, "_h", *keys) \
           .sortWithinPartitions(label, "_h", *keys)
     s = s.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    s = s.checkpoint()  # fixes partition ids and row ids for the two uses below
+    s = materialize(s, "folds")  # fixes partition ids and row ids for the two uses below
     cnt = s.groupBy("_p", label).agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
     w = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # bounded: partitions x labels

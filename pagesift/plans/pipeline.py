@@ -19,7 +19,7 @@ from pagesift.operators import folds as FO
 from pagesift.operators import model as MD
 from pagesift.operators import vocab as V
 from pagesift.plans import queries as Q
-from pagesift.session import ensure_checkpoint_dir
+from pagesift.session import ensure_checkpoint_dir, materialize
 
 OPTS = Options()
 
@@ -29,9 +29,9 @@ def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS) -> tup
     steps = nodes.select(F.explode(F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c"))).alias("s"))
     tag_terms = steps.select(F.col("s.t").alias("term")).distinct()
     cls_terms = steps.select(F.col("s.c").alias("term")).distinct()
-    tv = V.term_vectors(tag_terms, V.tag_vocab(pages))
-    cv = V.term_vectors(cls_terms, V.class_vocab(pages))
-    params = FE.norm_params(nodes, opts.max_steps)
+    tv = materialize(FE.step_normalised(V.term_vectors(tag_terms, V.tag_vocab(pages))), "tag-vectors")
+    cv = materialize(FE.step_normalised(V.term_vectors(cls_terms, V.class_vocab(pages))), "class-vectors")
+    params = materialize(FE.norm_params(nodes, opts.max_steps), "norm-params")
     vmap = FE.vector_maps(tv, cv, opts.vocab_broadcast_max_terms)
     if vmap is None:
         return FE.model_vectors_join(nodes, tv, cv, params, opts.max_steps), params
@@ -39,12 +39,15 @@ def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS) -> tup
 
 
 def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataFrame:
-    """E-08: labelled non-empty nodes with folds and ``features``, checkpointed (it is read per fold)."""
+    """E-08: labelled non-empty nodes with folds and ``features`` (read once per fold and pass)."""
     ensure_checkpoint_dir(spark)
-    nodes = Q.labelled_nodes(spark, sf).checkpoint()
+    from pyspark import StorageLevel
+    nodes = materialize(Q.labelled_nodes(spark, sf), "labelled-nodes")
     folded = FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts)
     vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
-    return MD.with_features(vec).checkpoint()
+    # narrow over parquet + broadcast maps: cached for the passes of the fits,
+    # recomputed from the written tables if an executor is lost
+    return MD.with_features(vec).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def cv_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,13 +60,12 @@ def scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
     m = training_matrix(spark, sf)
     model, pw = MD.fit(m)
     return B.apply_rules(MD.score(model, m, pw)).select(
-        "page_id", "pos", "label", "fold", F.round("prob", 6).alias("prob"), "pred", "accept")
+        "page_id", "pos", "label", "fold", F.round("prob", 6).alias("prob"), "pred", "accept", "content")
 
 
 def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """T-07/T-08: the main body text of every page (fit on all labelled nodes, then score)."""
-    return B.assemble(scored_nodes(spark, sf).join(
-        Q.labelled_nodes(spark, sf).select("page_id", "pos", "content"), ["page_id", "pos"]))
+    return B.assemble(scored_nodes(spark, sf))
 
 
 def w2v_vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,3 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="pagesift-ckpt-")  # tests / local runs only
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df, tag: str = "stage"):
+    """Cut lineage: write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Unlike ``checkpoint()`` on an unpersisted plan this computes the input
+    once; the files survive the loss of any executor.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/pagesift-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
