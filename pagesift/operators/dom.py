@@ -71,10 +71,14 @@ def page_events(cleaned: DataFrame, opts: Options = Options()) -> DataFrame:
     once Catalyst collapses the projections. Index lookups (``anc``) only
     touch arrays produced by the fold, which are materialised.
     """
-    ok = tokens(cleaned.filter(F.col("status") == "ok"))
+    # Unusable pages reach the fold with no tokens and are dropped on its
+    # output: a filter on ``status`` here would be pushed through the cleaning
+    # projection and evaluate the cleaning regexes a second time.
+    ok = cleaned.withColumn("toks", F.when(F.col("status") == "ok",
+                                           F.regexp_extract_all("html", F.lit(C.TOKEN_RE), 0)))
     extra = [c for c in cleaned.columns if c not in ("page_id", "url", "html", "visible_len", "status", "toks")]
     ev = ok.select("page_id", "url", *extra, fold_events("toks").alias("ev"))
-    ev = ev.select("page_id", "url", *extra, "ev.*")
+    ev = ev.select("page_id", "url", *extra, "ev.*").filter(F.size("kind") > 0)
     raw = F.expr(
         "transform(arrays_zip(kind, name, token), e -> CASE WHEN e.kind = 'start' THEN "
         + X.canonical_raw_sql("e.token", "e.name")
