@@ -2,12 +2,13 @@
 
 A node's fold is ``rank % k`` where ``rank`` orders the nodes of one label
 by md5(seed#key). The rank is computed without a window partitioned by
-label (that would put a whole class into one task): the rows are
-range-sorted by (label, hash) — a balanced, distributed sort — the sorted
-table is checkpointed, and each row's rank is its offset inside its sort
-partition plus the sizes of the earlier partitions of the same label,
-taken from a table of (partition, label) counts whose size is bounded by
-the number of partitions.
+label (that would put a whole class into one task). The leading hex digits
+of the hash give a bucket that is monotone in the hash and uniform by
+construction, so ``repartition(label, bucket)`` spreads every label over
+all tasks without a sampling pass. Inside a partition rows are sorted by
+(label, bucket, hash); a row's rank is its offset inside its (label,
+bucket) run plus the sizes of the earlier buckets of its label, taken from
+a count table bounded by labels x buckets.
 """
 
 from __future__ import annotations
@@ -25,22 +26,34 @@ def fold_hash(seed: int, *keys: str):
 
 
 def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"),
-                     opts: Options = Options()) -> DataFrame:
-    """Add ``fold`` in [0, n_folds): per label, folds differ in size by at most one."""
+                     opts: Options = Options(), n_buckets: int | None = None,
+                     stable_input: bool = False) -> DataFrame:
+    """Add ``fold`` in [0, n_folds): per label, folds differ in size by at most one.
+
+    The sorted table is read twice (counts, then ranks). Unless the input is
+    already a written table (``stable_input``), it is written once to the
+    shared checkpoint folder so the upstream pipeline is not run twice.
+    """
     k = opts.n_folds
     if opts.fold_group:
         h = F.conv(F.substring(fold_hash(opts.seed, opts.fold_group), 1, 7), 16, 10).cast("bigint")
         return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
-    s = df.withColumn("_h", fold_hash(opts.seed, *keys)).repartitionByRange(label, "_h", *keys) \
-          .sortWithinPartitions(label, "_h", *keys)
-    s = s.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    s = materialize(s, "folds")  # fixes partition ids and row ids for the two uses below
-    cnt = s.groupBy("_p", label).agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
-    w = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # bounded: partitions x labels
-    out = s.join(F.broadcast(cnt.select("_p", label, "_m0", "_off")), ["_p", label])
+    spark = df.sparkSession
+    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    h = fold_hash(opts.seed, *keys)
+    bucket = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32) * n).cast("int")
+    s = (df.withColumn("_h", h).withColumn("_b", bucket)
+           .repartition(n, label, "_b")
+           .sortWithinPartitions(label, "_b", "_h", *keys)
+           .withColumn("_m", F.monotonically_increasing_id()))
+    if not stable_input:
+        s = materialize(s, "folds")
+    cnt = s.groupBy(label, "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # labels x buckets rows
+    out = s.join(F.broadcast(cnt.select(label, "_b", "_m0", "_off")), [label, "_b"])
     rank = F.col("_off") + (F.col("_m") - F.col("_m0"))
-    return out.withColumn("fold", F.pmod(rank, F.lit(k)).cast("int")).drop("_h", "_p", "_m", "_m0", "_off")
+    return out.withColumn("fold", F.pmod(rank, F.lit(k)).cast("int")).drop("_h", "_b", "_m", "_m0", "_off")
 
 
 def pos_weight_expr(pos, neg, how: str = "share"):

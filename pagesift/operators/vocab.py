@@ -44,29 +44,34 @@ def class_vocab(pages: DataFrame) -> DataFrame:
     return t.groupBy("term").agg(F.count("*").alias("uses"))
 
 
-def ngram_rows(terms: DataFrame) -> DataFrame:
-    """(term, ngram) for n in 3..6 over '<term>' (none for very short terms)."""
+def ngram_rows(terms: DataFrame, keys=("term",)) -> DataFrame:
+    """(keys..., ngram) for n in 3..6 over '<term>' (none for very short terms)."""
     w = F.concat(F.lit("<"), F.col("term"), F.lit(">"))
     grams = F.expr(
         f"flatten(transform(sequence({C.NGRAM_MIN}, {C.NGRAM_MAX}), n -> "
         f"CASE WHEN length(w) >= n THEN transform(sequence(1, length(w) - n + 1), i -> substring(w, i, n)) "
         f"ELSE array() END))")
-    return terms.select("term", w.alias("w")).select("term", F.explode_outer(grams).alias("ngram"))
+    return terms.select(*keys, w.alias("w")).select(*keys, F.explode_outer(grams).alias("ngram"))
 
 
-def hash_vectors(terms: DataFrame) -> DataFrame:
-    """E-05 long form: (term, dim, value); a term without n-grams is the zero vector."""
-    g = ngram_rows(terms.select("term").distinct())
-    g = g.select("term", "ngram", F.explode(F.sequence(F.lit(0), F.lit(C.EMBED_DIM - 1))).alias("dim"))
+def hash_vectors(terms: DataFrame, keys=("term",)) -> DataFrame:
+    """E-05 long form: (keys..., dim, value); a term without n-grams is the zero vector.
+
+    ``keys`` may add a namespace column (e.g. ``kind``) so several
+    vocabularies are embedded in one pass."""
+    keys = list(keys)
+    g = ngram_rows(terms.select(*keys).distinct(), keys)
+    g = g.select(*keys, "ngram", F.explode(F.sequence(F.lit(0), F.lit(C.EMBED_DIM - 1))).alias("dim"))
     h = F.conv(F.substring(F.md5(F.concat_ws("#", "ngram", F.col("dim").cast("string"))), 1, 7), 16, 10)
     u = (h.cast("double") / float(0xFFFFFFF)) * (2.0 / C.EMBED_DIM) - (1.0 / C.EMBED_DIM)
     v = F.when(F.col("ngram").isNull(), F.lit(0.0)).otherwise(u)
-    return g.select("term", "dim", v.alias("v")).groupBy("term", "dim").agg(F.avg("v").alias("value"))
+    return g.select(*keys, "dim", v.alias("v")).groupBy(*keys, "dim").agg(F.avg("v").alias("value"))
 
 
-def wide(long: DataFrame, key: str = "term") -> DataFrame:
+def wide(long: DataFrame, key="term") -> DataFrame:
     """(term, dim, value) -> (term, vector array<double>) ordered by dim."""
-    return long.groupBy(key).agg(
+    key = [key] if isinstance(key, str) else list(key)
+    return long.groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("vector"))
 
 
@@ -76,11 +81,12 @@ def minmax_vector(col):
     return F.transform(col, lambda x: F.coalesce((x - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0)))
 
 
-def minmax_vectors(long: DataFrame) -> DataFrame:
+def minmax_vectors(long: DataFrame, keys=("term",)) -> DataFrame:
     """S-16 long form of min-max normalised vectors."""
-    w = wide(long)
-    w = w.select("term", minmax_vector(F.col("vector")).alias("vector"))
-    return w.select("term", F.posexplode("vector").alias("dim", "value"))
+    keys = list(keys)
+    w = wide(long, keys)
+    w = w.select(*keys, minmax_vector(F.col("vector")).alias("vector"))
+    return w.select(*keys, F.posexplode("vector").alias("dim", "value"))
 
 
 def term_vectors(terms: DataFrame, vocab_terms: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataF
     ensure_checkpoint_dir(spark)
     from pyspark import StorageLevel
     nodes = materialize(Q.labelled_nodes(spark, sf), "labelled-nodes")
-    folded = FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts)
+    folded = FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts, stable_input=True)
     vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
     # narrow over parquet + broadcast maps: cached for the passes of the fits,
     # recomputed from the written tables if an executor is lost

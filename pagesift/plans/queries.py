@@ -19,6 +19,7 @@ from pagesift.operators import folds as FO
 from pagesift.operators import labels as LB
 from pagesift.operators import metrics as M
 from pagesift.operators import vocab as V
+from pagesift.session import materialize
 from pagesift.sources.io import read_table
 
 OPTS = Options()
@@ -181,36 +182,32 @@ def q_fold_weights(spark, sf):
 
 
 def _vocab_terms(spark, sf) -> DataFrame:
-    p = _pages(spark, sf)
-    return V.tag_vocab(p).select(F.lit("tag").alias("kind"), "term") \
-            .unionByName(V.class_vocab(p).select(F.lit("class").alias("kind"), "term"))
+    """(kind, term) of both vocabularies from one scan of the raw pages."""
+    tags = V.raw_start_tags(_pages(spark, sf))
+    name = F.lower(F.regexp_extract("t", r"^<([A-Za-z][^\s/>]*)", 1))
+    cls = F.trim(F.regexp_replace(F.regexp_extract("t", V.CLASS_ATTR_RE, 1), r"\s+", " "))
+    both = tags.select(F.explode(F.array(F.struct(F.lit("tag").alias("kind"), name.alias("term")),
+                                         F.struct(F.lit("class").alias("kind"), cls.alias("term")))).alias("k"))
+    return both.select("k.*").filter(F.col("term") != "").distinct()
 
 
 def q_hash_vectors(spark, sf):
-    voc = _vocab_terms(spark, sf)
-    out = []
-    for kind in ("tag", "class"):
-        hv = V.hash_vectors(voc.filter(F.col("kind") == kind))
-        out.append(hv.select(F.lit(kind).alias("kind"), "term", big(F.col("dim")).alias("dim"), r6(F.col("value")).alias("value")))
-    return out[0].unionByName(out[1])
+    hv = V.hash_vectors(_vocab_terms(spark, sf), ("kind", "term"))
+    return hv.select("kind", "term", big(F.col("dim")).alias("dim"), r6(F.col("value")).alias("value"))
 
 
 def q_minmax_vectors(spark, sf):
-    voc = _vocab_terms(spark, sf)
-    out = []
-    for kind in ("tag", "class"):
-        mm = V.minmax_vectors(V.hash_vectors(voc.filter(F.col("kind") == kind)))
-        out.append(mm.select(F.lit(kind).alias("kind"), "term", big(F.col("dim")).alias("dim"), r6(F.col("value")).alias("value")))
-    return out[0].unionByName(out[1])
+    mm = V.minmax_vectors(V.hash_vectors(_vocab_terms(spark, sf), ("kind", "term")), ("kind", "term"))
+    return mm.select("kind", "term", big(F.col("dim")).alias("dim"), r6(F.col("value")).alias("value"))
 
 
 def q_vocab_misses(spark, sf):
+    """J-06 in one pass over the node rows: (kind, term) pairs absent from the vocabularies."""
     n = D.explode_nodes(_events(spark, sf))
-    voc = _vocab_terms(spark, sf)
-    tags = V.vocab_misses(n.select(F.col("tag").alias("term")), voc.filter(F.col("kind") == "tag"))
-    cls = V.vocab_misses(n.select(F.col("class_name").alias("term")).filter(F.col("term") != ""),
-                         voc.filter(F.col("kind") == "class"))
-    return tags.select(F.lit("tag").alias("kind"), "term").unionByName(cls.select(F.lit("class").alias("kind"), "term"))
+    used = n.select(F.explode(F.array(F.struct(F.lit("tag").alias("kind"), F.col("tag").alias("term")),
+                                      F.struct(F.lit("class").alias("kind"), F.col("class_name").alias("term")))).alias("k"))
+    used = used.select("k.*").filter(F.col("term") != "").distinct()
+    return used.join(_vocab_terms(spark, sf), ["kind", "term"], "left_anti")
 
 
 def q_norm_params(spark, sf):
@@ -221,7 +218,8 @@ def q_norm_params(spark, sf):
 
 
 def q_zscores(spark, sf):
-    n = _nonempty(spark, sf)
+    # two passes (global statistics, then per node): the nodes are written once
+    n = materialize(_nonempty(spark, sf), "zscore-nodes")
     p = FE.norm_params(n, OPTS.max_steps)
     j = n.crossJoin(F.broadcast(p))  # one row
     zl = FE.zscore(F.col("text_len").cast("double"), F.col("text_length_mean"), F.col("text_length_std"))
