@@ -159,7 +159,7 @@ runs AS (
   FROM own WHERE owner IS NOT NULL GROUP BY page_id, owner
 ),
 evr AS (
-  SELECT e.*, regexp_replace({escape("replace(" + decode("coalesce(r.run, '')") + ", '\\\\', '')")}, '{STRIP_RE}', '', 'g') AS r
+  SELECT e.*, regexp_replace({escape("replace(" + decode("coalesce(r.run, '')") + ", '\\', '')")}, '{STRIP_RE}', '', 'g') AS r
   FROM ev e LEFT JOIN runs r ON r.page_id = e.page_id AND r.pos = e.pos
 ),
 nd AS (
