@@ -86,4 +86,8 @@ class Options:
     fold_group: str | None = None  # None = folds per node, 'page_id' = whole pages per fold
     n_folds: int = N_FOLDS
     seed: int = FOLD_SEED
-    vocab_broadcast_max_terms: int = 200_000  # above this, vectors are computed in place
+    vocab_broadcast_max_terms: int = 200_000  # above this, vectors are joined by term (shuffle)
+    # T-09 classifier hyper-parameters (rounds = the original's epoch budget)
+    max_iter: int = 30
+    reg_param: float = 1e-4
+    tol: float = 1e-6

@@ -19,8 +19,9 @@ from pagesift.functions import text as X
 def gold_table(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, lang, ...) -> gold(doc_id, lang, gold_norm, gold_len).
 
-    One row per key (first wins by the given order column when duplicates
-    exist is handled by ``first_gold``); ``gold_norm`` keeps word characters only.
+    ``doc_id`` is the table's key. Gold read from line files, where a key can
+    repeat, is first reduced to one row per key by ``sources.io.first_gold_per_key``
+    (an aggregate, J-01 first match). ``gold_norm`` keeps word characters only.
     """
     return documents.select(
         "doc_id", "lang", X.normalise_gold(F.col("text")).alias("gold_norm"),

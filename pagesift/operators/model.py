@@ -19,9 +19,9 @@ from pagesift.operators import folds as FO
 from pagesift.operators import metrics as M
 
 
-def default_classifier(max_iter: int = 30):
+def default_classifier(opts: Options = Options()):
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
-                              maxIter=max_iter, regParam=1e-4, tol=1e-6)
+                              maxIter=opts.max_iter, regParam=opts.reg_param, tol=opts.tol)
 
 
 def with_features(vectors: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def fit(train: DataFrame, opts: Options = Options(), classifier=None):
     c = train.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     pw = FO.pos_weight_expr(F.lit(c["p"]), F.lit(c["n"] - c["p"]), opts.pos_weight)
     pw_val = train.sparkSession.range(1).select(pw.alias("pw")).first()["pw"] or 1.0
-    clf = classifier or default_classifier()
+    clf = classifier or default_classifier(opts)
     model = clf.fit(train.withColumn("w", FO.weight_col(F.col("label"), F.lit(pw_val))))
     return model, pw_val
 
@@ -64,9 +64,29 @@ def cross_validate(folded: DataFrame, opts: Options = Options(), classifier=None
                                        M.f1_expr(F.col("label"), F.col("pred")).alias("f1"),
                                        F.count("*").alias("n")).first()
         rows.append((k, float(tr["l"]), float(va["l"]), float(va["f1"]), int(va["n"]), float(pw)))
+    # A-13 overall row (fold NULL): means over the folds
+    m = len(rows)
+    rows.append((None, sum(r[1] for r in rows) / m, sum(r[2] for r in rows) / m, sum(r[3] for r in rows) / m,
+                 sum(r[4] for r in rows), sum(r[5] for r in rows) / m))
     return spark.createDataFrame(rows, "fold int, train_loss double, val_loss double, f1 double, n_val long, pos_weight double")
 
 
+def tune(folded: DataFrame, grid=None, opts: Options = Options(), classifier=None):
+    """T-02/T-09 alternative: Spark ML ``CrossValidator`` over the same folds
+    (``foldCol``), scored by F1 of class 1; returns the fitted CrossValidatorModel.
+    ``folded`` needs ``features``, ``label``, ``fold`` and the weight column ``w``."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    clf = classifier or default_classifier(opts)
+    if grid is None:
+        grid = ParamGridBuilder().addGrid(clf.regParam, [opts.reg_param, 1e-2]).build()
+    ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
+                                           metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=clf, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
+                        numFolds=opts.n_folds, seed=opts.seed)
+    return cv.fit(folded)
+
+
 def save_model(model, path: str) -> None:
     """IO-10."""
     model.write().overwrite().save(path)
