@@ -84,6 +84,26 @@ def zscore(x, mean, std):
     return (x - mean) / F.when(std > 0, std).otherwise(F.lit(1.0))
 
 
+def used_terms(nodes: DataFrame) -> DataFrame:
+    """Distinct (kind, term) pairs on the nodes' path steps (map-side combined)."""
+    st = nodes.select(F.explode(F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c"))).alias("s"))
+    both = st.select(F.explode(F.array(F.struct(F.lit("tag").alias("kind"), F.col("s.t").alias("term")),
+                                       F.struct(F.lit("class").alias("kind"), F.col("s.c").alias("term")))).alias("k"))
+    return both.select("k.*").distinct()
+
+
+def vector_maps_kind(vectors: DataFrame, max_terms: int) -> DataFrame | None:
+    """One-row (tvec, cvec) maps from a (kind, term, vector) table, or None when
+    a kind has more than ``max_terms`` terms (the proven bound on the broadcast)."""
+    n = vectors.groupBy("kind").count().collect()  # at most two rows
+    if any(r["count"] > max_terms for r in n):
+        return None
+    ent = F.struct("term", "vector")
+    return vectors.agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "tag", ent))).alias("tvec"),
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "class", ent))).alias("cvec"))
+
+
 def step_normalised(vectors: DataFrame) -> DataFrame:
     """S-08 moved to the term table: a step's 30 tag (or class) values are one
     term's vector, so their per-step min-max (with the +eps shift) is a
@@ -91,7 +111,8 @@ def step_normalised(vectors: DataFrame) -> DataFrame:
     eps = C.MINMAX_EPS
     lo, hi = F.array_min("vector"), F.array_max("vector")
     mm = F.transform("vector", lambda x: ((x + eps) - (lo + eps)) / ((hi - lo) + eps))
-    return vectors.select("term", mm.alias("vector"))
+    keys = [c for c in vectors.columns if c != "vector"]
+    return vectors.select(*keys, mm.alias("vector"))
 
 
 def model_vectors(nodes: DataFrame, vmap: DataFrame, params: DataFrame,

@@ -31,8 +31,9 @@ def with_features(vectors: DataFrame) -> DataFrame:
 def fit(train: DataFrame, opts: Options = Options(), classifier=None):
     """T-01/T-03: fit on rows with ``features`` and ``label``; returns (model, pos_weight)."""
     c = train.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
-    pw = FO.pos_weight_expr(F.lit(c["p"]), F.lit(c["n"] - c["p"]), opts.pos_weight)
-    pw_val = train.sparkSession.range(1).select(pw.alias("pw")).first()["pw"] or 1.0
+    pos, neg = int(c["p"] or 0), int(c["n"] - (c["p"] or 0))
+    den = pos if opts.pos_weight == "ratio" else pos + neg
+    pw_val = (neg / den) if den else 1.0
     clf = classifier or default_classifier(opts)
     model = clf.fit(train.withColumn("w", FO.weight_col(F.col("label"), F.lit(pw_val))))
     return model, pw_val

@@ -44,6 +44,16 @@ def class_vocab(pages: DataFrame) -> DataFrame:
     return t.groupBy("term").agg(F.count("*").alias("uses"))
 
 
+def vocab_terms(pages: DataFrame) -> DataFrame:
+    """(kind, term) of both vocabularies (A-01 tags, A-02 classes) from one scan of the raw pages."""
+    name = F.lower(F.regexp_extract("t", r"^<([A-Za-z][^\s/>]*)", 1))
+    cls = F.trim(F.regexp_replace(F.regexp_extract("t", CLASS_ATTR_RE, 1), r"\s+", " "))
+    both = raw_start_tags(pages).select(F.explode(F.array(
+        F.struct(F.lit("tag").alias("kind"), name.alias("term")),
+        F.struct(F.lit("class").alias("kind"), cls.alias("term")))).alias("k"))
+    return both.select("k.*").filter(F.col("term") != "").distinct()
+
+
 def ngram_rows(terms: DataFrame, keys=("term",)) -> DataFrame:
     """(keys..., ngram) for n in 3..6 over '<term>' (none for very short terms)."""
     w = F.concat(F.lit("<"), F.col("term"), F.lit(">"))
@@ -98,6 +108,15 @@ def term_vectors(terms: DataFrame, vocab_terms: DataFrame) -> DataFrame:
     return v.select("term", vec.alias("vector"))
 
 
+def kind_term_vectors(used: DataFrame, vocab: DataFrame) -> DataFrame:
+    """J-04/J-05 for both kinds at once: (kind, term, vector) for the used
+    (kind, term) pairs; vocabulary terms min-max normalised (S-16), others raw."""
+    v = wide(hash_vectors(used, ("kind", "term")), ("kind", "term"))
+    v = v.join(vocab.select("kind", "term", F.lit(True).alias("in_vocab")).distinct(), ["kind", "term"], "left")
+    vec = F.when(F.col("in_vocab"), minmax_vector(F.col("vector"))).otherwise(F.col("vector"))
+    return v.select("kind", "term", vec.alias("vector"))
+
+
 def vocab_misses(node_terms: DataFrame, vocab_terms: DataFrame) -> DataFrame:
     """J-06: terms used by nodes that the vocabulary lacks."""
     return node_terms.select("term").distinct().join(vocab_terms.select("term"), "term", "left_anti")

@@ -36,12 +36,6 @@ def page_rows(pages: DataFrame, opts: Options = Options()) -> DataFrame:
     return D.page_events(D.clean_pages(pages), opts)
 
 
-def vocab_terms(pages: DataFrame) -> DataFrame:
-    """(kind, term) of the tag and class vocabularies of a corpus (A-01, A-02)."""
-    return (V.tag_vocab(pages).select(F.lit("tag").alias("kind"), "term")
-            .unionByName(V.class_vocab(pages).select(F.lit("class").alias("kind"), "term")))
-
-
 def with_validation_split(df: DataFrame, share: float = 0.1, seed: int = 42,
                           col: str = "is_val") -> DataFrame:
     """T-05 helper: a deterministic per-page hold-out flag for early stopping."""
@@ -75,15 +69,12 @@ class BodyExtractor:
 
     # -- features ---------------------------------------------------------
     def _vectors(self, nodes: DataFrame) -> DataFrame:
-        steps = nodes.select(F.explode(F.arrays_zip(F.col("step_tag").alias("t"),
-                                                    F.col("step_class").alias("c"))).alias("s"))
-        tag_terms = steps.select(F.col("s.t").alias("term")).distinct()
-        cls_terms = steps.select(F.col("s.c").alias("term")).distinct()
-        voc = self.vocab
-        tv = materialize(FE.step_normalised(V.term_vectors(tag_terms, voc.filter(F.col("kind") == "tag"))), "tv")
-        cv = materialize(FE.step_normalised(V.term_vectors(cls_terms, voc.filter(F.col("kind") == "class"))), "cv")
-        vmap = FE.vector_maps(tv, cv, self.opts.vocab_broadcast_max_terms)
+        vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), self.vocab)),
+                         "term-vectors")
+        vmap = FE.vector_maps_kind(vt, self.opts.vocab_broadcast_max_terms)
         if vmap is None:
+            tv = vt.filter(F.col("kind") == "tag").drop("kind")
+            cv = vt.filter(F.col("kind") == "class").drop("kind")
             vec = FE.model_vectors_join(nodes, tv, cv, self.params, self.opts.max_steps)
         else:
             vec = FE.model_vectors(nodes, vmap, self.params, self.opts.max_steps)
@@ -99,7 +90,7 @@ class BodyExtractor:
         joined = LB.join_gold(pages, documents).select("page_id", "url", "html", "gold_norm")
         rows = LB.with_labels(page_rows(joined, self.opts))
         nodes = materialize(FE.nonempty_nodes(rows, with_label=True), "fit-nodes")
-        self.vocab = materialize(vocab_terms(pages), "vocab")
+        self.vocab = materialize(V.vocab_terms(pages), "vocab")
         self.params = materialize(FE.norm_params(nodes, self.opts.max_steps), "params")
         train = self._vectors(nodes)
         if self.classifier is not None and self.classifier.hasParam("validationIndicatorCol") \

@@ -25,15 +25,19 @@ OPTS = Options()
 
 
 def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS) -> tuple[DataFrame, DataFrame]:
-    """Model vectors of ``nodes`` (needs step_tag/step_class) and the norm parameters."""
-    steps = nodes.select(F.explode(F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c"))).alias("s"))
-    tag_terms = steps.select(F.col("s.t").alias("term")).distinct()
-    cls_terms = steps.select(F.col("s.c").alias("term")).distinct()
-    tv = materialize(FE.step_normalised(V.term_vectors(tag_terms, V.tag_vocab(pages))), "tag-vectors")
-    cv = materialize(FE.step_normalised(V.term_vectors(cls_terms, V.class_vocab(pages))), "class-vectors")
-    params = materialize(FE.norm_params(nodes, opts.max_steps), "norm-params")
-    vmap = FE.vector_maps(tv, cv, opts.vocab_broadcast_max_terms)
+    """Model vectors of ``nodes`` (needs step_tag/step_class) and the norm parameters.
+
+    Three jobs: the (kind, term, vector) table of the used terms is written
+    once, its size per kind is counted, and the one-row maps are built; the
+    vectors themselves are a narrow projection over the nodes.
+    """
+    vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), V.vocab_terms(pages))),
+                     "term-vectors")
+    params = FE.norm_params(nodes, opts.max_steps)
+    vmap = FE.vector_maps_kind(vt, opts.vocab_broadcast_max_terms)
     if vmap is None:
+        tv = vt.filter(F.col("kind") == "tag").drop("kind")
+        cv = vt.filter(F.col("kind") == "class").drop("kind")
         return FE.model_vectors_join(nodes, tv, cv, params, opts.max_steps), params
     return FE.model_vectors(nodes, vmap, params, opts.max_steps), params
 

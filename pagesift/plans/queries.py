@@ -182,13 +182,7 @@ def q_fold_weights(spark, sf):
 
 
 def _vocab_terms(spark, sf) -> DataFrame:
-    """(kind, term) of both vocabularies from one scan of the raw pages."""
-    tags = V.raw_start_tags(_pages(spark, sf))
-    name = F.lower(F.regexp_extract("t", r"^<([A-Za-z][^\s/>]*)", 1))
-    cls = F.trim(F.regexp_replace(F.regexp_extract("t", V.CLASS_ATTR_RE, 1), r"\s+", " "))
-    both = tags.select(F.explode(F.array(F.struct(F.lit("tag").alias("kind"), name.alias("term")),
-                                         F.struct(F.lit("class").alias("kind"), cls.alias("term")))).alias("k"))
-    return both.select("k.*").filter(F.col("term") != "").distinct()
+    return V.vocab_terms(_pages(spark, sf))
 
 
 def q_hash_vectors(spark, sf):
