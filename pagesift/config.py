@@ -86,6 +86,7 @@ class Options:
     fold_group: str | None = None  # None = folds per node, 'page_id' = whole pages per fold
     n_folds: int = N_FOLDS
     seed: int = FOLD_SEED
+    embedding: str = "hash"        # 'hash' (E-05, deterministic) or 'w2v' (E-06, trained on characters)
     vocab_broadcast_max_terms: int = 200_000  # above this, vectors are joined by term (shuffle)
     # T-09 classifier hyper-parameters (rounds = the original's epoch budget)
     max_iter: int = 30

@@ -41,6 +41,15 @@ def nonempty_nodes(page_rows: DataFrame, *keep: str, with_label: bool = False) -
         .withColumn("depth", (F.size("anc_pos") + 1).cast("int"))
 
 
+def apply_scope(nodes: DataFrame, opts: Options = Options()) -> DataFrame:
+    """With ``scope='node'`` the length and punctuation features are the node's
+    own (repeated on each of its path steps) instead of the page totals."""
+    if opts.scope != "node":
+        return nodes
+    from pagesift.functions.text import punct_count
+    return nodes.withColumn("text_len", F.length("content")).withColumn("punct", punct_count(F.col("content")))
+
+
 def node_features(nodes: DataFrame, opts: Options = Options()) -> DataFrame:
     """E-01: tag name, class, text length and punctuation of a node.
 

@@ -108,10 +108,50 @@ def term_vectors(terms: DataFrame, vocab_terms: DataFrame) -> DataFrame:
     return v.select("term", vec.alias("vector"))
 
 
-def kind_term_vectors(used: DataFrame, vocab: DataFrame) -> DataFrame:
+def w2v_char_vectors(vocab: DataFrame, seed: int = C.FOLD_SEED, max_iter: int = 10) -> DataFrame:
+    """E-06 training: one Word2Vec per kind over the characters of each vocabulary
+    term (a term is a sentence, a character a word); (kind, ch, vector)."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+    out = None
+    for kind in ("tag", "class"):
+        chars = vocab.filter(F.col("kind") == kind).select(F.split("term", "").alias("chars")) \
+                     .filter(F.size("chars") > 0)
+        w2v = Word2Vec(vectorSize=C.EMBED_DIM, windowSize=5, minCount=1, maxIter=max_iter, seed=seed,
+                       inputCol="chars", outputCol="vec")
+        vec = w2v.fit(chars).getVectors()  # one row per distinct character
+        part = vec.select(F.lit(kind).alias("kind"), F.col("word").alias("ch"),
+                          vector_to_array("vector").alias("vector"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def w2v_term_vectors(used: DataFrame, char_vectors: DataFrame) -> DataFrame:
+    """E-06 lookup: a term's vector is the mean of its characters' trained vectors;
+    a character the model never saw takes its E-05 sub-word vector. The
+    character table is bounded by the character set and broadcast."""
+    ch = used.select("kind", "term", F.posexplode(F.split("term", "")).alias("i", "ch")).filter(F.col("ch") != "")
+    known = ch.join(F.broadcast(char_vectors), ["kind", "ch"], "left")
+    missing = known.filter(F.col("vector").isNull()).select("kind", F.col("ch").alias("term")).distinct()
+    fallback = wide(hash_vectors(missing, ("kind", "term")), ("kind", "term")) \
+        .select("kind", F.col("term").alias("ch"), F.col("vector").alias("fb"))
+    full = known.join(fallback, ["kind", "ch"], "left") \
+                .select("kind", "term", F.coalesce("vector", "fb").alias("vector"))
+    long = full.select("kind", "term", F.posexplode("vector").alias("dim", "value"))
+    mean = wide(long.groupBy("kind", "term", "dim").agg(F.avg("value").alias("value")), ("kind", "term"))
+    zeros = used.select("kind", "term").join(mean.select("kind", "term"), ["kind", "term"], "left_anti") \
+                .select("kind", "term", F.array_repeat(F.lit(0.0), C.EMBED_DIM).alias("vector"))
+    return mean.unionByName(zeros)  # '' (no class) has no characters: zeros
+
+
+def kind_term_vectors(used: DataFrame, vocab: DataFrame, char_vectors: DataFrame | None = None) -> DataFrame:
     """J-04/J-05 for both kinds at once: (kind, term, vector) for the used
-    (kind, term) pairs; vocabulary terms min-max normalised (S-16), others raw."""
-    v = wide(hash_vectors(used, ("kind", "term")), ("kind", "term"))
+    (kind, term) pairs; vocabulary terms min-max normalised (S-16), others raw.
+    With ``char_vectors`` the trained E-06 embedding is used, else E-05."""
+    if char_vectors is not None:
+        v = w2v_term_vectors(used, char_vectors)
+    else:
+        v = wide(hash_vectors(used, ("kind", "term")), ("kind", "term"))
     v = v.join(vocab.select("kind", "term", F.lit(True).alias("in_vocab")).distinct(), ["kind", "term"], "left")
     vec = F.when(F.col("in_vocab"), minmax_vector(F.col("vector"))).otherwise(F.col("vector"))
     return v.select("kind", "term", vec.alias("vector"))

@@ -63,14 +63,15 @@ class BodyExtractor:
     classifier: object | None = None
     extra_features: Sequence[ExtraFeature] = ()
     vocab: DataFrame | None = None
+    char_vectors: DataFrame | None = None
     params: DataFrame | None = None
     model: object | None = None
     pos_weight: float = 1.0
 
     # -- features ---------------------------------------------------------
     def _vectors(self, nodes: DataFrame) -> DataFrame:
-        vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), self.vocab)),
-                         "term-vectors")
+        vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), self.vocab,
+                                                                self.char_vectors)), "term-vectors")
         vmap = FE.vector_maps_kind(vt, self.opts.vocab_broadcast_max_terms)
         if vmap is None:
             tv = vt.filter(F.col("kind") == "tag").drop("kind")
@@ -89,8 +90,10 @@ class BodyExtractor:
         from pyspark import StorageLevel
         joined = LB.join_gold(pages, documents).select("page_id", "url", "html", "gold_norm")
         rows = LB.with_labels(page_rows(joined, self.opts))
-        nodes = materialize(FE.nonempty_nodes(rows, with_label=True), "fit-nodes")
+        nodes = materialize(FE.apply_scope(FE.nonempty_nodes(rows, with_label=True), self.opts), "fit-nodes")
         self.vocab = materialize(V.vocab_terms(pages), "vocab")
+        if self.opts.embedding == "w2v":
+            self.char_vectors = materialize(V.w2v_char_vectors(self.vocab, self.opts.seed), "char-vectors")
         self.params = materialize(FE.norm_params(nodes, self.opts.max_steps), "params")
         train = self._vectors(nodes)
         if self.classifier is not None and self.classifier.hasParam("validationIndicatorCol") \
@@ -103,8 +106,8 @@ class BodyExtractor:
 
     def score_nodes(self, pages: DataFrame) -> DataFrame:
         """T-06 + S-13 on pages without gold: (page_id, pos, content, prob, pred, accept)."""
-        nodes = materialize(FE.nonempty_nodes(page_rows(pages.select("page_id", "url", "html"), self.opts)),
-                            "score-nodes")
+        nodes = materialize(FE.apply_scope(FE.nonempty_nodes(page_rows(pages.select("page_id", "url", "html"),
+                                                                       self.opts)), self.opts), "score-nodes")
         x = self._vectors(nodes).withColumn("label", F.lit(0))
         out = self.model.transform(x)
         from pyspark.ml.functions import vector_to_array
@@ -121,6 +124,8 @@ class BodyExtractor:
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
         self.params.write.mode("overwrite").parquet(f"{path}/params")
         self.model.write().overwrite().save(f"{path}/model")
+        if self.char_vectors is not None:
+            self.char_vectors.write.mode("overwrite").parquet(f"{path}/char_vectors")
         spark = self.params.sparkSession
         spark.createDataFrame([(float(self.pos_weight),)], "pos_weight double") \
              .write.mode("overwrite").parquet(f"{path}/meta")
@@ -133,6 +138,8 @@ class BodyExtractor:
         ex.params = spark.read.parquet(f"{path}/params")
         ex.model = (model_cls or LogisticRegressionModel).load(f"{path}/model")
         ex.pos_weight = spark.read.parquet(f"{path}/meta").first()["pos_weight"]
+        if opts.embedding == "w2v":
+            ex.char_vectors = spark.read.parquet(f"{path}/char_vectors")
         return ex
 
 

@@ -31,8 +31,10 @@ def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS) -> tup
     once, its size per kind is counted, and the one-row maps are built; the
     vectors themselves are a narrow projection over the nodes.
     """
-    vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), V.vocab_terms(pages))),
-                     "term-vectors")
+    voc = V.vocab_terms(pages)
+    chars = materialize(V.w2v_char_vectors(materialize(voc, "vocab"), opts.seed), "char-vectors") \
+        if opts.embedding == "w2v" else None
+    vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), voc, chars)), "term-vectors")
     params = FE.norm_params(nodes, opts.max_steps)
     vmap = FE.vector_maps_kind(vt, opts.vocab_broadcast_max_terms)
     if vmap is None:
@@ -46,7 +48,7 @@ def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataF
     """E-08: labelled non-empty nodes with folds and ``features`` (read once per fold and pass)."""
     ensure_checkpoint_dir(spark)
     from pyspark import StorageLevel
-    nodes = materialize(Q.labelled_nodes(spark, sf), "labelled-nodes")
+    nodes = materialize(FE.apply_scope(Q.labelled_nodes(spark, sf), opts), "labelled-nodes")
     folded = FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts, stable_input=True)
     vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
     # narrow over parquet + broadcast maps: cached for the passes of the fits,

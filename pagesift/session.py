@@ -23,8 +23,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # one page per Arrow row; keep batches small so a batch of large pages fits
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        # one page per Arrow row: cap batches by rows and by bytes so a batch
+        # of very large pages still fits in a Python worker
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
     )

@@ -68,3 +68,28 @@ def test_vectors_csv_and_params_roundtrip(spark):
     p = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "a double, b double, c double, d double")
     io.save_params(p, f"{d}/p")
     assert io.load_params(spark, f"{d}/p").first() == p.first()
+
+
+def test_trained_embedding_option(spark):
+    from pagesift.config import Options
+    pages, docs = tables(spark)
+    ex = BodyExtractor(opts=Options(embedding="w2v")).fit(pages, docs)
+    assert ex.char_vectors.count() > 0
+    assert ex.transform(pages).count() == pages.count()
+    d = tempfile.mkdtemp(prefix="pagesift-w2v-")
+    ex.save(d)
+    ex2 = BodyExtractor.load(spark, d, opts=Options(embedding="w2v"))
+    a = sorted(tuple(r) for r in ex.transform(pages).collect())
+    assert a == sorted(tuple(r) for r in ex2.transform(pages).collect())
+
+
+def test_w2v_term_vector_is_char_mean_with_fallback(spark):
+    from pagesift.operators import vocab as V
+    cv = spark.createDataFrame([("tag", "a", [1.0] * 30), ("tag", "b", [3.0] * 30)],
+                               "kind string, ch string, vector array<double>")
+    used = spark.createDataFrame([("tag", "ab"), ("tag", "az"), ("class", "")], "kind string, term string")
+    got = {(r["kind"], r["term"]): r["vector"] for r in V.w2v_term_vectors(used, cv).collect()}
+    assert got[("tag", "ab")] == [2.0] * 30
+    z = {r["term"]: r["vector"] for r in V.wide(V.hash_vectors(spark.createDataFrame([("tag", "z")], "kind string, term string"), ("kind", "term")), ("kind", "term")).collect()}["z"]
+    assert all(abs(g - (1.0 + zz) / 2) < 1e-12 for g, zz in zip(got[("tag", "az")], z))
+    assert got[("class", "")] == [0.0] * 30
