@@ -26,13 +26,13 @@ def fold_hash(seed: int, *keys: str):
 
 
 def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"),
-                     opts: Options = Options(), n_buckets: int | None = None,
-                     stable_input: bool = False) -> DataFrame:
+                     opts: Options = Options(), n_buckets: int | None = None) -> DataFrame:
     """Add ``fold`` in [0, n_folds): per label, folds differ in size by at most one.
 
-    The sorted table is read twice (counts, then ranks). Unless the input is
-    already a written table (``stable_input``), it is written once to the
-    shared checkpoint folder so the upstream pipeline is not run twice.
+    The sorted table with its row ids is written once to the shared
+    checkpoint folder and read twice (counts, then ranks): both reads see the
+    same ids even if AQE coalesces the repartition differently between runs,
+    and the upstream pipeline is not run twice.
     """
     k = opts.n_folds
     if opts.fold_group:
@@ -43,11 +43,10 @@ def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"
     h = fold_hash(opts.seed, *keys)
     bucket = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32) * n).cast("int")
     s = (df.withColumn("_h", h).withColumn("_b", bucket)
-           .repartition(n, label, "_b")
+           .repartition(label, "_b")
            .sortWithinPartitions(label, "_b", "_h", *keys)
            .withColumn("_m", F.monotonically_increasing_id()))
-    if not stable_input:
-        s = materialize(s, "folds")
+    s = materialize(s, "folds")
     cnt = s.groupBy(label, "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # labels x buckets rows

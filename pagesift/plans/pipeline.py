@@ -48,8 +48,8 @@ def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataF
     """E-08: labelled non-empty nodes with folds and ``features`` (read once per fold and pass)."""
     ensure_checkpoint_dir(spark)
     from pyspark import StorageLevel
-    nodes = materialize(FE.apply_scope(Q.labelled_nodes(spark, sf), opts), "labelled-nodes")
-    folded = FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts, stable_input=True)
+    nodes = FE.apply_scope(Q.labelled_nodes(spark, sf), opts)
+    folded = FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts)  # written once inside
     vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
     # narrow over parquet + broadcast maps: cached for the passes of the fits,
     # recomputed from the written tables if an executor is lost
