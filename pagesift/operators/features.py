@@ -124,54 +124,55 @@ def step_normalised(vectors: DataFrame) -> DataFrame:
     return vectors.select(*keys, mm.alias("vector"))
 
 
-def model_vectors(nodes: DataFrame, vmap: DataFrame, params: DataFrame,
-                  max_steps: int = C.MAX_STEPS, maps_in_rows: bool = False) -> DataFrame:
-    """E-02/E-03/E-10/S-14/S-15: the normalised 15 x 62 input of a node, flattened.
-
-    ``vmap`` is a one-row table with ``tvec`` / ``cvec`` maps term -> step-
-    normalised vector (size-checked by the caller, joined as a broadcast);
-    ``params`` the one row of ``norm_params``. Steps past the path are
-    padding: zero vectors and the z-score of zero, as in a zero-padded tensor.
-    A term missing from a map (only possible for hand-built maps) is zeros.
-    """
+def _flatten_steps(j: DataFrame, steps, keep, max_steps: int) -> DataFrame:
+    """x = per step (tag vector, class vector, z(text_len), z(punct)), then padding."""
     d = C.EMBED_DIM
     zero = F.array_repeat(F.lit(0.0), d)
-    j = nodes if maps_in_rows else nodes.crossJoin(F.broadcast(vmap))
-    j = j.crossJoin(F.broadcast(params))
     zl = zscore(F.col("text_len").cast("double"), F.col("text_length_mean"), F.col("text_length_std"))
     zp = zscore(F.col("punct").cast("double"), F.col("punctuation_nb_mean"), F.col("punctuation_nb_std"))
     pad_l = zscore(F.lit(0.0), F.col("text_length_mean"), F.col("text_length_std"))
     pad_p = zscore(F.lit(0.0), F.col("punctuation_nb_mean"), F.col("punctuation_nb_std"))
-    step = F.transform(
-        F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c")),
-        lambda s: F.concat(F.coalesce(F.element_at(F.col("tvec"), s["t"]), zero),
-                           F.coalesce(F.element_at(F.col("cvec"), s["c"]), zero),
-                           F.array(zl, zp)))
+    step = F.transform(steps, lambda s: F.concat(F.coalesce(s["tv"], zero), F.coalesce(s["cv"], zero),
+                                                 F.array(zl, zp)))
     pad = F.concat(F.array_repeat(F.lit(0.0), 2 * d), F.array(pad_l, pad_p))
-    n_pad = F.lit(max_steps) - F.size("step_tag")
+    n_pad = F.lit(max_steps) - F.size(steps)
     flat = F.concat(F.flatten(step), F.flatten(F.array_repeat(pad, n_pad)))
-    keep = [c for c in nodes.columns if c not in ("step_tag", "step_class", "step_pos", "tvec", "cvec")]
     return j.select(*keep, flat.alias("x"))
 
 
+def model_vectors(nodes: DataFrame, vmap: DataFrame, params: DataFrame,
+                  max_steps: int = C.MAX_STEPS) -> DataFrame:
+    """E-02/E-03/E-10/S-14/S-15: the normalised 15 x 62 input of a node, flattened.
+
+    ``vmap`` is a one-row table with ``tvec`` / ``cvec`` maps term -> step-
+    normalised vector (size-checked by the caller, joined as a broadcast);
+    ``params`` the one row of ``norm_params``. Steps past the path are
+    padding: zero vectors and the z-score of zero, as in a zero-padded tensor.
+    """
+    j = nodes.crossJoin(F.broadcast(vmap)).crossJoin(F.broadcast(params))
+    steps = F.transform(
+        F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c")),
+        lambda s: F.struct(F.element_at(F.col("tvec"), s["t"]).alias("tv"),
+                           F.element_at(F.col("cvec"), s["c"]).alias("cv")))
+    keep = [c for c in nodes.columns if c not in ("step_tag", "step_class", "step_pos")]
+    return _flatten_steps(j, steps, keep, max_steps)
+
+
 def model_vectors_join(nodes: DataFrame, tag_vectors: DataFrame, class_vectors: DataFrame,
                        params: DataFrame, max_steps: int = C.MAX_STEPS) -> DataFrame:
     """Same result as ``model_vectors`` without broadcasting the vocabularies:
     steps are exploded, joined to the vectors by term (shuffle joins), and
-    regrouped per node. Used when a vocabulary exceeds the broadcast bound."""
+    regrouped per node (a group is one node's <= 15 steps)."""
     st = nodes.select("page_id", "pos", F.posexplode(F.arrays_zip(
         F.col("step_tag").alias("t"), F.col("step_class").alias("c"))).alias("k", "s"))
     st = st.select("page_id", "pos", "k", F.col("s.t").alias("t"), F.col("s.c").alias("c"))
     st = st.join(tag_vectors.select(F.col("term").alias("t"), F.col("vector").alias("tv")), "t", "left") \
            .join(class_vectors.select(F.col("term").alias("c"), F.col("vector").alias("cv")), "c", "left")
-    g = st.groupBy("page_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "t", "c", "tv", "cv"))).alias("g"))
-    g = g.select("page_id", "pos",
-                 F.transform("g", lambda s: s["t"]).alias("step_tag"),
-                 F.transform("g", lambda s: s["c"]).alias("step_class"),
-                 F.map_from_arrays(F.transform("g", lambda s: s["t"]), F.transform("g", lambda s: s["tv"])).alias("tvec"),
-                 F.map_from_arrays(F.transform("g", lambda s: s["c"]), F.transform("g", lambda s: s["cv"])).alias("cvec"))
-    base = nodes.drop("step_tag", "step_class").join(g, ["page_id", "pos"])
-    return model_vectors(base, None, params, max_steps, maps_in_rows=True)
+    g = st.groupBy("page_id", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("k", "tv", "cv"))).alias("steps"))
+    j = nodes.join(g, ["page_id", "pos"]).crossJoin(F.broadcast(params))
+    keep = [c for c in nodes.columns if c not in ("step_tag", "step_class", "step_pos")]
+    return _flatten_steps(j, F.col("steps"), keep, max_steps)
 
 
 def vector_maps(tag_vectors: DataFrame, class_vectors: DataFrame, max_terms: int) -> DataFrame | None:

@@ -93,3 +93,19 @@ def test_w2v_term_vector_is_char_mean_with_fallback(spark):
     z = {r["term"]: r["vector"] for r in V.wide(V.hash_vectors(spark.createDataFrame([("tag", "z")], "kind string, term string"), ("kind", "term")), ("kind", "term")).collect()}["z"]
     assert all(abs(g - (1.0 + zz) / 2) < 1e-12 for g, zz in zip(got[("tag", "az")], z))
     assert got[("class", "")] == [0.0] * 30
+
+
+def test_join_path_equals_broadcast_path(spark):
+    """Beyond the broadcast bound the vectors come from shuffle joins; same numbers."""
+    from pagesift.config import Options
+    from pagesift.plans import pipeline as P
+    from pagesift.plans import queries as Q
+    from pagesift.operators import folds as FO
+    nodes = FO.stratified_folds(Q.labelled_nodes(spark, SF))
+    pages = io.read_table(spark, SF, "pages")
+    a, _ = P.vectors_for(nodes, pages, Options())
+    b, _ = P.vectors_for(nodes, pages, Options(vocab_broadcast_max_terms=0))
+    key = lambda df: sorted((r["page_id"], r["pos"], tuple(round(v, 12) for v in r["x"])) for r in df.collect())
+    ka, kb = key(a), key(b)
+    assert len(ka) == nodes.count() and ka == kb
+    assert all(len(x) == 15 * 62 for _, _, x in ka)
