@@ -20,6 +20,7 @@ from pagesift.operators import model as MD
 from pagesift.operators import vocab as V
 from pagesift.plans import queries as Q
 from pagesift.session import ensure_checkpoint_dir, materialize
+from pagesift.sources.io import spread
 
 OPTS = Options()
 
@@ -49,7 +50,7 @@ def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataF
     ensure_checkpoint_dir(spark)
     from pyspark import StorageLevel
     nodes = FE.apply_scope(Q.labelled_nodes(spark, sf), opts)
-    folded = FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts)  # written once inside
+    folded = spread(FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts))  # written once inside
     vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
     # narrow over parquet + broadcast maps: cached for the passes of the fits,
     # recomputed from the written tables if an executor is lost
