@@ -59,6 +59,14 @@ def label_sql(content: str, gold: str) -> str:
     return f"CASE WHEN length({content}) > 3 AND contains({gold}, {norm}) THEN 1 ELSE 0 END"
 
 
+def label_page_rows(page_rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """J-01 + S-07 after the fold: page rows (carrying ``doc_id``) joined to their
+    gold text, labels computed in the row. Joining after the narrow clean/fold
+    means a shuffle join moves the compact event arrays of usable pages, not
+    the raw HTML."""
+    return with_labels(page_rows.join(gold_table(documents), "doc_id"))
+
+
 def with_labels(page_rows: DataFrame) -> DataFrame:
     """Add ``label`` (array, one per event) computed inside the page row; drops gold."""
     lab = F.expr(f"transform(content, c -> {label_sql('c', 'gold_norm')})")

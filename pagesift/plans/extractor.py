@@ -88,8 +88,8 @@ class BodyExtractor:
     def fit(self, pages: DataFrame, documents: DataFrame) -> "BodyExtractor":
         """E-08 + T-01: label the pages against their gold text and fit the classifier."""
         from pyspark import StorageLevel
-        joined = LB.join_gold(pages, documents).select("page_id", "url", "html", "gold_norm")
-        rows = LB.with_labels(page_rows(joined, self.opts))
+        keyed = LB.pages_with_doc(pages).select("page_id", "url", "html", "doc_id")
+        rows = LB.label_page_rows(page_rows(keyed, self.opts), documents)
         nodes = materialize(FE.apply_scope(FE.nonempty_nodes(rows, with_label=True), self.opts), "fit-nodes")
         self.vocab = materialize(V.vocab_terms(pages), "vocab")
         if self.opts.embedding == "w2v":
@@ -170,8 +170,8 @@ def extract_bodies(pages: DataFrame, registry: dict[str, BodyExtractor]) -> tupl
 def labeliser_job(pages: DataFrame, documents: DataFrame, out_path: str | None = None,
                   opts: Options = Options()) -> DataFrame:
     """E-09: (page_id, idx, content, label) of non-empty nodes; optional TSV export (IO-08)."""
-    joined = LB.join_gold(pages, documents).select("page_id", "url", "html", "gold_norm")
-    rows = LB.with_labels(page_rows(joined, opts))
+    keyed = LB.pages_with_doc(pages).select("page_id", "url", "html", "doc_id")
+    rows = LB.label_page_rows(page_rows(keyed, opts), documents)
     lab = FE.nonempty_nodes(rows, with_label=True).select("page_id", "idx", "content", "label")
     if out_path:
         from pagesift.sources.io import write_labels_tsv

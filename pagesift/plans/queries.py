@@ -143,11 +143,11 @@ def q_gold_missing(spark, sf):
 
 
 def labelled_rows(spark, sf) -> DataFrame:
-    """Usable pages with gold: event arrays + ``label`` array + ``lang``; narrow after the join."""
-    pages = LB.join_gold(_pages(spark, sf), _docs(spark, sf))
-    cl = D.clean_pages(pages.select("page_id", "url", "html", "lang", "gold_norm"))
-    ev = D.page_events(cl, OPTS)
-    return LB.with_labels(ev)
+    """Usable pages with gold: event arrays + ``label`` array + ``lang``; the gold
+    join comes after the narrow clean/fold."""
+    pages = LB.pages_with_doc(_pages(spark, sf)).select("page_id", "url", "html", "doc_id")
+    ev = D.page_events(D.clean_pages(pages), OPTS)
+    return LB.label_page_rows(ev, _docs(spark, sf))
 
 
 def labelled_nodes(spark, sf) -> DataFrame:
