@@ -88,6 +88,9 @@ class Options:
     seed: int = FOLD_SEED
     embedding: str = "hash"        # 'hash' (E-05, deterministic) or 'w2v' (E-06, trained on characters)
     vocab_broadcast_max_terms: int = 200_000  # above this, vectors are joined by term (shuffle)
+    # keys of the gold join holding at least this many pages are salted over hot_key_buckets tasks
+    hot_key_rows: int = 100_000
+    hot_key_buckets: int = 32
     # T-09 classifier hyper-parameters (rounds = the original's epoch budget)
     max_iter: int = 30
     reg_param: float = 1e-4

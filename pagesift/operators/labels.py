@@ -35,6 +35,12 @@ def first_gold(gold_lines: DataFrame, key: str = "filename", order: str = "line_
     return gold_lines.groupBy(key).agg(agg).select(key, "g.*")
 
 
+def hot_docs(pages: DataFrame, min_rows: int) -> DataFrame:
+    """doc_ids referenced by at least ``min_rows`` pages; reads only the url column."""
+    from pagesift.operators.skew import hot_keys
+    return hot_keys(pages.select(X.doc_key_from_url(F.col("url")).alias("doc_id")), "doc_id", min_rows)
+
+
 def pages_with_doc(pages: DataFrame) -> DataFrame:
     """Test-data key: doc_id and language from the URL."""
     return pages.withColumn("doc_id", X.doc_key_from_url(F.col("url"))) \
@@ -59,12 +65,18 @@ def label_sql(content: str, gold: str) -> str:
     return f"CASE WHEN length({content}) > 3 AND contains({gold}, {norm}) THEN 1 ELSE 0 END"
 
 
-def label_page_rows(page_rows: DataFrame, documents: DataFrame) -> DataFrame:
+def label_page_rows(page_rows: DataFrame, documents: DataFrame, hot: DataFrame | None = None,
+                    buckets: int = 32) -> DataFrame:
     """J-01 + S-07 after the fold: page rows (carrying ``doc_id``) joined to their
     gold text, labels computed in the row. Joining after the narrow clean/fold
     means a shuffle join moves the compact event arrays of usable pages, not
-    the raw HTML."""
-    return with_labels(page_rows.join(gold_table(documents), "doc_id"))
+    the raw HTML. ``hot`` (from ``skew.hot_keys`` on the page keys) salts
+    documents shared by very many pages so no single task receives them all."""
+    gold = gold_table(documents)
+    if hot is None:
+        return with_labels(page_rows.join(gold, "doc_id"))
+    from pagesift.operators.skew import salted_join
+    return with_labels(salted_join(page_rows, gold, "doc_id", hot, "page_id", buckets))
 
 
 def with_labels(page_rows: DataFrame) -> DataFrame:

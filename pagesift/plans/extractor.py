@@ -89,7 +89,8 @@ class BodyExtractor:
         """E-08 + T-01: label the pages against their gold text and fit the classifier."""
         from pyspark import StorageLevel
         keyed = LB.pages_with_doc(pages).select("page_id", "url", "html", "doc_id")
-        rows = LB.label_page_rows(page_rows(keyed, self.opts), documents)
+        rows = LB.label_page_rows(page_rows(keyed, self.opts), documents,
+                                  LB.hot_docs(pages, self.opts.hot_key_rows), self.opts.hot_key_buckets)
         nodes = materialize(FE.apply_scope(FE.nonempty_nodes(rows, with_label=True), self.opts), "fit-nodes")
         self.vocab = materialize(V.vocab_terms(pages), "vocab")
         if self.opts.embedding == "w2v":
@@ -171,7 +172,8 @@ def labeliser_job(pages: DataFrame, documents: DataFrame, out_path: str | None =
                   opts: Options = Options()) -> DataFrame:
     """E-09: (page_id, idx, content, label) of non-empty nodes; optional TSV export (IO-08)."""
     keyed = LB.pages_with_doc(pages).select("page_id", "url", "html", "doc_id")
-    rows = LB.label_page_rows(page_rows(keyed, opts), documents)
+    rows = LB.label_page_rows(page_rows(keyed, opts), documents,
+                              LB.hot_docs(pages, opts.hot_key_rows), opts.hot_key_buckets)
     lab = FE.nonempty_nodes(rows, with_label=True).select("page_id", "idx", "content", "label")
     if out_path:
         from pagesift.sources.io import write_labels_tsv

@@ -145,9 +145,11 @@ def q_gold_missing(spark, sf):
 def labelled_rows(spark, sf) -> DataFrame:
     """Usable pages with gold: event arrays + ``label`` array + ``lang``; the gold
     join comes after the narrow clean/fold."""
-    pages = LB.pages_with_doc(_pages(spark, sf)).select("page_id", "url", "html", "doc_id")
+    raw = _pages(spark, sf)
+    pages = LB.pages_with_doc(raw).select("page_id", "url", "html", "doc_id")
     ev = D.page_events(D.clean_pages(pages), OPTS)
-    return LB.label_page_rows(ev, _docs(spark, sf))
+    hot = LB.hot_docs(raw, OPTS.hot_key_rows)
+    return LB.label_page_rows(ev, _docs(spark, sf), hot, OPTS.hot_key_buckets)
 
 
 def labelled_nodes(spark, sf) -> DataFrame:
