@@ -30,22 +30,42 @@ _VOID = frozenset(VOID_TAGS)
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _CLASS = re.compile(r'class="([^"]*)"')
 _BLANKS = re.compile(r"\s+")
-
-
-def _attrs_blank(token: str, name_end: int) -> bool:
-    rest = token[name_end:-1].strip()
-    if rest.endswith("/"):
-        rest = rest[:-1].strip()
-    return rest == ""
+_TAIL = re.compile(r"\s*/?\s*$")
+# one attribute: name, then optionally '=' and a quoted or bare value (scanned left to right)
+_ATTR = re.compile(r"""([^\s/>][^\s/=>]*)(?:\s*=+\s*('[^']*'|"[^"]*"|[^>\s]*))?""")
+
+
+def _escape(v: str) -> str:
+    return v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def canonical_tag(name: str, token: str, name_end: int, void: bool) -> str:
+    """Start-tag text as the tree builder writes it back: lower-case attribute
+    names, every value double-quoted (valueless ones as ""), class blanks
+    collapsed, values decoded once more and & < > escaped, "/" on voids."""
+    rest = _TAIL.sub("", token[name_end:-1])
+    attrs = []
+    for m in _ATTR.finditer(rest):
+        n, v = m.group(1).lower(), m.group(2)
+        if v is None:
+            v = ""
+        elif len(v) >= 2 and v[0] in "'\"" and v[-1] == v[0]:
+            v = v[1:-1]
+        if "&" in v:
+            v = _html.unescape(v)
+        if n == "class":
+            v = " ".join(v.split())
+        attrs.append(f'{n}="{_escape(v)}"')
+    return name + (" " + " ".join(attrs) if attrs else "") + ("/" if void else "")
 
 
 def fold_tokens(tokens):
-    """Return parallel lists ``(kind, name, token, synthetic, tag, cls, anc, run)``.
+    """Return parallel lists ``(kind, name, raw, synthetic, tag, cls, anc, run)``.
 
-    ``token`` is the start tag's text (None for end events); ``tag`` the
-    path name (``/name`` for ends); ``cls`` the first class="..." value with
-    blanks collapsed; ``anc`` the event positions of the path stack below
-    the event (root first); ``run`` the decoded text following the token.
+    ``raw`` is the canonical tag text (``/name`` for ends); ``tag`` the path
+    name, i.e. the first word of ``raw``; ``cls`` the first class="..." value
+    of ``raw``; ``anc`` the event positions of the path stack below the
+    event (root first); ``run`` the decoded text following the token.
     """
     kinds: list[str] = []
     names: list[str] = []
@@ -61,15 +81,17 @@ def fold_tokens(tokens):
     started = False
     last = -1
 
-    def emit(kind, name, tok, synthetic, tag=None):
+    def emit(kind, name, raw, synthetic):
         kinds.append(kind)
         names.append(name)
-        toks.append(tok if kind == "start" else None)
-        tags.append(tag if kind == "start" else "/" + name)
         if kind == "start":
-            mc = _CLASS.search(tok)
-            clss.append(_BLANKS.sub(" ", mc.group(1)) if mc else "")
+            toks.append(raw)
+            tags.append(raw.split(" ", 1)[0])
+            mc = _CLASS.search(raw)
+            clss.append(mc.group(1) if mc else "")
         else:
+            toks.append("/" + name)
+            tags.append("/" + name)
             clss.append("")
         synth.append(synthetic)
         ancs.append(list(ppos))
@@ -103,8 +125,9 @@ def fold_tokens(tokens):
                     continue
                 started = True
             void = name in _VOID
-            path_name = name + "/" if void and _attrs_blank(t, m.end()) else name
-            last = emit("start", name, t, False, path_name)
+            raw = canonical_tag(name, t, m.end(), void)
+            path_name = raw.split(" ", 1)[0]
+            last = emit("start", name, raw, False)
             pnames.append(path_name)
             ppos.append(last)
             if not void:

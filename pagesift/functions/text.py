@@ -81,14 +81,6 @@ def lang_from_url(url: Column) -> Column:
     return F.regexp_extract(url, r"/([a-z]{2})/[0-9]+", 1)
 
 
-def canonical_raw_sql(tok: str, name: str) -> str:
-    """Tag text as the serialiser writes it: lower-case name, single blanks, '/' on voids."""
-    rest = (f"trim(regexp_replace(trim(regexp_replace(regexp_replace(substring({tok}, 2, length({tok}) - 2),"
-            f" '^[A-Za-z][^\\\\s/>]*', ''), '\\\\s+', ' ')), '/$', ''))")
-    return (f"concat({name}, CASE WHEN {rest} = '' THEN '' ELSE concat(' ', {rest}) END,"
-            f" CASE WHEN array_contains({void_list_sql()}, {name}) THEN '/' ELSE '' END)")
-
-
 def minmax_array_sql(arr: str, eps: float = C.MINMAX_EPS) -> str:
     """S-08: per-vector min-max with the +eps shift of the reference."""
     return (f"transform({arr}, x -> ((x + {eps!r}) - (array_min({arr}) + {eps!r}))"

@@ -13,7 +13,7 @@ from pagesift.functions.fold import fold_tokens
 FOLD_SCHEMA = T.StructType([
     T.StructField("kind", T.ArrayType(T.StringType())),
     T.StructField("name", T.ArrayType(T.StringType())),
-    T.StructField("token", T.ArrayType(T.StringType())),
+    T.StructField("raw", T.ArrayType(T.StringType())),
     T.StructField("synthetic", T.ArrayType(T.BooleanType())),
     T.StructField("tag", T.ArrayType(T.StringType())),
     T.StructField("cls", T.ArrayType(T.StringType())),
@@ -36,7 +36,7 @@ html_unescape = F.pandas_udf(_unescape, T.StringType()).asNondeterministic()
 
 def _fold(tokens: pd.Series) -> pd.DataFrame:
     """Token array -> struct of parallel event arrays (see ``fold.fold_tokens``)."""
-    keys = ("kind", "name", "token", "synthetic", "tag", "cls", "anc", "run")
+    keys = ("kind", "name", "raw", "synthetic", "tag", "cls", "anc", "run")
     cols = {k: [] for k in keys}
     for toks in tokens:
         for k, v in zip(keys, fold_tokens(None if toks is None else list(toks))):

@@ -79,14 +79,10 @@ def page_events(cleaned: DataFrame, opts: Options = Options()) -> DataFrame:
     extra = [c for c in cleaned.columns if c not in ("page_id", "url", "html", "visible_len", "status", "toks")]
     ev = ok.select("page_id", "url", *extra, fold_events("toks").alias("ev"))
     ev = ev.select("page_id", "url", *extra, "ev.*").filter(F.size("kind") > 0)
-    raw = F.expr(
-        "transform(arrays_zip(kind, name, token), e -> CASE WHEN e.kind = 'start' THEN "
-        + X.canonical_raw_sql("e.token", "e.name")
-        + " ELSE concat('/', e.name) END)")
     run = F.transform("run", lambda x: X.strip_content(
         X.escape_text(F.replace(x, F.lit("\\"), F.lit(""))), opts.strip_latin1, opts.keep_whitespace))
     ev = ev.select("page_id", "url", *extra, "kind", "name", "synthetic", "tag",
-                   F.col("cls").alias("class_name"), "anc", raw.alias("raw"), run.alias("r"))
+                   F.col("cls").alias("class_name"), "anc", "raw", run.alias("r"))
     # C-04: a start owns the text after it plus text left by a preceding end;
     # an end owns only the text left by the preceding end.
     prev = lambda c, pad: F.concat(F.array(F.lit(pad)), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))))

@@ -48,8 +48,23 @@ def punct(x: str) -> str:
     return f"length(regexp_replace({x}, '{C.PUNCT_KEEP_RE}', '', 'g'))"
 
 
-REST = ("trim(regexp_replace(trim(regexp_replace(regexp_replace(substring(t, 2, length(t) - 2),"
-        " '^[A-Za-z][^\\s/>]*', ''), '\\s+', ' ', 'g')), '/$', ''))")
+ATTR_RE = r"""([^\s/>][^\s/=>]*)(?:\s*=+\s*('[^']*'|"[^"]*"|[^>\s]*))?""".replace("'", "''")
+
+
+SQ = "'" * 4  # SQL literal holding one single quote
+
+
+def _canon_attr(a: str) -> str:
+    n = f"lower(regexp_extract({a}, '^([^\\s/>][^\\s/=>]*)', 1))"
+    v0 = f"regexp_extract({a}, '^[^\\s/>][^\\s/=>]*\\s*=+\\s*(.*)$', 1)"
+    v1 = (f"CASE WHEN length({v0}) >= 2 AND ((left({v0}, 1) = '\"' AND right({v0}, 1) = '\"') OR "
+          f"(left({v0}, 1) = {SQ} AND right({v0}, 1) = {SQ})) THEN substring({v0}, 2, length({v0}) - 2) ELSE {v0} END")
+    v2 = decode(f"({v1})")
+    v3 = f"CASE WHEN {n} = 'class' THEN trim(regexp_replace({v2}, '\\s+', ' ', 'g')) ELSE {v2} END"
+    return f"{n} || '=\"' || {escape(v3)} || '\"'"
+
+
+CANON_ATTR = _canon_attr("a")
 
 BASE = f"""
 cl0 AS (
@@ -84,18 +99,24 @@ tk2 AS (
   SELECT page_id, i, 1, '</' || tname || '>', 'end', tname FROM tk1
   WHERE ttype = 'start' AND t LIKE '%/>' AND tname NOT IN ({VOIDS})
 ),
+tka AS (
+  SELECT *, CASE WHEN ttype = 'start' THEN list_transform(regexp_extract_all(
+           regexp_replace(regexp_replace(substring(t, 2, length(t) - 2), '^[A-Za-z][^\\s/>]*', ''), '\\s*/?\\s*$', ''),
+           '{ATTR_RE}'), lambda a: {CANON_ATTR}) END AS attrs
+  FROM tk2
+),
+tkr AS (
+  SELECT *, CASE WHEN ttype = 'start' THEN
+           tname || CASE WHEN len(attrs) = 0 THEN '' ELSE ' ' || array_to_string(attrs, ' ') END
+                 || CASE WHEN tname IN ({VOIDS}) THEN '/' ELSE '' END END AS raw
+  FROM tka
+),
 tkx AS (
   SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i, sub) AS INTEGER) AS j,
-         t, ttype, tname, sub = 1 AS selfclose_end,
-         CASE WHEN ttype = 'start' THEN
-           tname || CASE WHEN {REST} = '' THEN '' ELSE ' ' || {REST} END
-                 || CASE WHEN tname IN ({VOIDS}) THEN '/' ELSE '' END END AS raw,
-         CASE WHEN ttype = 'start' THEN
-           tname || CASE WHEN tname IN ({VOIDS}) AND {REST} = '' THEN '/' ELSE '' END
-              ELSE '/' || tname END AS pname,
-         CASE WHEN ttype = 'start' THEN
-           regexp_replace(regexp_extract(t, '{C.CLASS_RE}', 1), '\\s+', ' ', 'g') ELSE '' END AS cls
-  FROM tk2
+         t, ttype, tname, sub = 1 AS selfclose_end, raw,
+         CASE WHEN ttype = 'start' THEN split_part(raw, ' ', 1) ELSE '/' || tname END AS pname,
+         CASE WHEN ttype = 'start' THEN regexp_extract(raw, '{C.CLASS_RE}', 1) ELSE '' END AS cls
+  FROM tkr
 ),
 npg AS (SELECT page_id, max(j) AS n FROM tkx GROUP BY page_id),
 fold(page_id, j, n, started, done, rs, pn, pp, npos, e_pos, e_kind, e_name, e_tok, e_syn, e_anc) AS (

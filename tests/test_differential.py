@@ -30,7 +30,10 @@ def random_page(rng):
         r = rng.random()
         if r < 0.30:
             t = rng.choice(TAGS)
-            attrs = rng.choice(["", ' class="c1"', ' class="a  b"', ' id="k"', ' data-class="z"'])
+            attrs = rng.choice(["", ' class="c1"', ' class="a  b"', ' id="k"', ' data-class="z"',
+                                " class='q r'", " CLASS=bare", " disabled", ' id=x class="m" hidden',
+                                ' title="a y=b"', ' href="?a=1&amp;b=2"', " data-x='say \"hi\"'",
+                                ' class=" lead  trail "', " ==odd", ' Id = "spaced" '])
             out.append(f"<{t}{attrs}>")
             open_.append(t)
         elif r < 0.45 and len(open_) > 1:
@@ -39,7 +42,7 @@ def random_page(rng):
             out.append(f"</{rng.choice(TAGS)}>")  # possibly stray, possibly pops several
         elif r < 0.56:
             v = rng.choice(VOIDS)
-            out.append(rng.choice([f"<{v}>", f"<{v}/>", f'<{v} type="t"/>']))
+            out.append(rng.choice([f"<{v}>", f"<{v}/>", f'<{v} type="t"/>', f"<{v} type=t>", f"<{v} / >"]))
         elif r < 0.59:
             out.append(f"<{rng.choice(TAGS)}/>")
         elif r < 0.62:
