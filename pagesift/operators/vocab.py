@@ -129,9 +129,10 @@ def w2v_char_vectors(vocab: DataFrame, seed: int = C.FOLD_SEED, max_iter: int =
 def w2v_term_vectors(used: DataFrame, char_vectors: DataFrame) -> DataFrame:
     """E-06 lookup: a term's vector is the mean of its characters' trained vectors;
     a character the model never saw takes its E-05 sub-word vector. The
-    character table is bounded by the character set and broadcast."""
+    character table is small (one row per distinct character); the planner
+    broadcasts it by its measured size."""
     ch = used.select("kind", "term", F.posexplode(F.split("term", "")).alias("i", "ch")).filter(F.col("ch") != "")
-    known = ch.join(F.broadcast(char_vectors), ["kind", "ch"], "left")
+    known = ch.join(char_vectors, ["kind", "ch"], "left")
     missing = known.filter(F.col("vector").isNull()).select("kind", F.col("ch").alias("term")).distinct()
     fallback = wide(hash_vectors(missing, ("kind", "term")), ("kind", "term")) \
         .select("kind", F.col("term").alias("ch"), F.col("vector").alias("fb"))

@@ -109,3 +109,22 @@ def test_join_path_equals_broadcast_path(spark):
     ka, kb = key(a), key(b)
     assert len(ka) == nodes.count() and ka == kb
     assert all(len(x) == 15 * 62 for _, _, x in ka)
+
+
+def test_external_scorer_slot(spark):
+    """U-02: any f(float[B, 15, 62]) -> logit[B] runs as a batched UDF over the model vectors."""
+    import numpy as np
+    from pagesift.operators.model import external_scorer
+
+    def make_predict_fn():
+        w = np.zeros((15, 62), dtype=np.float32)
+        w[:, 60] = 1.0  # sum of the text-length z-scores over the steps
+
+        def predict(x):
+            return (x * w).sum(axis=(1, 2)).astype(np.float32)
+        return predict
+
+    x = [float(i % 62 == 60) for i in range(930)]
+    df = spark.createDataFrame([(x,), ([0.0] * 930,)], "x array<double>")
+    got = [r[0] for r in df.select(external_scorer(make_predict_fn, batch_size=2)("x")).collect()]
+    assert got == [15.0, 0.0]
