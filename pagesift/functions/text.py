@@ -17,10 +17,6 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def void_list_sql() -> str:
-    return "array(" + ",".join(sql_str(t) for t in C.VOID_TAGS) + ")"
-
-
 def strip_content(col: Column, strip_latin1: bool = True, keep_whitespace: bool = False) -> Column:
     """C-05: delete whitespace and invisible characters from a text run."""
     if keep_whitespace:
@@ -37,11 +33,6 @@ def escape_text(col: Column) -> Column:
                                F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def normalise_fragment(col: Column) -> Column:
-    """S-05/S-06: decode the serialiser escapes, keep word characters only."""
-    return F.regexp_replace(F.regexp_replace(col, C.ESCAPED_RE, ""), C.NON_WORD_RE, "")
-
-
 def normalise_gold(col: Column) -> Column:
     """S-05 on the gold text: keep word characters only."""
     return F.regexp_replace(col, C.NON_WORD_RE, "")
@@ -57,21 +48,6 @@ def has_cjk(col: Column) -> Column:
     return col.rlike(C.CJK_RE)
 
 
-def length_rule(content: Column, model_pred: Column) -> Column:
-    """S-13: length rules override the model's 0/1 decision."""
-    n = F.length(content)
-    cjk = has_cjk(content)
-    return (F.when(n <= C.RULE_MIN_LEN, F.lit(0))
-            .when(~cjk & (n > C.RULE_MAX_LEN_LATIN), F.lit(1))
-            .when(cjk & (n > C.RULE_MAX_LEN_CJK), F.lit(1))
-            .otherwise(model_pred))
-
-
-def class_of(raw: Column) -> Column:
-    """S-02: first class="..." value of the tag text ('' when absent)."""
-    return F.regexp_extract(raw, C.CLASS_RE, 1)
-
-
 def doc_key_from_url(url: Column) -> Column:
     """Test-data page key: /<lang>/<doc_id> in the URL."""
     return F.regexp_extract(url, r"/[a-z]{2}/([0-9]+)", 1).cast("bigint")
@@ -79,9 +55,3 @@ def doc_key_from_url(url: Column) -> Column:
 
 def lang_from_url(url: Column) -> Column:
     return F.regexp_extract(url, r"/([a-z]{2})/[0-9]+", 1)
-
-
-def minmax_array_sql(arr: str, eps: float = C.MINMAX_EPS) -> str:
-    """S-08: per-vector min-max with the +eps shift of the reference."""
-    return (f"transform({arr}, x -> ((x + {eps!r}) - (array_min({arr}) + {eps!r}))"
-            f" / ((array_max({arr}) - array_min({arr})) + {eps!r}))")

@@ -179,3 +179,20 @@ def labeliser_job(pages: DataFrame, documents: DataFrame, out_path: str | None =
         from pagesift.sources.io import write_labels_tsv
         write_labels_tsv(lab, out_path)
     return lab
+
+
+def vocabulary_job(pages: DataFrame, out_dir: str | None = None, opts: Options = Options()) -> DataFrame:
+    """SURVEY §3-D: corpus vocabularies -> term vectors (min-max normalised) ->
+    optional CSV export as ``tag_vectors`` and ``class_name_vectors`` (IO-06),
+    the latter with key '0' for "no class" (zeros). Returns (kind, term, vector)."""
+    voc = materialize(V.vocab_terms(pages), "vocab")
+    chars = materialize(V.w2v_char_vectors(voc, opts.seed), "char-vectors") if opts.embedding == "w2v" else None
+    vec = V.kind_term_vectors(voc, voc, chars)
+    spark = pages.sparkSession
+    none = spark.createDataFrame([("class", "0", [0.0] * 30)], "kind string, term string, vector array<double>")
+    vec = materialize(vec.unionByName(none), "vocab-vectors")
+    if out_dir:
+        from pagesift.sources.io import write_vectors_csv
+        write_vectors_csv(vec.filter(F.col("kind") == "tag"), f"{out_dir}/tag_vectors", key="tag")
+        write_vectors_csv(vec.filter(F.col("kind") == "class"), f"{out_dir}/class_name_vectors", key="classname")
+    return vec

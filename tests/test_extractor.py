@@ -128,3 +128,15 @@ def test_external_scorer_slot(spark):
     df = spark.createDataFrame([(x,), ([0.0] * 930,)], "x array<double>")
     got = [r[0] for r in df.select(external_scorer(make_predict_fn, batch_size=2)("x")).collect()]
     assert got == [15.0, 0.0]
+
+
+def test_vocabulary_job_exports_csv(spark):
+    from pagesift.plans.extractor import vocabulary_job
+    pages, _ = tables(spark)
+    d = tempfile.mkdtemp(prefix="pagesift-vocab-")
+    vec = vocabulary_job(pages, d)
+    tags = {r["term"]: r["vector"] for r in io.read_vectors_csv(spark, f"{d}/tag_vectors", key="tag").collect()}
+    cls = {r["term"]: r["vector"] for r in io.read_vectors_csv(spark, f"{d}/class_name_vectors", key="classname").collect()}
+    assert "div" in tags and len(tags["div"]) == 30 and min(tags["div"]) == 0.0 and max(tags["div"]) == 1.0
+    assert cls["0"] == [0.0] * 30 and "ad" in cls
+    assert vec.count() == len(tags) + len(cls)
