@@ -42,7 +42,8 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     extra = [c for c in pages.columns if c not in ("page_id", "url", "html")]
     out = pages.select("page_id", "url", *extra, h.alias("html"))
     visible = F.length(F.replace(F.regexp_replace("html", C.TAG_OR_DECL_RE, ""), F.lit("\\"), F.lit("")))
-    status = (F.when(F.col("visible_len") < C.MIN_VISIBLE_CHARS, F.lit("too_short"))
+    status = (F.when(F.col("html").isNull(), F.lit("no_html"))
+              .when(F.col("visible_len") < C.MIN_VISIBLE_CHARS, F.lit("too_short"))
               .when(~F.col("html").rlike(HTML_START_RE), F.lit("no_html"))
               .otherwise(F.lit("ok")))
     return out.withColumn("visible_len", visible.cast("int")).withColumn("status", status)

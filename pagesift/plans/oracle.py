@@ -76,7 +76,8 @@ cl AS (
   FROM cl0
 ),
 cls AS (
-  SELECT *, CASE WHEN visible_len < {C.MIN_VISIBLE_CHARS} THEN 'too_short'
+  SELECT *, CASE WHEN html IS NULL THEN 'no_html'
+                 WHEN visible_len < {C.MIN_VISIBLE_CHARS} THEN 'too_short'
                  WHEN NOT regexp_matches(html, '(?i)<html(?:[\\s/][^<>]*)?>') THEN 'no_html'
                  ELSE 'ok' END AS status
   FROM cl

@@ -26,6 +26,9 @@ def test_m5_gate(spark):
     st = {r["page_id"]: r["status"] for r in df.collect()}
     assert st == {0: "too_short", 1: "ok", 2: "no_html"}
     assert D.quarantine(df).count() == 2
+    nul = D.clean_pages(spark.createDataFrame([(9, "u", None)], "page_id long, url string, html string"))
+    assert nul.first()["status"] == "no_html"
+    assert D.page_events(nul).count() == 0
 
 
 def test_m6_cleaning(spark):
