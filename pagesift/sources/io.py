@@ -74,6 +74,11 @@ def read_gold_lines(spark: SparkSession, *paths: str) -> DataFrame:
         F.col("g.Website").alias("website"), "line_no", "source", "line")
 
 
+def bad_gold_lines(gold: DataFrame) -> DataFrame:
+    """Lines that start with '{' but do not parse as a gold record (quarantine)."""
+    return gold.filter(F.col("filename").isNull()).select("source", "line_no", "line")
+
+
 def first_gold_per_key(gold: DataFrame) -> DataFrame:
     """J-01/W-05: the first line per filename wins (ordered by source file, then line)."""
     order = F.struct("source", "line_no")
@@ -95,10 +100,16 @@ def read_vectors_csv(spark: SparkSession, path: str, key: str = "term") -> DataF
     return df.select(F.col(key).alias("term"), F.from_json("vector", "array<double>").alias("vector"))
 
 
-def write_labels_tsv(labels: DataFrame, path: str) -> None:
-    """IO-08: one TSV folder per page: index, text, label."""
-    labels.select("page_id", F.col("idx").alias("index"), F.col("content").alias("text"), "label") \
-          .write.mode("overwrite").partitionBy("page_id").option("sep", "\t").option("header", True).csv(path)
+def write_labels_tsv(labels: DataFrame, path: str, per_page: bool = False) -> None:
+    """IO-08: label rows as TSV (page_id, index, text, label).
+
+    The default writes one dataset whose files are cut by Spark tasks; one
+    folder per page (``per_page=True``, the original layout) is only sensible
+    for small corpora — with millions of pages it creates millions of
+    directories."""
+    out = labels.select("page_id", F.col("idx").alias("index"), F.col("content").alias("text"), "label")
+    w = out.write.mode("overwrite").option("sep", "\t").option("header", True)
+    (w.partitionBy("page_id") if per_page else w).csv(path)
 
 
 def save_params(params: DataFrame, path: str) -> None:

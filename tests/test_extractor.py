@@ -56,6 +56,9 @@ def test_labeliser_job_tsv(spark):
     n = lab.count()
     back = spark.read.option("sep", "\t").option("header", True).csv(d)
     assert back.count() == n and set(back.columns) == {"index", "text", "label", "page_id"}
+    io.write_labels_tsv(lab, d + "_pp", per_page=True)
+    pp = spark.read.option("sep", "\t").option("header", True).csv(d + "_pp")
+    assert pp.count() == n and pp.select("page_id").distinct().count() == lab.select("page_id").distinct().count()
 
 
 def test_vectors_csv_and_params_roundtrip(spark):

@@ -99,8 +99,12 @@ def test_m12_sources(spark):
     g = os.path.join(d, "gold.txt")
     open(g, "w").write("{'Filename': 'YQ==', 'Body text': 'it\\'s ok', 'Website': \"x\"}\njunk\n"
                        "{'Filename': 'YQ==', 'Body text': 'second', 'Website': 'y'}\n")
-    gold = io.first_gold_per_key(io.read_gold_lines(spark, g)).collect()
+    lines = io.read_gold_lines(spark, g)
+    gold = io.first_gold_per_key(lines).collect()
     assert len(gold) == 1 and gold[0]["body_text"] == "it's ok"
+    open(g, "a").write("{not a dict\n")
+    bad = io.bad_gold_lines(io.read_gold_lines(spark, g)).collect()
+    assert [r["line"] for r in bad] == ["{not a dict"]
 
 
 def test_m13_folds(spark):
