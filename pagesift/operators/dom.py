@@ -121,3 +121,27 @@ def path_strings(events: DataFrame) -> DataFrame:
     path = F.expr("transform(arrays_zip(anc, raw), e -> "
                   "array_join(concat(transform(e.anc, a -> tag[a]), array(e.raw)), '>'))")
     return events.withColumn("path", path)
+
+
+def parents_by_search(events: DataFrame) -> DataFrame:
+    """J-02 window form: an event's parent is the nearest earlier start event whose
+    name is the event's parent name and whose ancestors are the event's
+    grandparent path — a backward as-of lookup, written as a union of
+    definitions (start events) and probes (all events) and ``last(ignorenulls)``
+    over the preceding rows of the same (page, path key). Groups are siblings
+    of one page, bounded by the page. Cross-check of ``nodes().parent_pos``."""
+    from pyspark.sql import Window
+    names = F.expr("transform(anc, l -> transform(l, a -> tag[a]))")
+    rows = events.select("page_id", F.posexplode(F.arrays_zip("kind", "tag", names.alias("an"))).alias("pos", "e"))
+    rows = rows.select("page_id", "pos", "e.kind", "e.tag", "e.an")
+    key = lambda path, last: F.concat_ws("|", F.array_join(path, ">"), last)
+    defs = rows.filter(F.col("kind") == "start").select(
+        "page_id", key(F.col("an"), F.col("tag")).alias("k"), "pos", F.col("pos").alias("d"), F.lit(0).alias("probe"))
+    probes = rows.filter(F.size("an") > 0).select(
+        "page_id", key(F.slice("an", 1, F.size("an") - 1), F.element_at("an", -1)).alias("k"), "pos",
+        F.lit(None).cast("int").alias("d"), F.lit(1).alias("probe"))
+    w = Window.partitionBy("page_id", "k").orderBy("pos", "probe").rowsBetween(Window.unboundedPreceding, -1)
+    found = defs.unionByName(probes).withColumn("parent_pos", F.last("d", ignorenulls=True).over(w)) \
+                .filter(F.col("probe") == 1).select("page_id", "pos", "parent_pos")
+    roots = rows.filter(F.size("an") == 0).select("page_id", "pos", F.lit(None).cast("int").alias("parent_pos"))
+    return found.unionByName(roots)

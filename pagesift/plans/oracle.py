@@ -307,6 +307,7 @@ SELECTS = {
                AND j.tag = i.an[-1] AND j.an = i.an[:len(i.an) - 1]) AS BIGINT) AS parent_pos
         FROM nx i""",
     "node_content": "SELECT page_id, CAST(pos AS BIGINT) AS pos, content FROM nd",
+    "parents_search": None,
     "nonempty_nodes": f"SELECT page_id, CAST(pos AS BIGINT) AS pos, idx, CAST(length(content) AS BIGINT) AS n FROM {NE}",
     "closure": f"""SELECT page_id, CAST(pos AS BIGINT) AS pos, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS step,
         CAST(unnest(p) AS BIGINT) AS anc_pos FROM (SELECT page_id, pos, list_append(anc_pos, pos) AS p FROM {NE})""",
@@ -358,8 +359,9 @@ nx AS (SELECT n.page_id, n.pos, n.tag, list_select(p.tags, list_transform(n.anc_
 
 def oracle_queries() -> dict[str, str]:
     out = {}
+    SELECTS["parents_search"] = SELECTS["parents"]  # same literal backward search
     for name, sel in SELECTS.items():
-        if name == "parents":
+        if name in ("parents", "parents_search"):
             out[name] = "WITH RECURSIVE " + BASE.strip() + NX + sel
         else:
             out[name] = with_all(sel)

@@ -87,6 +87,12 @@ def q_parents(spark, sf):
     return n.select("page_id", big(F.col("pos")).alias("pos"), big(F.col("parent_pos")).alias("parent_pos"))
 
 
+def q_parents_search(spark, sf):
+    """J-02 by backward search (window form); must equal ``parents``."""
+    p = D.parents_by_search(_events(spark, sf))
+    return p.select("page_id", big(F.col("pos")).alias("pos"), big(F.col("parent_pos")).alias("parent_pos"))
+
+
 def q_node_content(spark, sf):
     n = D.explode_nodes(_events(spark, sf))
     return n.select("page_id", big(F.col("pos")).alias("pos"), "content")

@@ -75,7 +75,7 @@ def fixture_dir():
     return d
 
 
-QUERIES = ["page_clean_len", "page_gate", "quarantine", "max_depth", "truncated_paths", "raw_tokens", "events", "parents", "node_content", "nonempty_nodes", "closure",
+QUERIES = ["page_clean_len", "page_gate", "quarantine", "max_depth", "truncated_paths", "raw_tokens", "events", "parents", "parents_search", "node_content", "nonempty_nodes", "closure",
            "page_features", "node_features", "labels", "length_rules", "script_family", "rule_bodies",
            "tag_vocab", "class_vocab", "vocab_misses"]
 
