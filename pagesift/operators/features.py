@@ -140,20 +140,38 @@ def _flatten_steps(j: DataFrame, steps, keep, max_steps: int) -> DataFrame:
     return j.select(*keep, flat.alias("x"))
 
 
+def step_normalised_sql(v: str) -> str:
+    """S-08 on one vector expression, evaluated once (bound by a one-element transform)."""
+    eps = C.MINMAX_EPS
+    return (f"transform(array({v}), x -> transform(x, y -> ((y + {eps!r}) - (array_min(x) + {eps!r}))"
+            f" / ((array_max(x) - array_min(x)) + {eps!r})))[0]")
+
+
 def model_vectors(nodes: DataFrame, vmap: DataFrame, params: DataFrame,
-                  max_steps: int = C.MAX_STEPS) -> DataFrame:
+                  max_steps: int = C.MAX_STEPS, inline_misses: bool = False) -> DataFrame:
     """E-02/E-03/E-10/S-14/S-15: the normalised 15 x 62 input of a node, flattened.
 
     ``vmap`` is a one-row table with ``tvec`` / ``cvec`` maps term -> step-
     normalised vector (size-checked by the caller, joined as a broadcast);
     ``params`` the one row of ``norm_params``. Steps past the path are
     padding: zero vectors and the z-score of zero, as in a zero-padded tensor.
+    With ``inline_misses`` a term absent from a map gets its sub-word vector
+    computed in place (E-05 formula, raw then step-normalised, i.e. the
+    out-of-vocabulary treatment), so the maps may hold just the fitted vocabulary.
     """
     j = nodes.crossJoin(F.broadcast(vmap)).crossJoin(F.broadcast(params))
-    steps = F.transform(
-        F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c")),
-        lambda s: F.struct(F.element_at(F.col("tvec"), s["t"]).alias("tv"),
-                           F.element_at(F.col("cvec"), s["c"]).alias("cv")))
+    if inline_misses:
+        from pagesift.operators.vocab import hash_vector_sql
+        miss = lambda t: step_normalised_sql(hash_vector_sql(t))
+        steps = F.expr(
+            "transform(arrays_zip(step_tag, step_class), s -> named_struct("
+            f"'tv', coalesce(element_at(tvec, s.step_tag), {miss('s.step_tag')}),"
+            f"'cv', coalesce(element_at(cvec, s.step_class), {miss('s.step_class')})))")
+    else:
+        steps = F.transform(
+            F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c")),
+            lambda s: F.struct(F.element_at(F.col("tvec"), s["t"]).alias("tv"),
+                               F.element_at(F.col("cvec"), s["c"]).alias("cv")))
     keep = [c for c in nodes.columns if c not in ("step_tag", "step_class", "step_pos")]
     return _flatten_steps(j, steps, keep, max_steps)
 

@@ -64,6 +64,7 @@ class BodyExtractor:
     extra_features: Sequence[ExtraFeature] = ()
     vocab: DataFrame | None = None
     char_vectors: DataFrame | None = None
+    term_table: DataFrame | None = None
     params: DataFrame | None = None
     model: object | None = None
     pos_weight: float = 1.0
@@ -84,6 +85,28 @@ class BodyExtractor:
             vec = vec.withColumn("x", F.concat("x", extra))
         return MD.with_features(vec)
 
+    def _fitted_terms(self) -> DataFrame:
+        """Step-normalised vectors of the fitted vocabulary, end-tag terms and the empty class."""
+        voc = self.vocab
+        ends = voc.filter(F.col("kind") == "tag").select("kind", F.concat(F.lit("/"), "term").alias("term"))
+        empty = voc.sparkSession.createDataFrame([("class", "")], "kind string, term string")
+        terms = voc.select("kind", "term").unionByName(ends).unionByName(empty).distinct()
+        return FE.step_normalised(V.kind_term_vectors(terms, voc, self.char_vectors))
+
+    def _score_vectors(self, nodes: DataFrame) -> DataFrame | None:
+        """One-pass scoring vectors: fitted maps broadcast (count-checked), unseen terms
+        embedded in place. None when not applicable (trained embedding, or maps too large)."""
+        if self.opts.embedding != "hash" or self.term_table is None:
+            return None
+        vmap = FE.vector_maps_kind(self.term_table, self.opts.vocab_broadcast_max_terms)
+        if vmap is None:
+            return None
+        vec = FE.model_vectors(nodes, vmap, self.params, self.opts.max_steps, inline_misses=True)
+        if self.extra_features:
+            extra = F.array(*[make().cast("double").alias(name) for name, make in self.extra_features])
+            vec = vec.withColumn("x", F.concat("x", extra))
+        return MD.with_features(vec)
+
     # -- fit / transform --------------------------------------------------
     def fit(self, pages: DataFrame, documents: DataFrame) -> "BodyExtractor":
         """E-08 + T-01: label the pages against their gold text and fit the classifier."""
@@ -96,6 +119,7 @@ class BodyExtractor:
         if self.opts.embedding == "w2v":
             self.char_vectors = materialize(V.w2v_char_vectors(self.vocab, self.opts.seed), "char-vectors")
         self.params = materialize(FE.norm_params(nodes, self.opts.max_steps), "params")
+        self.term_table = materialize(self._fitted_terms(), "fitted-terms")
         train = self._vectors(nodes)
         if self.classifier is not None and self.classifier.hasParam("validationIndicatorCol") \
                 and self.classifier.isSet("validationIndicatorCol"):
@@ -106,10 +130,16 @@ class BodyExtractor:
         return self
 
     def score_nodes(self, pages: DataFrame) -> DataFrame:
-        """T-06 + S-13 on pages without gold: (page_id, pos, content, prob, pred, accept)."""
-        nodes = materialize(FE.apply_scope(FE.nonempty_nodes(page_rows(pages.select("page_id", "url", "html"),
-                                                                       self.opts)), self.opts), "score-nodes")
-        x = self._vectors(nodes).withColumn("label", F.lit(0))
+        """T-06 + S-13 on pages without gold: (page_id, pos, content, prob, pred, accept).
+
+        With the hash embedding this is one narrow pass from pages to scores;
+        otherwise the node rows are written once and their terms embedded."""
+        nodes = FE.apply_scope(FE.nonempty_nodes(page_rows(pages.select("page_id", "url", "html"), self.opts)),
+                               self.opts)
+        x = self._score_vectors(nodes)
+        if x is None:
+            x = self._vectors(materialize(nodes, "score-nodes"))
+        x = x.withColumn("label", F.lit(0))
         out = self.model.transform(x)
         from pyspark.ml.functions import vector_to_array
         out = out.withColumn("prob", vector_to_array("probability")[1]) \
@@ -127,6 +157,7 @@ class BodyExtractor:
         self.model.write().overwrite().save(f"{path}/model")
         if self.char_vectors is not None:
             self.char_vectors.write.mode("overwrite").parquet(f"{path}/char_vectors")
+        self.term_table.write.mode("overwrite").parquet(f"{path}/term_table")
         spark = self.params.sparkSession
         spark.createDataFrame([(float(self.pos_weight),)], "pos_weight double") \
              .write.mode("overwrite").parquet(f"{path}/meta")
@@ -141,6 +172,7 @@ class BodyExtractor:
         ex.pos_weight = spark.read.parquet(f"{path}/meta").first()["pos_weight"]
         if opts.embedding == "w2v":
             ex.char_vectors = spark.read.parquet(f"{path}/char_vectors")
+        ex.term_table = spark.read.parquet(f"{path}/term_table")
         return ex
 
 

@@ -143,3 +143,19 @@ def test_vocabulary_job_exports_csv(spark):
     assert "div" in tags and len(tags["div"]) == 30 and min(tags["div"]) == 0.0 and max(tags["div"]) == 1.0
     assert cls["0"] == [0.0] * 30 and "ad" in cls
     assert vec.count() == len(tags) + len(cls)
+
+
+def test_one_pass_scoring_equals_materialized_path(spark):
+    """Scoring from the fitted maps with in-place embedding of unseen terms gives the
+    same decisions as embedding the used terms of written node rows."""
+    from pagesift.config import Options
+    pages, docs = tables(spark)
+    ex = BodyExtractor().fit(pages, docs)
+    odd = spark.createDataFrame(
+        [(900, "http://x/en/1", '<html><body><my-widget class="never seen"><p>' + "w " * 200 +
+          "</p></my-widget></body></html>")], "page_id long, url string, html string")
+    allp = pages.unionByName(odd)
+    one = {(r["page_id"], r["pos"]): (round(r["prob"], 9), r["accept"]) for r in ex.score_nodes(allp).collect()}
+    ex.term_table = None  # forces the written-nodes path
+    two = {(r["page_id"], r["pos"]): (round(r["prob"], 9), r["accept"]) for r in ex.score_nodes(allp).collect()}
+    assert one == two and any(k[0] == 900 for k in one)
