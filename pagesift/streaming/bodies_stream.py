@@ -30,3 +30,21 @@ def stream_pages(spark: SparkSession, folder: str, glob: str = "pages*.parquet",
 def rule_bodies_stream(pages: DataFrame) -> DataFrame:
     """Streaming DataFrame of (page_id, body) from the length rules alone."""
     return B.rule_bodies(D.page_events(D.clean_pages(pages)))
+
+
+def model_bodies_stream(pages: DataFrame, extractor, out_path: str, checkpoint: str):
+    """Bodies from a fitted ``BodyExtractor`` for a stream of pages.
+
+    Each micro-batch is an ordinary DataFrame, scored by the extractor's
+    one-pass ``transform`` and appended to a parquet table partitioned by
+    batch id; a replayed batch overwrites its own partition, so output is
+    exactly once. Returns the started ``StreamingQuery``."""
+    from pyspark.sql import functions as F
+
+    def write_batch(df: DataFrame, batch_id: int) -> None:
+        out = extractor.transform(df).withColumn("batch_id", F.lit(batch_id))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id").parquet(out_path))
+
+    return (pages.writeStream.foreachBatch(write_batch)
+            .option("checkpointLocation", checkpoint).start())
