@@ -193,6 +193,24 @@ def model_vectors_join(nodes: DataFrame, tag_vectors: DataFrame, class_vectors:
     return _flatten_steps(j, F.col("steps"), keep, max_steps)
 
 
+def vectors_from_table(nodes: DataFrame, table: DataFrame, params: DataFrame, opts: Options = Options(),
+                       inline_misses: bool = False, allow_join: bool = True) -> DataFrame | None:
+    """Model vectors of ``nodes`` from a (kind, term, step-normalised vector) table.
+
+    Under the broadcast bound the table becomes one-row maps (count-checked)
+    and vectors are a narrow projection; above it, steps are joined to the
+    table by term (``allow_join``), or None is returned for the caller to
+    choose another way."""
+    vmap = vector_maps_kind(table, opts.vocab_broadcast_max_terms)
+    if vmap is not None:
+        return model_vectors(nodes, vmap, params, opts.max_steps, inline_misses=inline_misses)
+    if not allow_join:
+        return None
+    tv = table.filter(F.col("kind") == "tag").drop("kind")
+    cv = table.filter(F.col("kind") == "class").drop("kind")
+    return model_vectors_join(nodes, tv, cv, params, opts.max_steps)
+
+
 def vector_maps(tag_vectors: DataFrame, class_vectors: DataFrame, max_terms: int) -> DataFrame | None:
     """One-row table of term -> vector maps, or None when a vocabulary is
     larger than ``max_terms`` (the proven bound on what is broadcast)."""

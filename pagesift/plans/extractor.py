@@ -73,13 +73,9 @@ class BodyExtractor:
     def _vectors(self, nodes: DataFrame) -> DataFrame:
         vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), self.vocab,
                                                                 self.char_vectors)), "term-vectors")
-        vmap = FE.vector_maps_kind(vt, self.opts.vocab_broadcast_max_terms)
-        if vmap is None:
-            tv = vt.filter(F.col("kind") == "tag").drop("kind")
-            cv = vt.filter(F.col("kind") == "class").drop("kind")
-            vec = FE.model_vectors_join(nodes, tv, cv, self.params, self.opts.max_steps)
-        else:
-            vec = FE.model_vectors(nodes, vmap, self.params, self.opts.max_steps)
+        return self._finish(FE.vectors_from_table(nodes, vt, self.params, self.opts))
+
+    def _finish(self, vec: DataFrame) -> DataFrame:
         if self.extra_features:
             extra = F.array(*[make().cast("double").alias(name) for name, make in self.extra_features])
             vec = vec.withColumn("x", F.concat("x", extra))
@@ -98,14 +94,9 @@ class BodyExtractor:
         embedded in place. None when not applicable (trained embedding, or maps too large)."""
         if self.opts.embedding != "hash" or self.term_table is None:
             return None
-        vmap = FE.vector_maps_kind(self.term_table, self.opts.vocab_broadcast_max_terms)
-        if vmap is None:
-            return None
-        vec = FE.model_vectors(nodes, vmap, self.params, self.opts.max_steps, inline_misses=True)
-        if self.extra_features:
-            extra = F.array(*[make().cast("double").alias(name) for name, make in self.extra_features])
-            vec = vec.withColumn("x", F.concat("x", extra))
-        return MD.with_features(vec)
+        vec = FE.vectors_from_table(nodes, self.term_table, self.params, self.opts,
+                                    inline_misses=True, allow_join=False)
+        return None if vec is None else self._finish(vec)
 
     # -- fit / transform --------------------------------------------------
     def fit(self, pages: DataFrame, documents: DataFrame) -> "BodyExtractor":

@@ -1,10 +1,11 @@
-"""End-to-end jobs: training set, cross-validation, scoring and page bodies (E-04, E-08, T-02, T-07, T-08).
-
-Plan: pages ⋈ gold (one join per page) -> narrow clean/fold/label ->
-explode to non-empty nodes -> stratified folds (range sort + bounded
-offsets) -> vectors from one-row broadcast maps (or a shuffle join when
-the vocabularies are too large) -> checkpointed training matrix -> Spark
-ML fits -> scores -> length rules -> one group per page for the body.
+"""End-to-end jobs on the test tables: training set, cross-validation, scoring
+and page bodies (E-08, T-02, T-06, T-07).
+
+Plan: narrow clean/fold -> gold join per page (hot documents salted) ->
+labels in the page row -> non-empty node rows -> stratified folds (bucket
+repartition, one written table) -> term vectors written once, broadcast as
+count-checked maps (shuffle joins beyond the bound) -> persisted training
+matrix -> Spark ML fits -> scores -> length rules -> one group per page.
 """
 
 from __future__ import annotations
@@ -37,12 +38,7 @@ def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS) -> tup
         if opts.embedding == "w2v" else None
     vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), voc, chars)), "term-vectors")
     params = FE.norm_params(nodes, opts.max_steps)
-    vmap = FE.vector_maps_kind(vt, opts.vocab_broadcast_max_terms)
-    if vmap is None:
-        tv = vt.filter(F.col("kind") == "tag").drop("kind")
-        cv = vt.filter(F.col("kind") == "class").drop("kind")
-        return FE.model_vectors_join(nodes, tv, cv, params, opts.max_steps), params
-    return FE.model_vectors(nodes, vmap, params, opts.max_steps), params
+    return FE.vectors_from_table(nodes, vt, params, opts), params
 
 
 def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataFrame:
