@@ -27,7 +27,7 @@ def rule_bodies(page_rows: DataFrame) -> DataFrame:
 
 def script_family(page_rows: DataFrame) -> DataFrame:
     """IO-12 routing key: 'zh' when any node text holds a CJK ideograph, else 'la'."""
-    z = F.exists("content", lambda c: c.rlike(C.CJK_RE))
+    z = F.exists("content", X.has_cjk)
     return page_rows.select("page_id", F.when(z, "zh").otherwise("la").alias("script"))
 
 

@@ -209,14 +209,3 @@ def vectors_from_table(nodes: DataFrame, table: DataFrame, params: DataFrame, op
     tv = table.filter(F.col("kind") == "tag").drop("kind")
     cv = table.filter(F.col("kind") == "class").drop("kind")
     return model_vectors_join(nodes, tv, cv, params, opts.max_steps)
-
-
-def vector_maps(tag_vectors: DataFrame, class_vectors: DataFrame, max_terms: int) -> DataFrame | None:
-    """One-row table of term -> vector maps, or None when a vocabulary is
-    larger than ``max_terms`` (the proven bound on what is broadcast)."""
-    n_t, n_c = tag_vectors.count(), class_vectors.count()
-    if max(n_t, n_c) > max_terms:
-        return None
-    t = tag_vectors.agg(F.map_from_entries(F.collect_list(F.struct("term", "vector"))).alias("tvec"))
-    c = class_vectors.agg(F.map_from_entries(F.collect_list(F.struct("term", "vector"))).alias("cvec"))
-    return t.crossJoin(c)

@@ -28,13 +28,6 @@ def gold_table(documents: DataFrame) -> DataFrame:
         F.length("text").cast("bigint").alias("gold_len"))
 
 
-def first_gold(gold_lines: DataFrame, key: str = "filename", order: str = "line_no") -> DataFrame:
-    """W-05/J-01 first row per key as an aggregate (partial aggregation, skew-safe)."""
-    others = [c for c in gold_lines.columns if c not in (key, order)]
-    agg = F.min_by(F.struct(*others), F.col(order)).alias("g")
-    return gold_lines.groupBy(key).agg(agg).select(key, "g.*")
-
-
 def hot_docs(pages: DataFrame, min_rows: int) -> DataFrame:
     """doc_ids referenced by at least ``min_rows`` pages; reads only the url column."""
     from pagesift.operators.skew import hot_keys

@@ -111,15 +111,6 @@ def minmax_vectors(long: DataFrame, keys=("term",)) -> DataFrame:
     return w.select(*keys, F.posexplode("vector").alias("dim", "value"))
 
 
-def term_vectors(terms: DataFrame, vocab_terms: DataFrame) -> DataFrame:
-    """J-04/J-05: (term, vector) for the given terms; vocabulary terms are min-max
-    normalised (S-16), others keep the raw sub-word vector; '' maps to zeros."""
-    v = wide(hash_vectors(terms))
-    v = v.join(vocab_terms.select("term", F.lit(True).alias("in_vocab")).distinct(), "term", "left")
-    vec = F.when(F.col("in_vocab"), minmax_vector(F.col("vector"))).otherwise(F.col("vector"))
-    return v.select("term", vec.alias("vector"))
-
-
 def w2v_char_vectors(vocab: DataFrame, seed: int = C.FOLD_SEED, max_iter: int = 10) -> DataFrame:
     """E-06 training: one Word2Vec per kind over the characters of each vocabulary
     term (a term is a sentence, a character a word); (kind, ch, vector)."""

@@ -218,10 +218,6 @@ lab AS (
 """
 
 
-def with_base(select: str) -> str:
-    return "WITH RECURSIVE " + BASE.strip() + "\n" + select
-
-
 def _mask(x: str) -> str:
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     for tag in ("script", "style"):

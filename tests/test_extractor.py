@@ -159,3 +159,15 @@ def test_one_pass_scoring_equals_materialized_path(spark):
     ex.term_table = None  # forces the written-nodes path
     two = {(r["page_id"], r["pos"]): (round(r["prob"], 9), r["accept"]) for r in ex.score_nodes(allp).collect()}
     assert one == two and any(k[0] == 900 for k in one)
+
+
+def test_tune_with_fold_column_and_write_bodies(spark):
+    from pagesift.operators import model as MD
+    from pagesift.plans import pipeline as P
+    m = P.training_matrix(spark, SF).withColumn("w", F.lit(1.0))
+    cvm = MD.tune(m)
+    assert len(cvm.avgMetrics) == 2 and all(0.0 <= v <= 1.0 for v in cvm.avgMetrics)
+    d = tempfile.mkdtemp(prefix="pagesift-bodies-")
+    bodies = P.page_bodies(spark, SF)
+    io.write_bodies(bodies, f"{d}/b")
+    assert spark.read.parquet(f"{d}/b").count() == bodies.count()
