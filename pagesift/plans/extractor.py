@@ -191,7 +191,7 @@ def extract_bodies(pages: DataFrame, registry: dict[str, BodyExtractor]) -> tupl
     return out, quarantine
 
 
-def labeliser_job(pages: DataFrame, documents: DataFrame, out_path: str | None = None,
+def label_export_job(pages: DataFrame, documents: DataFrame, out_path: str | None = None,
                   opts: Options = Options()) -> DataFrame:
     """E-09: (page_id, idx, content, label) of non-empty nodes; optional TSV export (IO-08)."""
     keyed = LB.pages_with_doc(pages).select("page_id", "url", "html", "doc_id")

@@ -1,11 +1,11 @@
-"""Fit/transform extractor, persistence, routing, feature hook, early stopping, labeliser job, IO."""
+"""Fit/transform extractor, persistence, routing, feature hook, early stopping, label export job, IO."""
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
 from pagesift.plans.extractor import (BodyExtractor, extract_bodies, gbt_with_early_stopping,
-                                      labeliser_job)
+                                      label_export_job)
 from pagesift.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -49,10 +49,10 @@ def test_feature_hook_and_gbt(spark):
     assert ex.transform(pages).count() == pages.count()
 
 
-def test_labeliser_job_tsv(spark):
+def test_label_export_job_tsv(spark):
     pages, docs = tables(spark)
     d = os.path.join(tempfile.mkdtemp(prefix="pagesift-lab-"), "labels")
-    lab = labeliser_job(pages, docs, d)
+    lab = label_export_job(pages, docs, d)
     n = lab.count()
     back = spark.read.option("sep", "\t").option("header", True).csv(d)
     assert back.count() == n and set(back.columns) == {"index", "text", "label", "page_id"}
