@@ -219,3 +219,20 @@ def vocabulary_job(pages: DataFrame, out_dir: str | None = None, opts: Options =
         write_vectors_csv(vec.filter(F.col("kind") == "tag"), f"{out_dir}/tag_vectors", key="tag")
         write_vectors_csv(vec.filter(F.col("kind") == "class"), f"{out_dir}/class_name_vectors", key="classname")
     return vec
+
+
+def extraction_job(spark, pages: DataFrame, out_path: str, model_path: str | None = None,
+                   documents: DataFrame | None = None, opts: Options = Options()) -> BodyExtractor:
+    """T-08 bulk job: fit on ``documents`` (and save to ``model_path``) or load a saved
+    extractor, score every page in one pass, write ``bodies`` and ``quarantine`` under
+    ``out_path`` (parquet). Returns the extractor."""
+    if documents is not None:
+        ex = BodyExtractor(opts=opts).fit(pages, documents)
+        if model_path:
+            ex.save(model_path)
+    else:
+        ex = BodyExtractor.load(spark, model_path, opts)
+    ex.transform(pages).write.mode("overwrite").parquet(f"{out_path}/bodies")
+    D.quarantine(D.clean_pages(pages.select("page_id", "url", "html"))) \
+        .write.mode("overwrite").parquet(f"{out_path}/quarantine")
+    return ex

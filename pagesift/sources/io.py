@@ -42,13 +42,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in ("pages", "documents") else df
 
 
-def read_html_folder(spark: SparkSession, folder: str) -> DataFrame:
+def read_html_folder(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """IO-01..03: (page_id, key, url, html) from ``folder/*.html``; url = base64-decoded stem.
 
     ``page_id`` is a 64-bit hash of the stem (stable across re-reads and
     partitionings); ``key`` is kept as the exact identity (with 1e9 pages the
     chance of any 64-bit collision is about 3%)."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(folder)
+    df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.html")
+          .option("recursiveFileLookup", recursive).text(folder)
           .select(F.col("value").alias("html"), F.input_file_name().alias("path")))
     key = F.regexp_extract(F.col("path"), r"([^/]+)\.html$", 1)
     url = F.decode(F.unbase64(key), "UTF-8")

@@ -171,3 +171,21 @@ def test_tune_with_fold_column_and_write_bodies(spark):
     bodies = P.page_bodies(spark, SF)
     io.write_bodies(bodies, f"{d}/b")
     assert spark.read.parquet(f"{d}/b").count() == bodies.count()
+
+
+def test_extraction_job_and_nested_folder(spark):
+    import base64
+    from pagesift.plans.extractor import extraction_job
+    pages, docs = tables(spark)
+    d = tempfile.mkdtemp(prefix="pagesift-job-")
+    extraction_job(spark, pages, f"{d}/out", f"{d}/model", docs)
+    extraction_job(spark, pages, f"{d}/out2", f"{d}/model")  # load the saved extractor
+    a = sorted(tuple(r) for r in spark.read.parquet(f"{d}/out/bodies").collect())
+    b = sorted(tuple(r) for r in spark.read.parquet(f"{d}/out2/bodies").collect())
+    assert a == b and len(a) == pages.count()
+    assert spark.read.parquet(f"{d}/out/quarantine").count() == 0
+    nested = os.path.join(d, "site", "sub")
+    os.makedirs(nested)
+    open(os.path.join(nested, base64.b64encode(b"http://n.example/x").decode() + ".html"), "w").write("<html></html>")
+    assert io.read_html_folder(spark, os.path.join(d, "site")).count() == 0
+    assert [r["url"] for r in io.read_html_folder(spark, os.path.join(d, "site"), recursive=True).collect()] == ["http://n.example/x"]
