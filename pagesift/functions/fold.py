@@ -59,8 +59,8 @@ def canonical_tag(name: str, token: str, name_end: int, void: bool) -> str:
     return name + (" " + " ".join(attrs) if attrs else "") + ("/" if void else "")
 
 
-def fold_tokens(tokens):
-    """Return parallel lists ``(kind, name, raw, synthetic, tag, cls, anc, run)``.
+def fold_tokens(tokens, max_anc: int | None = None):
+    """Return parallel lists ``(kind, name, raw, synthetic, tag, cls, anc, run, parent, depth)``.
 
     ``raw`` is the canonical tag text (``/name`` for ends); ``tag`` the path
     name, i.e. the first word of ``raw``; ``cls`` the first class="..." value
@@ -74,6 +74,8 @@ def fold_tokens(tokens):
     clss: list[str] = []
     synth: list[bool] = []
     ancs: list[list[int]] = []
+    parents: list[int | None] = []
+    depths: list[int] = []
     runs: list[list[str]] = []
     rstack: list[str] = []
     pnames: list[str] = []
@@ -94,7 +96,9 @@ def fold_tokens(tokens):
             tags.append("/" + name)
             clss.append("")
         synth.append(synthetic)
-        ancs.append(list(ppos))
+        ancs.append(list(ppos) if max_anc is None else ppos[:max_anc])
+        parents.append(ppos[-1] if ppos else None)
+        depths.append(len(ppos) + 1)
         runs.append([])
         return len(kinds) - 1
 
@@ -148,4 +152,4 @@ def fold_tokens(tokens):
     for parts in runs:
         s = "".join(parts)
         text.append(_html.unescape(s) if "&" in s else s)
-    return kinds, names, toks, synth, tags, clss, ancs, text
+    return kinds, names, toks, synth, tags, clss, ancs, text, parents, depths

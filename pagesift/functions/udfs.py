@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagesift.config import MAX_STEPS
 from pagesift.functions.fold import fold_tokens
 
 FOLD_SCHEMA = T.StructType([
@@ -19,6 +20,8 @@ FOLD_SCHEMA = T.StructType([
     T.StructField("cls", T.ArrayType(T.StringType())),
     T.StructField("anc", T.ArrayType(T.ArrayType(T.IntegerType()))),
     T.StructField("run", T.ArrayType(T.StringType())),
+    T.StructField("parent", T.ArrayType(T.IntegerType())),
+    T.StructField("depth", T.ArrayType(T.IntegerType())),
 ])
 
 
@@ -34,14 +37,19 @@ def _unescape(s: pd.Series) -> pd.Series:
 html_unescape = F.pandas_udf(_unescape, T.StringType()).asNondeterministic()
 
 
-def _fold(tokens: pd.Series) -> pd.DataFrame:
-    """Token array -> struct of parallel event arrays (see ``fold.fold_tokens``)."""
-    keys = ("kind", "name", "raw", "synthetic", "tag", "cls", "anc", "run")
-    cols = {k: [] for k in keys}
-    for toks in tokens:
-        for k, v in zip(keys, fold_tokens(None if toks is None else list(toks))):
-            cols[k].append(v)
-    return pd.DataFrame(cols)
+def _folder(max_anc):
+    def _fold(tokens: pd.Series) -> pd.DataFrame:
+        """Token array -> struct of parallel event arrays (see ``fold.fold_tokens``)."""
+        keys = ("kind", "name", "raw", "synthetic", "tag", "cls", "anc", "run", "parent", "depth")
+        cols = {k: [] for k in keys}
+        for toks in tokens:
+            for k, v in zip(keys, fold_tokens(None if toks is None else list(toks), max_anc)):
+                cols[k].append(v)
+        return pd.DataFrame(cols)
+    return _fold
 
 
-fold_events = F.pandas_udf(_fold, FOLD_SCHEMA).asNondeterministic()
+# Full ancestor lists (paths printed whole) or only the root-most MAX_STEPS of them:
+# the compact form bounds a pathologically deep page to O(events) integers.
+fold_events = F.pandas_udf(_folder(None), FOLD_SCHEMA).asNondeterministic()
+fold_events_compact = F.pandas_udf(_folder(MAX_STEPS), FOLD_SCHEMA).asNondeterministic()

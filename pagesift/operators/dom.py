@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagesift import config as C
 from pagesift.config import Options
 from pagesift.functions import text as X
-from pagesift.functions.udfs import fold_events, html_unescape
+from pagesift.functions.udfs import fold_events, fold_events_compact, html_unescape
 
 HTML_START_RE = r"(?i)<html(?:[\s/][^<>]*)?>"
 
@@ -60,12 +60,15 @@ def tokens(cleaned: DataFrame) -> DataFrame:
     return cleaned.withColumn("toks", F.regexp_extract_all("html", F.lit(C.TOKEN_RE), 0))
 
 
-def page_events(cleaned: DataFrame, opts: Options = Options()) -> DataFrame:
+def page_events(cleaned: DataFrame, opts: Options = Options(), full_paths: bool = False) -> DataFrame:
     """L-06/L-07, C-03..C-05 on usable pages; one row per page with event arrays.
 
     Columns: page_id, url, kind, name, synthetic, raw, tag, class_name, anc,
-    content (arrays indexed by event position), text_len, punct (page totals
-    over all node texts).
+    parent, depth, content (arrays indexed by event position), text_len,
+    punct (page totals over all node texts). ``anc`` holds every ancestor
+    with ``full_paths``, else only the root-most ``max_steps`` (all the
+    features need), which keeps a page with thousands of unclosed tags at
+    O(events) integers instead of O(events x depth).
 
     Only element-wise and shifted-array expressions are used here: a lambda
     that indexes another computed array would be re-evaluated per element
@@ -78,12 +81,13 @@ def page_events(cleaned: DataFrame, opts: Options = Options()) -> DataFrame:
     ok = cleaned.withColumn("toks", F.when(F.col("status") == "ok",
                                            F.regexp_extract_all("html", F.lit(C.TOKEN_RE), 0)))
     extra = [c for c in cleaned.columns if c not in ("page_id", "url", "html", "visible_len", "status", "toks")]
-    ev = ok.select("page_id", "url", *extra, fold_events("toks").alias("ev"))
+    fold = fold_events if full_paths else fold_events_compact
+    ev = ok.select("page_id", "url", *extra, fold("toks").alias("ev"))
     ev = ev.select("page_id", "url", *extra, "ev.*").filter(F.size("kind") > 0)
     run = F.transform("run", lambda x: X.strip_content(
         X.escape_text(F.replace(x, F.lit("\\"), F.lit(""))), opts.strip_latin1, opts.keep_whitespace))
     ev = ev.select("page_id", "url", *extra, "kind", "name", "synthetic", "tag",
-                   F.col("cls").alias("class_name"), "anc", "raw", run.alias("r"))
+                   F.col("cls").alias("class_name"), "anc", "parent", "depth", "raw", run.alias("r"))
     # C-04: a start owns the text after it plus text left by a preceding end;
     # an end owns only the text left by the preceding end.
     prev = lambda c, pad: F.concat(F.array(F.lit(pad)), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))))
@@ -97,7 +101,8 @@ def page_events(cleaned: DataFrame, opts: Options = Options()) -> DataFrame:
     return ev
 
 
-NODE_COLS = ("kind", "name", "synthetic", "raw", "tag", "class_name", "anc", "content")
+NODE_COLS = ("kind", "name", "synthetic", "raw", "tag", "class_name", "anc", "parent", "depth", "content")
+_RENAME = {"anc": "anc_pos", "parent": "parent_pos"}
 
 
 def explode_nodes(events: DataFrame, *keep: str) -> DataFrame:
@@ -106,18 +111,17 @@ def explode_nodes(events: DataFrame, *keep: str) -> DataFrame:
     cols = ["page_id", *keep, "text_len", "punct"]
     out = events.select(*cols, F.posexplode(zipped).alias("pos", "e"))
     return out.select(*cols, F.col("pos").cast("int").alias("pos"),
-                      *[F.col("e")[c].alias(c if c != "anc" else "anc_pos") for c in NODE_COLS])
+                      *[F.col("e")[c].alias(_RENAME.get(c, c)) for c in NODE_COLS])
 
 
 def nodes(events: DataFrame, *keep: str) -> DataFrame:
     """Node rows with parent and path helpers (C-03, J-02 via the path stack)."""
-    n = explode_nodes(events, *keep)
-    return (n.withColumn("parent_pos", F.try_element_at(F.col("anc_pos"), F.lit(-1)))
-             .withColumn("depth", (F.size("anc_pos") + 1).cast("int")))
+    return explode_nodes(events, *keep)
 
 
 def path_strings(events: DataFrame) -> DataFrame:
-    """Readable root-to-tag path per event: ancestors' path names, then the tag text."""
+    """Readable root-to-tag path per event: ancestors' path names, then the tag text
+    (needs ``page_events(..., full_paths=True)``)."""
     path = F.expr("transform(arrays_zip(anc, raw), e -> "
                   "array_join(concat(transform(e.anc, a -> tag[a]), array(e.raw)), '>'))")
     return events.withColumn("path", path)
@@ -129,7 +133,8 @@ def parents_by_search(events: DataFrame) -> DataFrame:
     grandparent path — a backward as-of lookup, written as a union of
     definitions (start events) and probes (all events) and ``last(ignorenulls)``
     over the preceding rows of the same (page, path key). Groups are siblings
-    of one page, bounded by the page. Cross-check of ``nodes().parent_pos``."""
+    of one page, bounded by the page. Cross-check of ``nodes().parent_pos``;
+    needs ``page_events(..., full_paths=True)``."""
     from pyspark.sql import Window
     names = F.expr("transform(anc, l -> transform(l, a -> tag[a]))")
     rows = events.select("page_id", F.posexplode(F.arrays_zip("kind", "tag", names.alias("an"))).alias("pos", "e"))

@@ -27,9 +27,10 @@ def nonempty_nodes(page_rows: DataFrame, *keep: str, with_label: bool = False) -
     steps = f"slice(concat(e.anc, array(e.ix)), 1, {C.MAX_STEPS})"
     sel = F.expr(
         f"transform(filter(arrays_zip(ix, kind, name, raw, tag, class_name,"
-        f" anc, content{lab}), e -> e.content <> ''), e -> named_struct("
+        f" anc, parent, depth, content{lab}), e -> e.content <> ''), e -> named_struct("
         f"'pos', e.ix, 'kind', e.kind, 'name', e.name, 'raw', e.raw, 'tag', e.tag,"
-        f" 'class_name', e.class_name, 'anc_pos', e.anc, 'content', e.content{lab_e},"
+        f" 'class_name', e.class_name, 'anc_pos', e.anc, 'parent_pos', e.parent, 'depth', e.depth,"
+        f" 'content', e.content{lab_e},"
         f" 'step_pos', {steps},"
         f" 'step_tag', transform({steps}, a -> tag[a]),"
         f" 'step_class', transform({steps}, a -> class_name[a])))")
@@ -37,8 +38,7 @@ def nonempty_nodes(page_rows: DataFrame, *keep: str, with_label: bool = False) -
     out = page_rows.withColumn("ix", F.sequence(F.lit(0), F.size("kind") - 1)) \
                    .select(*cols, F.posexplode(sel).alias("idx", "e"))
     return out.select(*cols, F.col("idx").cast("int").alias("idx"), "e.*") \
-        .withColumn("pos", F.col("pos").cast("int")) \
-        .withColumn("depth", (F.size("anc_pos") + 1).cast("int"))
+        .withColumn("pos", F.col("pos").cast("int"))
 
 
 def apply_scope(nodes: DataFrame, opts: Options = Options()) -> DataFrame:

@@ -33,8 +33,8 @@ def _docs(spark, sf):
     return read_table(spark, sf, "documents")
 
 
-def _events(spark, sf) -> DataFrame:
-    return D.page_events(D.clean_pages(_pages(spark, sf)), OPTS)
+def _events(spark, sf, full_paths: bool = False) -> DataFrame:
+    return D.page_events(D.clean_pages(_pages(spark, sf)), OPTS, full_paths)
 
 
 def r6(c):
@@ -76,7 +76,7 @@ def q_raw_tokens(spark, sf):
 
 
 def q_events(spark, sf):
-    ev = D.path_strings(_events(spark, sf))
+    ev = D.path_strings(_events(spark, sf, full_paths=True))
     z = F.arrays_zip("kind", "name", "path")
     return ev.select("page_id", F.posexplode(z).alias("pos", "e")).select(
         "page_id", big(F.col("pos")).alias("pos"), "e.kind", "e.name", "e.path")
@@ -89,7 +89,7 @@ def q_parents(spark, sf):
 
 def q_parents_search(spark, sf):
     """J-02 by backward search (window form); must equal ``parents``."""
-    p = D.parents_by_search(_events(spark, sf))
+    p = D.parents_by_search(_events(spark, sf, full_paths=True))
     return p.select("page_id", big(F.col("pos")).alias("pos"), big(F.col("parent_pos")).alias("parent_pos"))
 
 
@@ -109,7 +109,7 @@ def q_nonempty_nodes(spark, sf):
 
 
 def q_closure(spark, sf):
-    n = _nonempty(spark, sf)
+    n = _nonempty(spark, sf, rows=_events(spark, sf, full_paths=True))
     return n.select("page_id", "pos", F.posexplode(F.concat("anc_pos", F.array("pos"))).alias("step", "anc")) \
             .select("page_id", big(F.col("pos")).alias("pos"), big(F.col("step")).alias("step"),
                     big(F.col("anc")).alias("anc_pos"))
@@ -123,8 +123,8 @@ def q_truncated_paths(spark, sf):
 
 def q_max_depth(spark, sf):
     ev = _events(spark, sf)
-    kept = F.expr(f"array_max(transform(filter(arrays_zip(anc, content), e -> e.content <> ''),"
-                  f" e -> least(size(e.anc) + 1, {OPTS.max_steps})))")
+    kept = F.expr(f"array_max(transform(filter(arrays_zip(depth, content), e -> e.content <> ''),"
+                  f" e -> least(e.depth, {OPTS.max_steps})))")
     return ev.select("page_id", big(kept).alias("d")).filter(F.col("d").isNotNull())
 
 

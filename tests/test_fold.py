@@ -6,7 +6,8 @@ from pagesift.functions.fold import fold_tokens
 
 
 def fold(h):
-    k, n, t, s, tag, cls, a, r = fold_tokens(re.findall(TOKEN_RE, h))
+    k, n, t, s, tag, cls, a, r, par, dep = fold_tokens(re.findall(TOKEN_RE, h))
+    assert par == [x[-1] if x else None for x in a] and dep == [len(x) + 1 for x in a]
     return [dict(kind=k[i], name=n[i], syn=s[i], tag=tag[i], cls=cls[i], anc=a[i], run=r[i]) for i in range(len(k))]
 
 

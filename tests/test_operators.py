@@ -133,3 +133,16 @@ def test_parent_equals_backward_search(spark):
             continue
         par = rows[r["parent_pos"]]
         assert par["kind"] == "start" and par["anc_pos"] == r["anc_pos"][:-1]
+
+
+def test_deep_unclosed_page_stays_compact(spark):
+    """3,000 never-closed <b> tags: full paths would be 4.5 M integers; the compact
+    form keeps 15 ancestors per event, while depth and parent stay exact."""
+    h = "<html><body>" + "<b>x" * 3000 + "</body></html>"
+    ev = D.page_events(D.clean_pages(pages_df(spark, h)))
+    row = ev.select(F.aggregate("anc", F.lit(0), lambda a, l: a + F.size(l)).alias("n"),
+                    F.array_max("depth").alias("d")).first()
+    assert row["n"] <= 15 * ev.select(F.size("kind")).first()[0] and row["d"] == 3002
+    n = FE.nonempty_nodes(ev)
+    deepest = n.orderBy(F.desc("depth")).first()
+    assert deepest["depth"] == 3002 and len(deepest["step_pos"]) == 15 and deepest["parent_pos"] == deepest["pos"] - 1

@@ -18,7 +18,9 @@ page = st.lists(piece, min_size=0, max_size=60).map(lambda ps: "".join(ps))
 
 
 def events(h):
-    k, n, raw, syn, tag, cls, anc, run = fold_tokens(re.findall(TOKEN_RE, h))
+    k, n, raw, syn, tag, cls, anc, run, par, dep = fold_tokens(re.findall(TOKEN_RE, h))
+    head = fold_tokens(re.findall(TOKEN_RE, h), 3)
+    assert head[6] == [a[:3] for a in anc] and head[8] == par and head[9] == dep
     return list(zip(k, n, raw, syn, tag, cls, anc, run))
 
 
