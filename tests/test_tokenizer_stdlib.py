@@ -63,3 +63,27 @@ def test_tokenizer_matches_stdlib_parser():
     rng = random.Random(11)
     pages += [random_page(rng) for _ in range(300)]
     assert _differing(pages) == []
+
+
+class _Text(hp.HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.d = []
+
+    def handle_data(self, d):
+        self.d.append(d)
+
+
+def test_text_tokens_match_stdlib_data():
+    con = duckdb.connect()
+    pages = [r[0] for r in con.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    rng = random.Random(5)
+    pages += [random_page(rng) for _ in range(300)]
+    for h in pages:
+        c = _clean(h)
+        p = _Text()
+        p.feed(c)
+        p.close()
+        text = [t for t in re.findall(C.TOKEN_RE, c)
+                if not (len(t) > 2 and t[-1] == ">" and (re.match(r"</?[A-Za-z]", t) or t[1] in "!?"))]
+        assert "".join(p.d) == H.unescape("".join(text))
