@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html as _html
 
 import pandas as pd
@@ -49,7 +50,13 @@ def _folder(max_anc):
     return _fold
 
 
-# Full ancestor lists (paths printed whole) or only the root-most MAX_STEPS of them:
-# the compact form bounds a pathologically deep page to O(events) integers.
-fold_events = F.pandas_udf(_folder(None), FOLD_SCHEMA).asNondeterministic()
-fold_events_compact = F.pandas_udf(_folder(MAX_STEPS), FOLD_SCHEMA).asNondeterministic()
+@functools.lru_cache(maxsize=None)
+def fold_udf(max_anc: int | None):
+    """The fold as a UDF: full ancestor lists (``max_anc=None``, for paths printed
+    whole) or only the root-most ``max_anc`` of them, which bounds a
+    pathologically deep page to O(events) integers."""
+    return F.pandas_udf(_folder(max_anc), FOLD_SCHEMA).asNondeterministic()
+
+
+fold_events = fold_udf(None)
+fold_events_compact = fold_udf(MAX_STEPS)

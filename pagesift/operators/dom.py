@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagesift import config as C
 from pagesift.config import Options
 from pagesift.functions import text as X
-from pagesift.functions.udfs import fold_events, fold_events_compact, html_unescape
+from pagesift.functions.udfs import fold_udf, html_unescape
 
 HTML_START_RE = r"(?i)<html(?:[\s/][^<>]*)?>"
 
@@ -81,7 +81,7 @@ def page_events(cleaned: DataFrame, opts: Options = Options(), full_paths: bool
     ok = cleaned.withColumn("toks", F.when(F.col("status") == "ok",
                                            F.regexp_extract_all("html", F.lit(C.TOKEN_RE), 0)))
     extra = [c for c in cleaned.columns if c not in ("page_id", "url", "html", "visible_len", "status", "toks")]
-    fold = fold_events if full_paths else fold_events_compact
+    fold = fold_udf(None if full_paths else opts.max_steps)
     ev = ok.select("page_id", "url", *extra, fold("toks").alias("ev"))
     ev = ev.select("page_id", "url", *extra, "ev.*").filter(F.size("kind") > 0)
     run = F.transform("run", lambda x: X.strip_content(

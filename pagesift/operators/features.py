@@ -15,16 +15,17 @@ from pagesift import config as C
 from pagesift.config import Options
 
 
-def nonempty_nodes(page_rows: DataFrame, *keep: str, with_label: bool = False) -> DataFrame:
+def nonempty_nodes(page_rows: DataFrame, *keep: str, with_label: bool = False,
+                   max_steps: int = C.MAX_STEPS) -> DataFrame:
     """C-06/C-09/J-03/W-04: one row per non-empty node.
 
     Columns: page_id, keep..., text_len, punct, pos, idx (position among the
     page's non-empty nodes), kind, name, raw, tag, class_name, anc_pos,
-    content, depth, [label], step_pos / step_tag / step_class (path cut to 15).
+    content, depth, [label], step_pos / step_tag / step_class (path cut to ``max_steps``).
     """
     lab = ", label" if with_label else ""
     lab_e = ", 'label', e.label" if with_label else ""
-    steps = f"slice(concat(e.anc, array(e.ix)), 1, {C.MAX_STEPS})"
+    steps = f"slice(concat(e.anc, array(e.ix)), 1, {max_steps})"
     sel = F.expr(
         f"transform(filter(arrays_zip(ix, kind, name, raw, tag, class_name,"
         f" anc, parent, depth, content{lab}), e -> e.content <> ''), e -> named_struct("

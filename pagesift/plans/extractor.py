@@ -105,7 +105,8 @@ class BodyExtractor:
         keyed = LB.pages_with_doc(pages).select("page_id", "url", "html", "doc_id")
         rows = LB.label_page_rows(page_rows(keyed, self.opts), documents,
                                   LB.hot_docs(pages, self.opts.hot_key_rows), self.opts.hot_key_buckets)
-        nodes = materialize(FE.apply_scope(FE.nonempty_nodes(rows, with_label=True), self.opts), "fit-nodes")
+        nodes = materialize(FE.apply_scope(FE.nonempty_nodes(rows, with_label=True, max_steps=self.opts.max_steps),
+                                           self.opts), "fit-nodes")
         self.vocab = materialize(V.vocab_terms(pages), "vocab")
         if self.opts.embedding == "w2v":
             self.char_vectors = materialize(V.w2v_char_vectors(self.vocab, self.opts.seed), "char-vectors")
@@ -125,8 +126,8 @@ class BodyExtractor:
 
         With the hash embedding this is one narrow pass from pages to scores;
         otherwise the node rows are written once and their terms embedded."""
-        nodes = FE.apply_scope(FE.nonempty_nodes(page_rows(pages.select("page_id", "url", "html"), self.opts)),
-                               self.opts)
+        nodes = FE.apply_scope(FE.nonempty_nodes(page_rows(pages.select("page_id", "url", "html"), self.opts),
+                                                 max_steps=self.opts.max_steps), self.opts)
         x = self._score_vectors(nodes)
         if x is None:
             x = self._vectors(materialize(nodes, "score-nodes"))
@@ -197,7 +198,8 @@ def label_export_job(pages: DataFrame, documents: DataFrame, out_path: str | Non
     keyed = LB.pages_with_doc(pages).select("page_id", "url", "html", "doc_id")
     rows = LB.label_page_rows(page_rows(keyed, opts), documents,
                               LB.hot_docs(pages, opts.hot_key_rows), opts.hot_key_buckets)
-    lab = FE.nonempty_nodes(rows, with_label=True).select("page_id", "idx", "content", "label")
+    lab = FE.nonempty_nodes(rows, with_label=True, max_steps=opts.max_steps).select(
+        "page_id", "idx", "content", "label")
     if out_path:
         from pagesift.sources.io import write_labels_tsv
         write_labels_tsv(lab, out_path)

@@ -99,7 +99,8 @@ def q_node_content(spark, sf):
 
 
 def _nonempty(spark, sf, with_label=False, rows=None):
-    return FE.nonempty_nodes(rows if rows is not None else _events(spark, sf), with_label=with_label)
+    return FE.nonempty_nodes(rows if rows is not None else _events(spark, sf), with_label=with_label,
+                             max_steps=OPTS.max_steps)
 
 
 def q_nonempty_nodes(spark, sf):
@@ -159,7 +160,7 @@ def labelled_rows(spark, sf) -> DataFrame:
 
 
 def labelled_nodes(spark, sf) -> DataFrame:
-    return FE.nonempty_nodes(labelled_rows(spark, sf), "lang", with_label=True)
+    return FE.nonempty_nodes(labelled_rows(spark, sf), "lang", with_label=True, max_steps=OPTS.max_steps)
 
 
 def q_labels(spark, sf):

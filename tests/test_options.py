@@ -41,3 +41,17 @@ def test_fold_group_and_ratio_weight(spark):
     f = FO.stratified_folds(df)
     w = {r["fold"]: r["pos_weight"] for r in FO.fold_weights(f, Options(pos_weight="ratio")).collect()}
     assert all(abs(v - 4.0) < 1e-9 for v in w.values())
+
+
+def test_max_steps_option(spark):
+    from pagesift.plans.extractor import BodyExtractor
+    from pagesift.sources import io
+    sf = "/root/testdata/sf0.001"
+    pages, docs = io.read_table(spark, sf, "pages"), io.read_table(spark, sf, "documents")
+    h = "<html><body>" + "<div>" * 25 + "deep text" + "</div>" * 25 + PAD + "</body></html>"
+    ev = D.page_events(D.clean_pages(pages_df(spark, h)), Options(max_steps=20))
+    deep = FE.nonempty_nodes(ev, max_steps=20).orderBy(F.desc("depth")).first()
+    assert deep["depth"] == 27 and len(deep["step_pos"]) == 20 and len(deep["anc_pos"]) == 20
+    ex = BodyExtractor(opts=Options(max_steps=20)).fit(pages, docs)
+    assert ex.model.numFeatures == 20 * 62
+    assert ex.transform(pages).count() == pages.count()
