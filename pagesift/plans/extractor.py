@@ -26,6 +26,7 @@ from pagesift.operators import folds as FO
 from pagesift.operators import labels as LB
 from pagesift.operators import model as MD
 from pagesift.operators import vocab as V
+from pagesift.functions import text as X
 from pagesift.session import materialize
 
 ExtraFeature = tuple[str, Callable[[], Column]]
@@ -126,8 +127,11 @@ class BodyExtractor:
 
         With the hash embedding this is one narrow pass from pages to scores;
         otherwise the node rows are written once and their terms embedded."""
-        nodes = FE.apply_scope(FE.nonempty_nodes(page_rows(pages.select("page_id", "url", "html"), self.opts),
-                                                 max_steps=self.opts.max_steps), self.opts)
+        return self.score_rows(page_rows(pages.select("page_id", "url", "html"), self.opts))
+
+    def score_rows(self, rows: DataFrame) -> DataFrame:
+        """``score_nodes`` from already folded page rows (``page_rows`` output)."""
+        nodes = FE.apply_scope(FE.nonempty_nodes(rows, max_steps=self.opts.max_steps), self.opts)
         x = self._score_vectors(nodes)
         if x is None:
             x = self._vectors(materialize(nodes, "score-nodes"))
@@ -173,23 +177,38 @@ def page_scripts(pages: DataFrame, opts: Options = Options()) -> DataFrame:
     return B.script_family(page_rows(pages.select("page_id", "url", "html"), opts))
 
 
+def _row_options(opts: Options) -> tuple:
+    """Options that shape the page rows (node text and ancestors)."""
+    return (opts.strip_latin1, opts.keep_whitespace, opts.max_steps)
+
+
 def extract_bodies(pages: DataFrame, registry: dict[str, BodyExtractor]) -> tuple[DataFrame, DataFrame]:
     """T-08/IO-12: bodies from the extractor of each page's script family, plus a
-    quarantine table (page_id, reason) of pages no extractor serves.
-
-    The registry is a handful of fitted extractors, so the loop over it is a
-    few Spark jobs, not a loop over data.
+    quarantine table (page_id, reason) of unusable pages (too short, no html) and
+    of pages whose script family has no extractor.
+
+    Pages are folded once per distinct set of text options (normally once),
+    tagged with their script family inside the row and written once; each
+    extractor then scores its own subset of those rows. No join with the raw
+    pages. The registry is a handful of fitted extractors, so the loop over it
+    is a few Spark jobs, not a loop over data.
     """
-    scripts = materialize(page_scripts(pages), "scripts")
-    routed = pages.join(scripts, "page_id")
+    raw = pages.select("page_id", "url", "html")
+    script = F.when(F.exists("content", X.has_cjk), F.lit("zh")).otherwise(F.lit("la"))
+    rows_by_opts: dict[tuple, DataFrame] = {}
     out = None
-    for script, ex in registry.items():
-        part = ex.transform(routed.filter(F.col("script") == script).drop("script"))
+    for name, ex in registry.items():
+        key = _row_options(ex.opts)
+        if key not in rows_by_opts:
+            rows = page_rows(raw, ex.opts).withColumn("script", script)
+            rows_by_opts[key] = materialize(rows, "routed-rows")
+        part = B.assemble(ex.score_rows(rows_by_opts[key].filter(F.col("script") == name).drop("script")))
         out = part if out is None else out.unionByName(part)
-    known = list(registry)
-    quarantine = scripts.filter(~F.col("script").isin(known)).select(
+    first = next(iter(rows_by_opts.values()))
+    unserved = first.filter(~F.col("script").isin(list(registry))).select(
         "page_id", F.concat(F.lit("no model for script "), F.col("script")).alias("reason"))
-    return out, quarantine
+    unusable = D.quarantine(D.clean_pages(raw)).select("page_id", "reason")
+    return out, unusable.unionByName(unserved)
 
 
 def label_export_job(pages: DataFrame, documents: DataFrame, out_path: str | None = None,

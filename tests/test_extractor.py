@@ -34,10 +34,12 @@ def test_routing_and_quarantine(spark):
     ex = BodyExtractor().fit(pages, docs)
     cjk = spark.createDataFrame([(999, "http://x/zh/1", "<html><body><p>" + "中文" * 80 + "</p></body></html>")],
                                 "page_id long, url string, html string")
-    out, quarantine = extract_bodies(pages.unionByName(cjk), {"la": ex})
+    short = spark.createDataFrame([(998, "http://x/en/2", "<html><body><p>tiny</p></body></html>")],
+                                  "page_id long, url string, html string")
+    out, quarantine = extract_bodies(pages.unionByName(cjk).unionByName(short), {"la": ex})
     assert out.count() == pages.count()
-    q = quarantine.collect()
-    assert [r["page_id"] for r in q] == [999] and "zh" in q[0]["reason"]
+    q = {r["page_id"]: r["reason"] for r in quarantine.collect()}
+    assert set(q) == {998, 999} and "zh" in q[999] and q[998] == "too_short"
 
 
 def test_feature_hook_and_gbt(spark):
