@@ -55,7 +55,19 @@ def random_page(rng):
         out.append("</body></html>")
     if rng.random() < 0.2:
         out.append("<p>after html</p>tail")
-    return "".join(out)
+    h = "".join(out)
+    r = rng.random()  # case, attributes on end tags, nested html, content before html
+    if r < 0.1:
+        h = h.replace("<html>", "<HTML lang='x'>", 1)
+    elif r < 0.2:
+        h = h.replace("<body>", "<body><html><p>inner</p></html>", 1)
+    elif r < 0.3:
+        h = h.replace("</div>", '</DIV class="e">')
+    elif r < 0.4:
+        h = h.replace("<p", "<P")
+    elif r < 0.5:
+        h = "<head><title>t</title></head>" + h
+    return h
 
 
 @pytest.fixture(scope="module")
