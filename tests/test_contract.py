@@ -53,3 +53,12 @@ def test_bench_prints_one_json_line():
     assert out.returncode == 0 and len(lines) == 1
     rec = json.loads(lines[0])
     assert rec["unit"] == "sec" and set(rec["queries"]) == {"page_gate", "events"} and rec["value"] > 0
+
+
+def test_classifier_beats_length_rule(spark):
+    """SURVEY §5 (4): cross-validated F1 of the classifier exceeds the length rule's."""
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.01"
+    cv = [r for r in E.queries()["cv_metrics"](spark, sf).collect() if r["fold"] is None][0]
+    rule = [r for r in E.queries()["rule_f1"](spark, sf).collect() if r["lang"] is None][0]
+    assert rule["f1"] < 0.3 and cv["f1"] > rule["f1"] + 0.2
