@@ -71,6 +71,14 @@ def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return B.assemble(scored_nodes(spark, sf))
 
 
+def extracted_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """T-07 production path: ``BodyExtractor.fit`` on pages with gold, then the
+    one-pass ``transform`` of the pages (fitted maps, unseen terms in place)."""
+    from pagesift.plans.extractor import BodyExtractor
+    pages, docs = Q._pages(spark, sf), Q._docs(spark, sf)
+    return BodyExtractor().fit(pages, docs).transform(pages)
+
+
 def w2v_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """E-06: trained character Word2Vec term vectors for the tag vocabulary."""
     return V.word2vec_vectors(V.tag_vocab(Q._pages(spark, sf)).select("term"))
@@ -81,4 +89,5 @@ ROWS_ONLY = {
     "cv_metrics": cv_metrics,
     "scored_nodes": scored_nodes,
     "page_bodies": page_bodies,
+    "extracted_bodies": extracted_bodies,
 }
