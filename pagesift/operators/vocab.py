@@ -19,7 +19,13 @@ _MASK = [(r"(?s)<!--.*?-->", ""),
          (r"(?is)(<script\b[^>]*>).*?(?:</script\s*>|$)", "$1"),
          (r"(?is)(<style\b[^>]*>).*?(?:</style\s*>|$)", "$1")]
 START_TAG_RE = r"<[A-Za-z][^<>]*>"
-CLASS_ATTR_RE = r"\sclass\s*=\s*\"([^\"]*)\""
+# the class attribute's value, double-, single- or un-quoted (groups 1, 2, 3)
+CLASS_ATTR_RE = r"""(?i)\sclass\s*=+\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def class_value(tag_text):
+    """Value of the class attribute of a raw start tag ('' when absent)."""
+    return F.concat(*[F.regexp_extract(tag_text, CLASS_ATTR_RE, g) for g in (1, 2, 3)])
 
 
 def raw_start_tags(pages: DataFrame) -> DataFrame:
@@ -39,7 +45,7 @@ def tag_vocab(pages: DataFrame) -> DataFrame:
 
 def class_vocab(pages: DataFrame) -> DataFrame:
     """A-02: distinct class strings, blanks normalised to one space."""
-    t = raw_start_tags(pages).select(F.regexp_extract("t", CLASS_ATTR_RE, 1).alias("c"))
+    t = raw_start_tags(pages).select(class_value(F.col("t")).alias("c"))
     t = t.select(F.trim(F.regexp_replace("c", r"\s+", " ")).alias("term")).filter(F.col("term") != "")
     return t.groupBy("term").agg(F.count("*").alias("uses"))
 
@@ -47,7 +53,7 @@ def class_vocab(pages: DataFrame) -> DataFrame:
 def vocab_terms(pages: DataFrame) -> DataFrame:
     """(kind, term) of both vocabularies (A-01 tags, A-02 classes) from one scan of the raw pages."""
     name = F.lower(F.regexp_extract("t", r"^<([A-Za-z][^\s/>]*)", 1))
-    cls = F.trim(F.regexp_replace(F.regexp_extract("t", CLASS_ATTR_RE, 1), r"\s+", " "))
+    cls = F.trim(F.regexp_replace(class_value(F.col("t")), r"\s+", " "))
     both = raw_start_tags(pages).select(F.explode(F.array(
         F.struct(F.lit("tag").alias("kind"), name.alias("term")),
         F.struct(F.lit("class").alias("kind"), cls.alias("term")))).alias("k"))

@@ -236,7 +236,8 @@ tag_vocab AS (
 ),
 class_vocab AS (
   SELECT term, CAST(count(*) AS BIGINT) AS uses FROM (
-    SELECT trim(regexp_replace(regexp_extract(t, '\\sclass\\s*=\\s*"([^"]*)"', 1), '\\s+', ' ', 'g')) AS term
+    SELECT trim(regexp_replace(regexp_extract(t, '(?i)\\sclass\\s*=+\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 1) || regexp_extract(t, '(?i)\\sclass\\s*=+\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 2)
+                               || regexp_extract(t, '(?i)\\sclass\\s*=+\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 3), '\\s+', ' ', 'g')) AS term
     FROM rawtags) WHERE term <> '' GROUP BY 1
 ),
 voc AS (SELECT 'tag' AS kind, term FROM tag_vocab UNION ALL SELECT 'class', term FROM class_vocab),
