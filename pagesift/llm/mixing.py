@@ -89,14 +89,16 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, c
             .withColumn("offset", (F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) + 0.5) / F.lit(1 << 30))
             .select(_source_key(F.col("source")).alias("key"), "source_size", "target", "rate", "runs", "offset"))
     dealt = (sized.withColumn("key", _source_key(F.col("source"))).join(plan, "key")
-             .withColumn("run", F.pmod(F.col("mark"), F.col("runs"))))
-    counts = dealt.groupBy("key", "run").agg(F.count(F.lit(1)).alias("in_run"))
-    before = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("key", "run", F.coalesce(F.sum("in_run").over(before), F.lit(0)).alias("start"))
+             .withColumn("run", F.pmod(F.col("mark"), F.col("runs")))
+             # one column, so that rows dealt by source for the join are dealt anew by source and run
+             .withColumn("stand", F.struct("key", "run")))
+    counts = dealt.groupBy("stand").agg(F.count(F.lit(1)).alias("in_run"))
+    before = Window.partitionBy("stand.key").orderBy("stand.run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("stand", F.coalesce(F.sum("in_run").over(before), F.lit(0)).alias("start"))
     # runs alternate between rising and falling sizes
     height = F.when(F.col("run") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    place = Window.partitionBy("key", "run").orderBy(height, "mark")
-    nth = dealt.withColumn("nth", F.row_number().over(place)).join(starts, ["key", "run"])
+    place = Window.partitionBy("stand").orderBy(height, "mark")
+    nth = dealt.withColumn("nth", F.row_number().over(place)).join(starts, "stand")
     upto = F.col("start") + F.col("nth")
     crossed = F.floor(F.col("offset") + upto * F.col("rate")) - F.floor(F.col("offset") + (upto - 1) * F.col("rate"))
     # rounding of long prefix sums must not push a document over its bounds
