@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import bpe, bytecnn, fingerprint, mixing, pii, tokenfile, topk, toxicity
+from pagesift.llm import bpe, bytecnn, fingerprint, mixing, neardup, pii, tokenfile, topk, toxicity
 from pagesift.llm.common import is_held_out, shared_path, table
 
 
@@ -41,6 +41,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (neardup.near_duplicates(table(spark, sf_dir, "documents"))
+            .withColumnsRenamed({"id": "doc_id", "component": "component_id"}))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfile.write(table(spark, sf_dir, "documents"), shared_path(spark, "tokens"), vocabulary("word_bpe_49k.json"), end_id=2)
     return tokenfile.read(files, digest=True).withColumnRenamed("id", "doc_id")
@@ -62,7 +67,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_fingerprint, op4_pii, op6_token_files, op8_mixing,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_fingerprint, op4_pii, op5_near_duplicates, op6_token_files, op8_mixing,
                                    op9_quality, op10_topk)}
 
 ORACLE_SQL = {
