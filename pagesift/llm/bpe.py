@@ -14,7 +14,6 @@ of the file are not applied.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -26,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import slices, text_of
+from pagesift.llm.common import Recent, per_worker, slices, text_of
 
 LONG_WORD = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 _NO_RANK = 1 << 62
 _ID_BITS = 20
 
@@ -75,7 +74,8 @@ class BytePairCodec:
         # white space other than these four needs the full pattern over the whole text
         self.odd_space = regex.compile(r"[^\S \t\n\r]")
         self.chunks = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-        self.cache = _Words(self)
+        self.of_word = Recent(self._pack, CACHED_WORDS)
+        self.of_chunk = Recent(self._compose, CACHED_WORDS)
 
     def merge_word(self, word: bytes) -> list[int]:
         """Token ids of one word (its bytes): the rank array of the module's text."""
@@ -120,9 +120,15 @@ class BytePairCodec:
 
     def _plain(self, text: str) -> bytes:
         if self.odd_space.search(text):
-            return b"".join([self.cache.word(w) for w in self.word_pattern.findall(text)])
+            return self._compose(text)
         # a chunk ends where no word of the pattern can go on, so chunks can be cached whole
-        return b"".join(map(self.cache.__getitem__, self.chunks.findall(text)))
+        return b"".join(map(self.of_chunk.__getitem__, self.chunks.findall(text)))
+
+    def _compose(self, chunk: str) -> bytes:
+        return b"".join(map(self.of_word.__getitem__, self.word_pattern.findall(chunk)))
+
+    def _pack(self, word: str) -> bytes:
+        return np.array(self.merge_word(word.encode("utf-8", "replace")), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """All token ids of a text, as little-endian unsigned 32-bit integers."""
@@ -134,8 +140,6 @@ class BytePairCodec:
                 parts += [self._plain(text[at:m.start()]), self.added[m[0]].to_bytes(4, "little")]
                 at = m.end()
             out = b"".join([*parts, self._plain(text[at:])])
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -144,26 +148,8 @@ class BytePairCodec:
         return b"".join(map(self.token_bytes.__getitem__, tokens)).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """Packed ids of the chunks seen, filled as they are asked for."""
-
-    def __init__(self, codec: BytePairCodec):
-        super().__init__()
-        self.codec = codec
-
-    def word(self, word: str) -> bytes:
-        return np.array(self.codec.merge_word(word.encode("utf-8", "replace")), "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        packed = b"".join([self.word(w) for w in self.codec.word_pattern.findall(chunk)])
-        if len(chunk) <= 64:
-            self[chunk] = packed
-        return packed
-
-
-@functools.lru_cache(maxsize=4)
 def codec(path: str) -> BytePairCodec:
-    return BytePairCodec(path)
+    return per_worker(("byte-pair codec", path), lambda: BytePairCodec(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 import pyarrow as pa
@@ -93,8 +94,43 @@ def text_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def slices(batches, rows: int = 256):
-    """Arrow batches cut into slices of a few rows, so that a batch of very long texts stays small."""
+def slices(batches, rows: int = 256, max_bytes: int | None = None):
+    """Arrow batches cut into slices of a few rows, so that a batch of very long texts stays small;
+    with ``max_bytes`` into slices of about so many bytes (one row at least) instead."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        step = rows if max_bytes is None else max(1, b.num_rows * max_bytes // max(max_bytes, b.nbytes))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
+class Recent(dict):
+    """A bounded memo: ``compute(key)`` of the keys asked for lately. When ``limit`` keys have
+    come together they become the old generation, and the one before that is forgotten."""
+
+    def __init__(self, compute, limit: int):
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+def per_worker(key: tuple, make):
+    """``make()``, kept as long as the Python worker lives. The package's functions are pickled by
+    value, so a module's own variables are new in every task; this store is the process's."""
+    store = sys.__dict__.setdefault("_pagesift_kept", {})
+    if key not in store:
+        for other in [k for k in store if k[0] == key[0]]:
+            del store[other]  # one of a kind is enough
+        store[key] = make()
+    return store[key]

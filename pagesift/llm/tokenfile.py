@@ -24,6 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zlib
@@ -31,14 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import slices, text_of
+from pagesift.llm.common import Recent, per_worker, slices
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 
 LEVEL = 3
-CACHED_CHUNKS = 300_000
+CACHED, BATCH_BYTES = 500_000, 16 << 20
+_SIGNS = r"!-&(-/:-@\[-`{-~"
 MANIFEST = "path string, first_id long, last_id long, documents long, ids long"
 
 
@@ -50,8 +52,16 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct chunk between spaces or line
-    ends encoded once: the vocabulary's normalizer and word pattern never look across white space."""
+    """Ids of whole texts by the tokenizers library, every distinct chunk encoded once.
+
+    Chunks stand between spaces or line ends, which the vocabulary's word
+    pattern never crosses. They are cut further where a word of the pattern
+    must end, between a letter or digit and ASCII punctuation other than the
+    apostrophe. Distinct pieces are looked up, and the texts' ids are gathered
+    from theirs as arrays. New pieces of Latin letters alone are one word each:
+    they are encoded in one call, joined by spaces, and told apart by the
+    tokens that end a word.
+    """
 
     def __init__(self, path: str, end_id: int | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -61,20 +71,80 @@ class Encoder:
         self.tokenizer.no_padding()
         size = max(self.tokenizer.get_vocab_size(True), (end_id or 0) + 1)
         self.width = 2 if size <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.end = b"" if end_id is None else end_id.to_bytes(self.width, "little")
-        self.known: dict[str, bytes] = {}
-        self.chunks = re.compile(r"[^ \n]+").findall
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks(t) for t in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        new = list({c for p in parts for c in p if c not in self.known})
-        kind = f"<u{self.width}"
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, kind).tobytes()
-        ids_of = self.known.__getitem__
-        return [b"".join([*map(ids_of, p), self.end]) for p in parts]
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends_word = np.zeros(size, bool)
+        self.ends_word[ends] = True
+        self.pieces = re.compile(rf"[{_SIGNS}]+|[^{_SIGNS}\n]+|\n").findall
+        # a sign beside a character that is neither a sign nor alphanumeric: the pattern may join the two
+        self.joined = re.compile(rf"[{_SIGNS}](?=[^{_SIGNS}\n])(?![^\W_İ])|(?<=[^{_SIGNS}\n])(?<![^\W_İ])[{_SIGNS}]").search
+        self.latin = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]{1,100}").fullmatch
+        self.of_piece = Recent(self._alone, CACHED)
+
+    def _alone(self, piece: str) -> bytes:
+        return b"" if piece == "\n" else np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words of Latin letters in one call."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return  # a vocabulary without word ends: each piece is encoded alone when it is asked for
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (ends * self.width).tolist()):
+            self.of_piece.put(word, data[at:end])
+            at = end
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after the other: the ids, where each chunk's start, and how many they are."""
+        text = pc.binary_join(pa.array([chunks], pa.list_(pa.string())), "\n")[0].as_py()
+        order = np.arange(len(chunks))
+        if "<|" in text or self.joined(text):  # chunks that must stay whole go to the end
+            every = text.split("\n")
+            whole = np.fromiter(("<|" in c or self.joined(c) is not None for c in every), bool, len(every))
+            order = np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)])
+            n = np.count_nonzero(~whole)
+            pieces = self.pieces("\n".join([every[i] for i in order[:n]])) if n else []
+            for i in order[n:]:
+                pieces += [*["\n"] * bool(pieces or n), every[i]]
+        else:
+            pieces = self.pieces(text)
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = set(distinct).difference(self.of_piece).difference(self.of_piece.old)
+        words = list(filter(self.latin, new))
+        for i in range(0, len(words), 20_000):
+            self._learn(words[i:i + 20_000])
+        packed = list(map(self.of_piece.__getitem__, distinct))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        nth = coded.indices.to_numpy()
+        ids, ends = _gather(np.frombuffer(b"".join(packed), self.kind), np.cumsum(sizes) - sizes, sizes, nth)
+        breaks = np.flatnonzero(nth == distinct.index("\n")) if "\n" in distinct else np.zeros(0, np.int64)
+        starts, lengths = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts[order] = first = np.concatenate([[0], ends[breaks]])
+        lengths[order] = np.diff(np.concatenate([first, ends[-1:]]))
+        return ids, starts, lengths
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of every text of an Arrow string column (null: empty), with the end id."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            return []
+        ids, starts, lengths = self._chunk_ids(coded.dictionary)
+        ids, ends = _gather(ids, starts, lengths, coded.indices.to_numpy())
+        data, cuts = ids.tobytes(), (ends[bounds - bounds[0]] * self.width).tolist()
+        return [data[a:b] + self.end for a, b in zip(cuts, cuts[1:])]
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``nth`` of ``ids``, one after the other, and where each begins and the last one ends."""
+    size = lengths[nth]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return ids[np.repeat(starts[nth] - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 def write_frames(out, documents, width: int) -> tuple[int, int, int | None, int | None]:
@@ -140,13 +210,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = None,
     writes no file.
     """
     def run(batches):
-        encoder, fs, inner, out, name = Encoder(path, end_id), None, None, None, None
+        encoder = per_worker(("word encoder", path, end_id), lambda: Encoder(path, end_id))
 
         def documents(first):
             for b in (first, *rest):
-                for i, ids in zip(b.column(0).to_pylist(), encoder.encode(text_of(b.column(1)))):
+                for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1))):
                     yield i, ids
-        rest = slices(batches)
+        rest = slices(batches, max_bytes=BATCH_BYTES)
         first = next((b for b in rest if b.num_rows), None)
         if first is None:
             return

@@ -38,14 +38,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import labelled_rows, slices, text_of
+from pagesift.llm.common import Recent, labelled_rows, per_worker, slices, text_of
 
 PER_CLASS = 3000
 LEVEL, CODE_BYTES = 19, 6
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 8192
 CONTRAST, MIN_DOCS, ORDINARY_WORDS, REPEATS = 20, 2, 30_000, 20
 PUNCTUATION = b".,;:!?%$&#*|\"'()[]{}<>-_=+~^/\\`"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 
 CODES = [hashlib.blake2b(bytes([b]), digest_size=CODE_BYTES).digest() for b in range(256)]
 
@@ -88,19 +88,16 @@ class _Lengths:
         return len(self.compress(data))
 
 
-class _Distances(dict):
+class _Distances(Recent):
     """Distance of every window seen, measured when it is first asked for."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        super().__init__()
+        super().__init__(self.measure, CACHED_WORDS)
         self.ordinary, self.toxic = _Lengths(ordinary), _Lengths(toxic)
 
-    def __missing__(self, window: bytes) -> int:
+    def measure(self, window: bytes) -> int:
         data = spelled(window)
-        d = self.ordinary(data) - self.toxic(data)
-        if len(window) <= 64:
-            self[window] = d
-        return d
+        return self.ordinary(data) - self.toxic(data)
 
 
 def _features(distances: np.ndarray, thresholds) -> np.ndarray:
@@ -121,8 +118,6 @@ class Scorer:
     def __call__(self, text: str) -> float:
         if self.distances is None:
             return self.model.base
-        if len(self.distances) > CACHED_WORDS:
-            self.distances.clear()
         d = np.array(list(map(self.distances.__getitem__, windows(text))), np.int64)
         z = float(_features(d, self.model.thresholds) @ self.weights) + self.model.base
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -187,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` for every row of ``docs``, over the whole text."""
     def run(batches):
-        scorer = Scorer(model)
+        scorer = per_worker(("toxicity", model), lambda: Scorer(model))
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([float(scorer(t)) for t in text_of(b.column(1))], pa.float64())], names=["id", "score"])
@@ -198,7 +193,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score lies below the threshold, with all their columns."""
     def run(batches):
-        scorer = Scorer(model)
+        scorer = per_worker(("toxicity", model), lambda: Scorer(model))
         for b in slices(batches):
             texts = text_of(b.column(b.schema.get_field_index(text_col)))
             yield b.filter(pa.array([scorer(t) < threshold for t in texts], pa.bool_()))
