@@ -175,21 +175,23 @@ def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "id
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` for every row: the digests of the ids and
-    of the text decoded from them, in one pass so that ids and text never leave the worker."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256`` for every row: digests of the ids and of the
+    text decoded from them, in one pass; ``with_ids`` adds the ``ids`` themselves (array of integers)."""
     def run(batches):
         bpe = codec(path)
         for b in slices(batches):
-            n, own, back = [], [], []
+            cols = [], [], [], []
             for text in text_of(b.column(1)):
                 ids = bpe.encode(text)
-                n.append(len(ids) // 4)
-                own.append(hashlib.sha256(ids).hexdigest())
-                back.append(hashlib.sha256(bpe.decode(ids).encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                decoded = bpe.decode(ids).encode("utf-8", "replace")
+                for col, value in zip(cols, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids)):
+                    col.append(value)
+            arrays = [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
+            if with_ids:
+                arrays.append(pa.array([np.frombuffer(i, "<i4") for i in cols[3]], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return kept.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

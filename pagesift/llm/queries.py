@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import bpe, bytecnn, fingerprint, mixing, neardup, pii, tokenfile, topk, toxicity
+from pagesift.llm import bpe, bytecnn, fingerprint, mixing, neardup, pii, tokenfile, topk, toxicity, wrapper
 from pagesift.llm.common import is_held_out, shared_path, table
 
 
@@ -51,6 +51,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(files, digest=True).withColumnRenamed("id", "doc_id")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return wrapper.extract(pages, wrapper.induce(pages)).withColumnRenamed("id", "page_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -67,7 +72,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_fingerprint, op4_pii, op5_near_duplicates, op6_token_files, op8_mixing,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_fingerprint, op4_pii, op5_near_duplicates, op6_token_files, op7_main_text, op8_mixing,
                                    op9_quality, op10_topk)}
 
 ORACLE_SQL = {
