@@ -126,11 +126,12 @@ class Recent(dict):
 
 
 def per_worker(key: tuple, make):
-    """``make()``, kept as long as the Python worker lives. The package's functions are pickled by
-    value, so a module's own variables are new in every task; this store is the process's."""
+    """``make()``, kept by the Python worker until it is asked for something else. The package's
+    functions are pickled by value, so a module's own variables are new in every task; this store is
+    the process's. It holds one object: a worker goes from stage to stage, and what an earlier
+    stage has kept would only add up."""
     store = sys.__dict__.setdefault("_pagesift_kept", {})
     if key not in store:
-        for other in [k for k in store if k[0] == key[0]]:
-            del store[other]  # one of a kind is enough
+        store.clear()
         store[key] = make()
     return store[key]
