@@ -37,6 +37,8 @@ from pagesift.llm.common import Recent, per_worker, slices, text_of, written
 
 CONSTANT, LEAST_PAGES = 0.9, 5
 CACHED_PATTERNS = 200
+#: Up to this many bytes of patterns, or rows of chosen pages, are broadcast to the pages; beyond, a shuffle joins them.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 1_000_000
 
 # fixed values: element groups of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -251,11 +253,20 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
+def _beside(rows: DataFrame, wrappers: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with their host's pattern. A host may have a large share of the pages, so they stay
+    where they are while the patterns are few; the patterns' size is measured."""
+    size = wrappers.agg(F.sum(F.octet_length("pattern") + 64)).first()[0] or 0
+    return rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", how)
+
+
 def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``host, pattern, constant``: each host's pattern page and the nodes of it that are template."""
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     order = F.xxhash64("host", "id")
-    chosen = rows.where("html IS NOT NULL").groupBy("host").agg(F.min(order).alias("first"))
+    chosen = written(rows.where("html IS NOT NULL").groupBy("host").agg(F.min(order).alias("first")), "chosen")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     patterns = written(rows.where("html IS NOT NULL").withColumn("first", order).join(chosen, ["host", "first"])
                        .select("host", F.col("html").alias("pattern")).dropDuplicates(["host"]), "patterns")
 
@@ -278,7 +289,7 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
                  pa.array([seen[k] for k in keys], pa.int64()), pa.array([seen[k[0], k[1], 1] for k in keys], pa.int64())],
                 names=["host", "node", "pages", "equal"])
-    counts = (rows.join(patterns, "host").select("host", "pattern", "html")
+    counts = (_beside(rows, patterns).select("host", "pattern", "html")
               .mapInArrow(count, "host string, node int, pages long, equal long"))
     constant = (counts.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal"))
                 .where((F.col("pages") >= LEAST_PAGES) & (F.col("equal") >= CONSTANT * F.col("pages")))
@@ -291,7 +302,8 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
             html_col: str = "html") -> DataFrame:
     """``id, url, text, n_chars`` of every row of ``pages``."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"),
-                        host_of(F.col(url_col)).alias("host")).join(wrappers, "host", "left").select("id", "url", "html", "pattern", "constant")
+                        host_of(F.col(url_col)).alias("host"))
+    rows = _beside(rows, wrappers, "left").select("id", "url", "html", "pattern", "constant")
 
     def run(batches):
         kept = _patterns()
