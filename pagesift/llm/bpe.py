@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import Recent, per_worker, slices, text_of
 
 LONG_WORD = 512
-CACHED_WORDS = 250_000
+CACHED_WORDS, CACHED_CHUNKS = 100_000, 150_000
 _NO_RANK = 1 << 62
 _ID_BITS = 20
 
@@ -75,7 +75,7 @@ class BytePairCodec:
         self.odd_space = regex.compile(r"[^\S \t\n\r]")
         self.chunks = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
         self.of_word = Recent(self._pack, CACHED_WORDS)
-        self.of_chunk = Recent(self._compose, CACHED_WORDS)
+        self.of_chunk = Recent(self._compose, CACHED_CHUNKS)
 
     def merge_word(self, word: bytes) -> list[int]:
         """Token ids of one word (its bytes): the rank array of the module's text."""

@@ -44,7 +44,7 @@ SLOTS = BANDS * ROWS
 BLOCK_SHINGLES = 1 << 17
 #: Candidate lists up to this many rows (24 bytes each) are broadcast to the scan; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)

@@ -45,7 +45,7 @@ LEVEL, CODE_BYTES = 19, 6
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 8192
 CONTRAST, MIN_DOCS, ORDINARY_WORDS, REPEATS = 20, 2, 30_000, 20
 PUNCTUATION = b".,;:!?%$&#*|\"'()[]{}<>-_=+~^/\\`"
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 
 CODES = [hashlib.blake2b(bytes([b]), digest_size=CODE_BYTES).digest() for b in range(256)]
 
