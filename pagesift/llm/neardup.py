@@ -266,11 +266,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs``, with all their columns, of one document of each component: the one with
     the smallest id. Of rows that repeat its id one stays; rows without id all stay."""
     found = written(near_duplicates(docs, id_col, text_col).select("id", "kept"), "kept")
-    key = docs[id_col].cast("long")
-    out = docs.join(found.where("NOT kept").select("id").distinct(), key == F.col("id"), "left_anti")
+    # columns are named through their tables: the documents may have an "id" of their own
+    dropped = found.where("NOT kept").select("id").distinct()
+    out = docs.join(dropped, docs[id_col].cast("long") == dropped["id"], "left_anti")
     repeated = found.where("kept AND id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
     if repeated.limit(1).count():
-        key = out[id_col].cast("long")
-        once = out.join(repeated, key == F.col("id"), "left_semi").dropDuplicates([id_col])
-        out = out.join(repeated, key == F.col("id"), "left_anti").unionByName(once)
+        same = out[id_col].cast("long") == repeated["id"]
+        once = out.join(repeated, same, "left_semi").dropDuplicates([id_col])
+        out = out.join(repeated, same, "left_anti").unionByName(once)
     return out

@@ -42,8 +42,8 @@ from pagesift.llm.common import Recent, labelled_rows, per_worker, slices, text_
 
 PER_CLASS = 3000
 LEVEL, CODE_BYTES = 19, 6
-ORDINARY_BYTES, TOXIC_BYTES = 65536, 8192
-CONTRAST, MIN_DOCS, ORDINARY_WORDS, REPEATS = 20, 2, 30_000, 20
+ORDINARY_BYTES, TOXIC_BYTES = 110_000, 16_384
+CONTRAST, MIN_DOCS, ORDINARY_WORDS, REPEATS = 20, 4, 30_000, 5
 PUNCTUATION = b".,;:!?%$&#*|\"'()[]{}<>-_=+~^/\\`"
 CACHED_WORDS = 150_000
 
