@@ -30,11 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import WORD_SPACE
+from pagesift.llm.common import WORD_SPACE, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
+#: Up to this many sources (some 100 bytes each) are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -88,6 +90,9 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, c
             .withColumn("runs", F.ceil(F.sqrt("n") / 8))
             .withColumn("offset", (F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) + 0.5) / F.lit(1 << 30))
             .select(_source_key(F.col("source")).alias("key"), "source_size", "target", "rate", "runs", "offset"))
+    plan = written(plan, "mix-plan")  # one row per source
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     dealt = (sized.withColumn("key", _source_key(F.col("source"))).join(plan, "key")
              .withColumn("run", F.pmod(F.col("mark"), F.col("runs")))
              # one column, so that rows dealt by source for the join are dealt anew by source and run
