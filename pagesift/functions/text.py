@@ -49,8 +49,8 @@ def has_cjk(col: Column) -> Column:
 
 
 def doc_key_from_url(url: Column) -> Column:
-    """Test-data page key: /<lang>/<doc_id> in the URL."""
-    return F.regexp_extract(url, r"/[a-z]{2}/([0-9]+)", 1).cast("bigint")
+    """Test-data page key: /<lang>/<doc_id> in the URL; null for any other URL."""
+    return F.regexp_extract(url, r"/[a-z]{2}/([0-9]+)", 1).try_cast("bigint")
 
 
 def lang_from_url(url: Column) -> Column:

@@ -19,12 +19,18 @@ from pagesift.functions.udfs import fold_udf, html_unescape
 HTML_START_RE = r"(?i)<html(?:[\s/][^<>]*)?>"
 
 
+_NAME_END = r"(?=[\s/>])"  # a name ends here; "style-guide" is another element than "style"
+# comments and raw-text elements in one pass from the left, so that neither is looked for inside the other
+RAW_OR_COMMENT_RE = rf"(?is)<(script|style){_NAME_END}[^>]*>.*?(?:</\1\s*>|$)|<!--.*?-->"
+
+
 def _strip_excluded(h: Column) -> Column:
-    # L-05: paired elements lose their whole body (their text is raw text to the parser)
-    for tag in C.EXCLUDED_PAIRED:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|$)", "")
+    # L-05: raw-text elements lose their whole body, an iframe up to its end tag; one that
+    # is closed at once or never loses its tag alone, what follows it is page text
+    h = F.regexp_replace(h, RAW_OR_COMMENT_RE, "")
+    h = F.regexp_replace(h, rf"(?is)<iframe{_NAME_END}(?:[^>]*[^>/])?>(?:(?!<iframe{_NAME_END}).)*?</iframe\s*>", "")
     voids = "|".join(C.EXCLUDED_VOID)
-    return F.regexp_replace(h, rf"(?i)</?(?:{voids})\b[^>]*>", "")
+    return F.regexp_replace(h, rf"(?i)</?(?:{voids}|iframe){_NAME_END}[^>]*>", "")
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -37,7 +43,6 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     h = F.regexp_replace(F.col("html"), "\n", "")
     h = html_unescape(h)
     h = F.regexp_replace(h, C.DOCTYPE_RE, "")
-    h = F.regexp_replace(h, C.COMMENT_RE, "")
     h = _strip_excluded(h)
     extra = [c for c in pages.columns if c not in ("page_id", "url", "html")]
     out = pages.select("page_id", "url", *extra, h.alias("html"))

@@ -68,7 +68,10 @@ def read_gold_lines(spark: SparkSession, *paths: str) -> DataFrame:
     for p in parts[1:]:
         df = df.unionByName(p)
     df = df.filter(F.col("line").startswith("{"))
-    j = F.from_json("line", GOLD_SCHEMA, {"allowSingleQuotes": "true", "mode": "PERMISSIVE",
+    # what a printed dict may hold and JSON may not: \xHH escapes and a bare None
+    as_json = F.regexp_replace("line", r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    as_json = F.regexp_replace(as_json, r"""(['"](?:Website|Filename|Body text)['"]\s*:\s*)None(?=\s*[,}])""", "$1null")
+    j = F.from_json(as_json, GOLD_SCHEMA, {"allowSingleQuotes": "true", "mode": "PERMISSIVE",
                                            "allowBackslashEscapingAnyCharacter": "true"})
     return df.select(j.alias("g"), "line_no", "source", "line").select(
         F.col("g.Filename").alias("filename"), F.col("g.`Body text`").alias("body_text"),
