@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["pages", "documents", "labels"]
+TABLES = ["embeddings", "pages", "documents", "labels"]
 
 
 def canon(df):
