@@ -170,15 +170,3 @@ def kind_term_vectors(used: DataFrame, vocab: DataFrame, char_vectors: DataFrame
 def vocab_misses(node_terms: DataFrame, vocab_terms: DataFrame) -> DataFrame:
     """J-06: terms used by nodes that the vocabulary lacks."""
     return node_terms.select("term").distinct().join(vocab_terms.select("term"), "term", "left_anti")
-
-
-def word2vec_vectors(terms: DataFrame, seed: int = C.FOLD_SEED, max_iter: int = 10) -> DataFrame:
-    """E-06: Spark ML Word2Vec on term characters; term vector = mean of its characters'."""
-    from pyspark.ml.feature import Word2Vec
-
-    chars = terms.select("term", F.split("term", "").alias("chars")).filter(F.size("chars") > 0)
-    w2v = Word2Vec(vectorSize=C.EMBED_DIM, windowSize=5, minCount=1, maxIter=max_iter, seed=seed,
-                   inputCol="chars", outputCol="vec")
-    model = w2v.fit(chars)
-    from pyspark.ml.functions import vector_to_array
-    return model.transform(chars).select("term", vector_to_array("vec").alias("vector"))

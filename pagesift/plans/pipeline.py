@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.config import Options
-from pagesift.operators import bodies as B
 from pagesift.operators import features as FE
 from pagesift.operators import folds as FO
 from pagesift.operators import model as MD
@@ -58,30 +57,38 @@ def cv_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return MD.cross_validate(training_matrix(spark, sf))
 
 
+def _fitted(pages: DataFrame, docs: DataFrame):
+    """``BodyExtractor`` fitted on the pages with gold."""
+    from pagesift.plans.extractor import BodyExtractor
+    return BodyExtractor().fit(pages, docs)
+
+
 def scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """T-06 + S-13: every labelled node with probability, model decision and final decision."""
-    m = training_matrix(spark, sf)
-    model, pw = MD.fit(m)
-    return B.apply_rules(MD.score(model, m, pw)).select(
+    """T-06 + S-13: every non-empty node of every usable page with probability, model decision and
+    final decision (fit on all labelled nodes); label and fold are null on pages without gold."""
+    pages, docs = Q._pages(spark, sf), Q._docs(spark, sf)
+    scored = _fitted(pages, docs).score_nodes(pages)
+    folds = Q.folded_nodes(spark, sf).select("page_id", "pos", "label", "fold")
+    return scored.join(folds, ["page_id", "pos"], "left").select(
         "page_id", "pos", "label", "fold", F.round("prob", 6).alias("prob"), "pred", "accept", "content")
 
 
 def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """T-07/T-08: the main body text of every page (fit on all labelled nodes, then score)."""
-    return B.assemble(scored_nodes(spark, sf))
+    """T-07/T-08: the main body text of every usable page (fit on all labelled nodes, then score)."""
+    return extracted_bodies(spark, sf)
 
 
 def extracted_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """T-07 production path: ``BodyExtractor.fit`` on pages with gold, then the
     one-pass ``transform`` of the pages (fitted maps, unseen terms in place)."""
-    from pagesift.plans.extractor import BodyExtractor
     pages, docs = Q._pages(spark, sf), Q._docs(spark, sf)
-    return BodyExtractor().fit(pages, docs).transform(pages)
+    return _fitted(pages, docs).transform(pages)
 
 
 def w2v_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """E-06: trained character Word2Vec term vectors for the tag vocabulary."""
-    return V.word2vec_vectors(V.tag_vocab(Q._pages(spark, sf)).select("term"))
+    """E-06: trained character Word2Vec term vectors (kind, term, vector) of the tag and class vocabularies."""
+    voc = materialize(V.vocab_terms(Q._pages(spark, sf)), "vocab")
+    return V.w2v_term_vectors(voc, materialize(V.w2v_char_vectors(voc), "char-vectors"))
 
 
 ROWS_ONLY = {
