@@ -14,10 +14,11 @@ steps together, as arrays.
    unverified links are the candidate groups. A link at the threshold shares a
    bucket with probability 1 - 4e-6, and is then inside one group.
 3. The nodes of a group are dealt by hash into blocks of about
-   ``BLOCK_SHINGLES`` shingles, and every pair of blocks is one tile. A tile
-   compares the pairs that its signatures do not rule out on their full sets,
-   and returns a spanning forest (union-find) of the true links in it. No pair
-   list of a group is ever made, and no group is ever in one task.
+   ``BLOCK_SHINGLES`` shingles and ``BLOCK_DOCS`` documents, and every
+   pair of blocks is one tile. A tile compares the pairs that its signatures do
+   not rule out on their full sets, document by document, and returns a spanning
+   forest (union-find) of the true links in it. No pair list of a group or tile
+   is ever made, and no group is ever in one task.
 4. The components of all forests are those of all true links.
 
 Defined cases: documents without words have an empty set and no links; rows
@@ -41,7 +42,7 @@ from pagesift.llm.components import components
 SHINGLE, THRESHOLD = 5, 85  # words; per cent
 BANDS, ROWS = 32, 7
 SLOTS = BANDS * ROWS
-BLOCK_SHINGLES = 1 << 17
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 17, 1 << 11
 #: Candidate lists up to this many rows (24 bytes each) are broadcast to the scan; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 CACHED_WORDS = 150_000
@@ -138,41 +139,28 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the true links between the given sets, as pairs of ids."""
-    root = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-    out = []
-
-    def offer(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b and linked(sets[i], sets[j]):
-            root[a] = b
-            if ids[i] != ids[j]:
-                out.append((ids[i], ids[j]))
     n = len(ids)
-    if n <= 24:
-        for i in range(n):
-            for j in range(i):
-                offer(i, j)
-        return out
-    # pairs that can be links by size and, but for five standard errors, by signature; likeliest first
-    share = THRESHOLD / 100
-    least = (share - 5 * math.sqrt(share * (1 - share) / SLOTS)) * SLOTS
-    sig = np.concatenate([signatures(sets[i:i + 64]) for i in range(0, n, 64)]).astype(np.uint16)  # low bits tell slots apart
-    size = np.array([len(s) for s in sets])
-    pairs = []
+    root, out = np.arange(n), []  # of each set: the component it is in so far
+    if n > 24:
+        # pairs that can be links by size and, but for five standard errors, by signature
+        share = THRESHOLD / 100
+        least = (share - 5 * math.sqrt(share * (1 - share) / SLOTS)) * SLOTS
+        sig = np.concatenate([signatures(sets[i:i + 64]) for i in range(0, n, 64)]).astype(np.uint16)  # low bits tell slots apart
+        size = np.array([len(s) for s in sets])
     for i in range(1, n):
-        near = np.flatnonzero(100 * np.minimum(size[:i], size[i]) >= THRESHOLD * np.maximum(size[:i], size[i]))
-        equal = np.count_nonzero(sig[near] == sig[i], axis=1)
-        near, equal = near[equal >= least], equal[equal >= least]
-        pairs.append(np.stack([equal, np.full(len(near), i), near], 1))
-    pairs = np.concatenate(pairs)
-    for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
-        offer(i, j)
+        near = np.arange(i)
+        if n > 24:
+            near = np.flatnonzero(100 * np.minimum(size[:i], size[i]) >= THRESHOLD * np.maximum(size[:i], size[i]))
+            equal = np.count_nonzero(sig[near] == sig[i], axis=1)
+            near, equal = near[equal >= least], equal[equal >= least]
+            near = near[np.argsort(-equal, kind="stable")]  # likeliest first
+        while len(near):
+            j, near = near[0], near[1:]
+            if linked(sets[i], sets[j]):
+                if ids[i] != ids[j]:
+                    out.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+                near = near[root[near] != root[i]]
     return out
 
 
@@ -203,6 +191,14 @@ def _candidate_groups(nodes: DataFrame) -> DataFrame:
                       .select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
+def _tiles(groups: DataFrame) -> DataFrame:
+    """``id, label, block, blocks`` of every row of ``groups`` (``node, label, n_shingles``): blocks bounded in shingles and documents."""
+    blocks = groups.groupBy("label").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES),
+                                                    F.ceil(F.count("*") / BLOCK_DOCS)).alias("blocks"))
+    return groups.join(blocks, "label").select(F.col("node").alias("id"), "label",
+                                               F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "blocks")
+
+
 def _links(docs: DataFrame, tiles: DataFrame, few: bool) -> DataFrame:
     """``a, b``: spanning forests of the true links within the tiles of ``tiles`` (``id, label, block, blocks``)."""
     def sets(batches):
@@ -245,9 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(rows.where("content IS NOT NULL AND id IS NOT NULL").groupBy("content")
                     .agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "nodes")
     groups = written(_candidate_groups(nodes).join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node"), "groups")
-    blocks = groups.groupBy("label").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
-    tiles = groups.join(blocks, "label").select(F.col("node").alias("id"), "label",
-                                                F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "blocks")
+    tiles = _tiles(groups)
     found = components(_links(docs, tiles, groups.count() <= BROADCAST_ROWS))
     # rows that repeat an id with different texts are one document: a link between their nodes
     repeated = (rows.where("id IS NOT NULL AND content IS NOT NULL").groupBy("id")
