@@ -57,8 +57,12 @@ APART_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
 #: Apart outside of articles only: an article's own title block may be called a header.
 OUTER, OUTER_WORDS = frozenset(["header"]), frozenset(["header", "footer", "topbar", "toolbar"])
 
+# a script or style without end tag reaches to the end; of the other raw elements, one that is closed
+# at once, or not before the next of its name, loses its tag alone: what follows it is page text
 _TOKEN = re.compile(
-    r"<(script|style|noscript|template|iframe|textarea|title)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"<(script|style)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(noscript|template|iframe|textarea|title)(?=[\s/>])(?:[^>]*[^>/])?+>(?:(?!<\2[\s/>]).)*?</\2\s*+>"
+    r"|</?(?:noscript|template|iframe|textarea|title)(?=[\s/>])[^>]*+>"
     r"|<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
     r"|</([a-z][^\s/>]*+)[^>]*+>"
     r"|<([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -83,7 +87,7 @@ class Page:
             if m.start() > at:
                 self.runs.append((stack[-1], source[at:m.start()]))
             at = m.end()
-            raw, end, start, attributes = m[1], m[2], m[3] or m[5], m[4] or m[6]
+            raw, end, start, attributes = m[2], m[3], m[4] or m[6], m[5] or m[7]
             if start:
                 self._open(start.lower(), attributes or "", stack)
             elif end:
