@@ -54,6 +54,11 @@ APART_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
                         "notice notices alert popup modal newsletter subscribe subscription sidebar widget related recommended share "
                         "sharing social comment comments disqus reply replies breadcrumb breadcrumbs menu nav navbar navigation "
                         "pagination pager login signup search masthead".split())
+#: Class or id tokens that tell of a layout or a state, as with-sidebar, hasMenu or comments-open.
+_LAYOUT = re.compile(r"(?:with|without|has|no|With|Has|No)(?=[-_A-Z])|.*[-_](?:open|closed|enabled|disabled)$", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Beside these an APART_WORD still names a section by its id; other words make the id one of a title, as search-methods.
+PART_WORDS = frozenset("section area block box container list wrapper wrap form posts links bar".split())
 #: Apart outside of articles only: an article's own title block may be called a header.
 OUTER, OUTER_WORDS = frozenset(["header"]), frozenset(["header", "footer", "topbar", "toolbar"])
 
@@ -71,6 +76,17 @@ _NAMED = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _name_words(tag: str, names: list[tuple[str, str]]) -> set[str]:
+    """The words of an element's class, id and role that may name it as apart."""
+    out: set[str] = set()
+    for kind, value in names:
+        words = {w.lower() for t in value.split() if not _LAYOUT.match(t) for w in _NAME_PARTS.findall(t)}
+        if kind == "id" and (tag in HEADINGS or tag == "section" and not words <= APART_WORDS | OUTER_WORDS | PART_WORDS):
+            continue
+        out |= words
+    return out
+
+
 class Page:
     """A page's elements in document order, as parallel lists; ``runs`` are its texts with their element."""
 
@@ -78,7 +94,9 @@ class Page:
         self.tag, self.label, self.parent, self.kids, self.apart = ["#"], ["#"], [-1], [[]], [False]
         self.runs: list[tuple[int, str]] = []  # (element, text); element -1: a block boundary
         self.inside = [False]  # within an article or main element
+        self._named, self._tops = [False], []  # apart by its own name; articles and mains outside of others
         self._parse(source)
+        self._free_articles()
         self._nodes: list | None = None
 
     def _parse(self, source: str) -> None:
@@ -116,22 +134,51 @@ class Page:
             return  # a second one only adds attributes
         above, n = stack[-1], len(self.tag)
         names = sorted((a[0].lower(), a[1] or a[2] or a[3]) for a in _NAMED.findall(attributes)) if attributes else []
-        words = {w.lower() for _, value in names for w in _NAME_PARTS.findall(value)}
-        inside = self.inside[above]
-        apart = self.apart[above] or tag in APART or bool(words & APART_WORDS)
-        if not inside and tag not in ("html", "body"):
-            apart = apart or tag in OUTER or bool(words & OUTER_WORDS)
+        words = _name_words(tag, names)
+        inside, article = self.inside[above], tag in ("article", "main") or ("role", "main") in names
+        named = bool(words & APART_WORDS) or not inside and bool(words & OUTER_WORDS)
+        if tag in ("html", "body") or article and not inside:
+            named = False  # nothing but an article in an article, as a comment, is apart by its name
+        apart = self.apart[above] or named or tag in APART or not inside and tag in OUTER
         if tag in ("html", "body"):
             apart = False
+        if article and not inside:
+            self._tops.append(n)
+        self._named.append(named)
         self.tag.append(tag)
         self.label.append(" ".join([tag, *(f"{k}={v}" for k, v in names)]))
         self.parent.append(above)
         self.kids.append([])
         self.apart.append(apart)
-        self.inside.append(inside or tag in ("article", "main") or ("role", "main") in names)
+        self.inside.append(inside or article)
         self.kids[above].append(n)
         stack.append(n)
 
+    def _free_articles(self) -> None:
+        """A name does not set apart what holds the page's main element, nor its only article if that has more
+        text than the rest that is kept; several articles in a named part are its comments or teasers."""
+        held = [n for n in self._tops if self.apart[n]]
+        if not held:
+            return
+        mains = [n for n in held if self.tag[n] != "article"]
+        if not mains and len(self._tops) == 1:
+            size = [0, 0]  # characters of the article, of the rest that is kept
+            for e, t in self.runs:
+                if e >= 0 and (self.inside[e] or not self.apart[e]):
+                    size[not self.inside[e]] += len("".join(t.split()))
+            mains = held if size[0] > size[1] else []
+        free = set()
+        for n in mains:
+            while n > 0:
+                free.add(n)
+                n = self.parent[n]
+        if any(self._named[n] for n in free):
+            for n in range(1, len(self.tag)):
+                if self.tag[n] not in ("html", "body"):
+                    above = self.parent[n]
+                    self.apart[n] = (self.apart[above] or self._named[n] and n not in free or self.tag[n] in APART
+                                     or not self.inside[above] and self.tag[n] in OUTER)
+
     def _end_open(self, names, within, stack: list) -> None:
         for i in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
