@@ -20,8 +20,3 @@ def spark():
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagesift-test-ckpt-"))
     yield s
-
-
-def pages_df(spark, *htmls):
-    rows = [(i, f"http://x.example/en/{i}", h) for i, h in enumerate(htmls)]
-    return spark.createDataFrame(rows, "page_id long, url string, html string")

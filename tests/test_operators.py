@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import pages_df
+from page_rows import pages_df
 from pagesift.operators import bodies as B
 from pagesift.operators import dom as D
 from pagesift.operators import features as FE

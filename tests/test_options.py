@@ -1,7 +1,7 @@
 """Behaviour switches of Options."""
 from pyspark.sql import functions as F
 
-from conftest import pages_df
+from page_rows import pages_df
 from pagesift.config import Options
 from pagesift.operators import dom as D
 from pagesift.operators import features as FE
