@@ -50,6 +50,13 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased and nothing else (``lower`` changes further letters, so only all-ASCII texts go there)."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
+            .otherwise(F.translate(text, upper, upper.lower())))
+
+
 def is_held_out(id_col: Column) -> Column:
     """The fixed fold: crc32 of the id as text is divisible by 5 (a null id is not held out)."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
