@@ -104,11 +104,13 @@ def bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = _texts(docs, id_col, text_col).select("id", "content", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     keyed = lines.select("id", "content", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least)
-    rows = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.col("id").isNull().alias("no_id"),
-                        F.coalesce("id", F.lit(0)).alias("id"), "content", "pos")
+    # written, since the range bounds are sampled from all rows before these are dealt
+    rows = written(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.col("id").isNull().alias("no_id"),
+                        F.coalesce("id", F.lit(0)).alias("id"), "content", "pos"), "lines-keyed")
     keys = ["h1", "h2", "no_id", "id", "content", "pos"]
     scanned = written(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(
         _scan, "h1 long, h2 long, no_id boolean, id long, content long, pos int, state byte"), "lines-scanned")
+    drop_written(rows)
     who = F.struct("no_id", "id")
     ends = (scanned.where(F.col("state") != _DROPPED).groupBy("h1", "h2").agg(F.min(who).alias("smallest")))
     later = (scanned.where(F.col("state") == _OPEN)
