@@ -12,8 +12,8 @@ from dataclasses import dataclass
 # fixed values
 # ---------------------------------------------------------------------------
 
-# Elements removed together with their subtree before the tree is walked.
-EXCLUDED_PAIRED = ("script", "style", "iframe")
+# Elements removed together with their subtree (iframe as well) before the tree is walked.
+EXCLUDED_RAW = ("script", "style")
 EXCLUDED_VOID = ("meta", "img", "link", "source", "br", "hr")
 
 # Void elements of the HTML tree builder: never pushed on the repair stack,
@@ -28,6 +28,13 @@ VOID_TAGS = (
 # Sentence punctuation counted per page.
 PUNCTUATION = ".!?。！？"
 
+PUNCT_KEEP_RE = r"[^.!?。！？]"
+
+# Document type declarations, class values of a serialised tag, and control characters deleted from text.
+DOCTYPE_RE = r"(?s)<\s*!\s*?DOCTYPE.*?>"
+CLASS_RE = r'class="([^"]*)"'
+CONTROL_RE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xff]"
+
 # Minimum visible characters of a usable page.
 MIN_VISIBLE_CHARS = 100
 
@@ -53,24 +60,37 @@ N_FOLDS = 4
 FOLD_SEED = 42
 
 # ---------------------------------------------------------------------------
-# regular expressions (Java syntax; the DuckDB oracle writes the same classes)
+# regular expressions (valid in Java and in Python; the DuckDB oracle has its own)
 # ---------------------------------------------------------------------------
 
-# One token = element tag | declaration / processing instruction | text run | lone '<'.
-TOKEN_RE = r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>|[^<]+|<"
-TAG_OR_DECL_RE = r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>"
-DOCTYPE_RE = r"(?s)<\s*!\s*?DOCTYPE.*?>"
-COMMENT_RE = r"(?s)<!--.*?-->"
+# Blanks as the parser sees them (a character class body).
+BLANK = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TAG_NAME = r"[A-Za-z][^\t\n\r\f />\x00]*+"
+# Blanks and attributes inside a start tag: a ">" in a quoted value does not end the tag. A value that opens a
+# quote and does not close it makes the tag text. All loops are possessive, so a scan is linear and does not recurse.
+ATTRIBUTE = (rf"""(?<=['"{BLANK}/])([^{BLANK}/>][^{BLANK}/=>]*+)"""
+             rf"""(?:[{BLANK}]*+=++[{BLANK}]*+('[^']*+'|"[^"]*+"|(?!['"])[^>{BLANK}]*+))?+""")
+ATTRIBUTE_ONLY = ATTRIBUTE.replace("([^", "(?:[^").replace("('", "(?:'")  # without groups
+ATTRIBUTES = rf"(?:[{BLANK}]++|/(?!>)|{ATTRIBUTE_ONLY})*+"
+START_TAG_RE = rf"<{TAG_NAME}{ATTRIBUTES}/?>"
+END_TAG_RE = rf"</[A-Za-z][^>]*+>|</[{BLANK}]++[A-Za-z][-.:A-Za-z0-9_]*+[{BLANK}]*+>"
+# Declarations, processing instructions, CDATA sections and end tags without a name are no text; an open comment is.
+DECLARATION_RE = r"<!\[CDATA\[(?s:.*?)\]\]>|<!(?!--)[^>]*+>|<\?[^>]*+>|</[^>]*+>"
+TAG_OR_DECL_RE = rf"{START_TAG_RE}|{END_TAG_RE}|{DECLARATION_RE}"
+# One token = tag | declaration | what only looks like a tag (text) | text run | lone '<'.
+OPEN_MARKUP_RE = r"<(?:[A-Za-z]|!--)[^>]*+>"
+TOKEN_RE = rf"{TAG_OR_DECL_RE}|{OPEN_MARKUP_RE}|[^<]++|<"
+# Comments and raw-text elements, found in one pass from the left, so that neither is looked for inside the other or
+# inside a tag; groups: a raw element's start tag, its name, any other start tag. A raw element closed at once has no text.
+COMMENT_OR_RAW_RE = (rf"(?is)<!--.*?--[{BLANK}]*+>|(<(script|style)(?=[{BLANK}/>]){ATTRIBUTES}>)"
+                     rf".*?(?:</[{BLANK}]*+\2[{BLANK}]*+>|\z)|({START_TAG_RE})")
 # Characters removed from node text: Python's \s plus C0 controls and U+007F-U+00FF.
 PY_SPACE_RE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 CONTENT_STRIP_RE = r"[\x00-\x20\x7f-\xff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Variant that keeps U+007F-U+00FF except the two blanks in it (U+0085, U+00A0).
 CONTENT_STRIP_KEEP_LATIN1_RE = r"[\x00-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-CONTROL_RE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xff]"
 NON_WORD_RE = r"[^\p{L}\p{N}_]"
 CJK_RE = r"[\u4e00-\u9fff]"
-PUNCT_KEEP_RE = r"[^.!?。！？]"
-CLASS_RE = r'class="([^"]*)"'
 ESCAPED_RE = r"&(amp|lt|gt);"
 
 

@@ -24,39 +24,44 @@ from __future__ import annotations
 import html as _html
 import re
 
-from pagesift.config import VOID_TAGS
+from pagesift import config as C
 
-_VOID = frozenset(VOID_TAGS)
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
-_CLASS = re.compile(r'class="([^"]*)"')
-_BLANKS = re.compile(r"\s+")
-_TAIL = re.compile(r"\s*/?\s*$")
-# one attribute: name, then optionally '=' and a quoted or bare value (scanned left to right)
-_ATTR = re.compile(r"""([^\s/>][^\s/=>]*)(?:\s*=+\s*('[^']*'|"[^"]*"|[^>\s]*))?""")
+_VOID = frozenset(C.VOID_TAGS)
+_START = re.compile(rf"<({C.TAG_NAME})(?:[{C.BLANK}]|/(?!>))*+")
+_END = re.compile(rf"</([A-Za-z][^{C.BLANK}/>]*+)|</[{C.BLANK}]++([A-Za-z][^{C.BLANK}/>]*+)[{C.BLANK}]*+>")
+_CLASS = re.compile(C.CLASS_RE)
+_ATTR = re.compile(rf"{C.ATTRIBUTE}(?:[{C.BLANK}]|/(?!>))*+")
 
 
 def _escape(v: str) -> str:
     return v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
-def canonical_tag(name: str, token: str, name_end: int, void: bool) -> str:
-    """Start-tag text as the tree builder writes it back: lower-case attribute
+def start_tag(token: str) -> tuple[str, str, bool] | None:
+    """(name, tag text, closed at once) of a start-tag token; None if it only looks like one.
+
+    The text is as the tree builder writes it back: lower-case attribute
     names, every value double-quoted (valueless ones as ""), class blanks
-    collapsed, values decoded once more and & < > escaped, "/" on voids."""
-    rest = _TAIL.sub("", token[name_end:-1])
-    attrs = []
-    for m in _ATTR.finditer(rest):
-        n, v = m.group(1).lower(), m.group(2)
-        if v is None:
-            v = ""
-        elif len(v) >= 2 and v[0] in "'\"" and v[-1] == v[0]:
+    collapsed, values decoded once more and & < > escaped, "/" on voids.
+    """
+    m = _START.match(token)
+    if m is None:
+        return None
+    name, at, attrs = m.group(1).lower(), m.end(), []
+    while m := _ATTR.match(token, at):
+        at = m.end()
+        n, v = m.group(1).lower(), m.group(2) or ""
+        if len(v) >= 2 and v[0] in "'\"" and v[-1] == v[0]:
             v = v[1:-1]
         if "&" in v:
             v = _html.unescape(v)
         if n == "class":
             v = " ".join(v.split())
         attrs.append(f'{n}="{_escape(v)}"')
-    return name + (" " + " ".join(attrs) if attrs else "") + ("/" if void else "")
+    rest = token[at:].strip()
+    if rest not in (">", "/>"):
+        return None
+    return name, name + (" " + " ".join(attrs) if attrs else "") + ("/" if name in _VOID else ""), rest == "/>"
 
 
 def fold_tokens(tokens, max_anc: int | None = None):
@@ -116,29 +121,33 @@ def fold_tokens(tokens, max_anc: int | None = None):
     if tokens is None:
         tokens = []
     for i, t in enumerate(tokens):
-        m = _TAG.match(t) if len(t) > 2 and t[0] == "<" and t[-1] == ">" else None
-        if m is None:
-            if started and not t.startswith(("<!", "<?")):  # declarations are dropped
+        end = tag = None
+        if len(t) > 2 and t[0] == "<" and t[-1] == ">":
+            if t[1] in "!?/" and not t.startswith("<!--"):
+                end = _END.match(t)
+                if end is None:
+                    continue  # declarations and nameless end tags are dropped
+            else:
+                tag = start_tag(t)
+        if end is None and tag is None:
+            if started:
                 runs[last].append(t)
-            continue
-        is_end = m.group(1) == "/"
-        name = m.group(2).lower()
-        if not is_end:
+        elif tag:
+            name, raw, closed = tag
             if not started:
                 if name != "html":
                     continue
                 started = True
-            void = name in _VOID
-            raw = canonical_tag(name, t, m.end(), void)
             path_name = raw.split(" ", 1)[0]
             last = emit("start", name, raw, False)
             pnames.append(path_name)
             ppos.append(last)
-            if not void:
+            if name not in _VOID:
                 rstack.append(name)
-                if t.endswith("/>"):  # <div/> is an empty element: start and end
+                if closed:  # <div/> is an empty element: start and end
                     last = close_top(i, True)
         else:
+            name = (end.group(1) or end.group(2)).lower()
             if not started or name not in rstack:
                 continue  # stray end tag: ignored, its text joins the previous event
             while rstack[-1] != name:

@@ -16,21 +16,19 @@ from pagesift.config import Options
 from pagesift.functions import text as X
 from pagesift.functions.udfs import fold_udf, html_unescape
 
-HTML_START_RE = r"(?i)<html(?:[\s/][^<>]*)?>"
-
-
-_NAME_END = r"(?=[\s/>])"  # a name ends here; "style-guide" is another element than "style"
-# comments and raw-text elements in one pass from the left, so that neither is looked for inside the other
-RAW_OR_COMMENT_RE = rf"(?is)<(script|style){_NAME_END}[^>]*>.*?(?:</\1\s*>|$)|<!--.*?-->"
+_NAME_END = rf"(?=[{C.BLANK}/>])"  # a name ends here; "style-guide" is another element than "style"
+HTML_START_RE = rf"(?i)<html{_NAME_END}{C.ATTRIBUTES}/?>"
+# an iframe up to its end tag, other excluded tags alone, any other start tag (kept)
+_IFRAME_RE = (rf"<iframe{_NAME_END}{C.ATTRIBUTES}>[^<]*+(?:<(?!/?iframe[{C.BLANK}/>])[^<]*+)*+</iframe[{C.BLANK}]*+>")
+_NAMES = "|".join((*C.EXCLUDED_VOID, "iframe"))
+EXCLUDED_RE = (rf"(?i){_IFRAME_RE}|<(?:{_NAMES}|{'|'.join(C.EXCLUDED_RAW)}){_NAME_END}{C.ATTRIBUTES}/?>"
+               rf"|</(?:{_NAMES}){_NAME_END}[^>]*+>|({C.START_TAG_RE})")
 
 
 def _strip_excluded(h: Column) -> Column:
     # L-05: raw-text elements lose their whole body, an iframe up to its end tag; one that
     # is closed at once or never loses its tag alone, what follows it is page text
-    h = F.regexp_replace(h, RAW_OR_COMMENT_RE, "")
-    h = F.regexp_replace(h, rf"(?is)<iframe{_NAME_END}(?:[^>]*[^>/])?>(?:(?!<iframe{_NAME_END}).)*?</iframe\s*>", "")
-    voids = "|".join(C.EXCLUDED_VOID)
-    return F.regexp_replace(h, rf"(?i)</?(?:{voids}|iframe){_NAME_END}[^>]*>", "")
+    return F.regexp_replace(F.regexp_replace(h, C.COMMENT_OR_RAW_RE, "$3"), EXCLUDED_RE, "$1")
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:

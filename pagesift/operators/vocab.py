@@ -14,13 +14,10 @@ from pyspark.sql import functions as F
 
 from pagesift import config as C
 
-# comment bodies and script/style bodies are text to the parser, not tags
-_MASK = [(r"(?s)<!--.*?-->", ""),
-         (r"(?is)(<script\b[^>]*>).*?(?:</script\s*>|$)", "$1"),
-         (r"(?is)(<style\b[^>]*>).*?(?:</style\s*>|$)", "$1")]
-START_TAG_RE = r"<[A-Za-z][^<>]*>"
-# the class attribute's value, double-, single- or un-quoted (groups 1, 2, 3)
-CLASS_ATTR_RE = r"""(?i)\sclass\s*=+\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_NAME_RE = r"^<([A-Za-z][^\t\n\r\f />\x00]*+)"
+# the class attribute's value, double-, single- or un-quoted (groups 1, 2, 3), behind the attributes before it
+CLASS_ATTR_RE = (rf"(?i)^<{C.TAG_NAME}(?:(?!class[{C.BLANK}]*+=)(?:[{C.BLANK}]++|/(?!>)|{C.ATTRIBUTE_ONLY}))*+class[{C.BLANK}]*+=++[{C.BLANK}]*+"
+                 rf"""(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^>{C.BLANK}]*+))""")
 
 
 def class_value(tag_text):
@@ -29,31 +26,32 @@ def class_value(tag_text):
 
 
 def raw_start_tags(pages: DataFrame) -> DataFrame:
-    """(page_id, tag_text) for every start tag the parser sees in the raw page."""
-    h = F.col("html")
-    for pat, rep in _MASK:
-        h = F.regexp_replace(h, pat, rep)
-    return pages.select("page_id", F.explode(F.regexp_extract_all(h, F.lit(START_TAG_RE), 0)).alias("t"))
+    """(page_id, tag_text) for every start tag the parser sees in the raw page: bodies of comments
+    and of script and style elements are text to it."""
+    h = F.regexp_replace("html", C.COMMENT_OR_RAW_RE, "$1$3")
+    markup = rf"({C.START_TAG_RE})|{C.END_TAG_RE}|{C.DECLARATION_RE}|{C.OPEN_MARKUP_RE}"
+    return (pages.select("page_id", F.explode(F.regexp_extract_all(h, F.lit(markup), 1)).alias("t"))
+            .filter(F.col("t") != ""))
 
 
 def tag_vocab(pages: DataFrame) -> DataFrame:
     """A-01: distinct lower-case tag names with page and use counts."""
     t = raw_start_tags(pages).select(
-        "page_id", F.lower(F.regexp_extract("t", r"^<([A-Za-z][^\s/>]*)", 1)).alias("term"))
+        "page_id", F.lower(F.regexp_extract("t", _NAME_RE, 1)).alias("term"))
     return t.groupBy("term").agg(F.countDistinct("page_id").alias("pages"), F.count("*").alias("uses"))
 
 
 def class_vocab(pages: DataFrame) -> DataFrame:
     """A-02: distinct class strings, blanks normalised to one space."""
     t = raw_start_tags(pages).select(class_value(F.col("t")).alias("c"))
-    t = t.select(F.trim(F.regexp_replace("c", r"\s+", " ")).alias("term")).filter(F.col("term") != "")
+    t = t.select(F.trim(F.regexp_replace("c", rf"[{C.BLANK}]+", " ")).alias("term")).filter(F.col("term") != "")
     return t.groupBy("term").agg(F.count("*").alias("uses"))
 
 
 def vocab_terms(pages: DataFrame) -> DataFrame:
     """(kind, term) of both vocabularies (A-01 tags, A-02 classes) from one scan of the raw pages."""
-    name = F.lower(F.regexp_extract("t", r"^<([A-Za-z][^\s/>]*)", 1))
-    cls = F.trim(F.regexp_replace(class_value(F.col("t")), r"\s+", " "))
+    name = F.lower(F.regexp_extract("t", _NAME_RE, 1))
+    cls = F.trim(F.regexp_replace(class_value(F.col("t")), rf"[{C.BLANK}]+", " "))
     both = raw_start_tags(pages).select(F.explode(F.array(
         F.struct(F.lit("tag").alias("kind"), name.alias("term")),
         F.struct(F.lit("class").alias("kind"), cls.alias("term")))).alias("k"))

@@ -5,7 +5,8 @@ CTE that takes one token or pops one element per step, and node text is
 assigned with window functions. Entity decoding uses the entities of the
 test corpus (quot, apos, copy, middot, lt, gt, nbsp, #39, amp — amp last so
 the chain equals one left-to-right pass); the Spark side decodes all HTML5
-references. Regular expressions are the RE2 spellings of ``config``'s.
+references. The markup patterns are written for this module alone, in RE2's
+syntax (no look-around, no possessive loops), from the rules of the parser.
 """
 
 from __future__ import annotations
@@ -25,15 +26,49 @@ def decode(x: str) -> str:
     return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
+# -- markup, by the rules of the parser ---------------------------------------
+BL = r"[\t-\r ]"
+SEP = r"[\t-\r /]"
+KEY = r"[^\t-\r />][^\t-\r /=>]*"
+EQ = rf"{BL}*=+{BL}*"
+QUOTED = r"""(?:'[^']*'|"[^"]*")"""
+BARE = r"""[^'"\t-\r >][^\t-\r >]*"""
+# attributes that follow one another without a blank: only a quoted value lets the next one begin
+CHAIN = rf"(?:{KEY}{EQ}{QUOTED})*(?:{KEY}(?:{EQ}(?:{BARE})?)?)?"
+ATTRS = rf"(?:{SEP}+{CHAIN})*{SEP}*"
+# the same before "/>": an unquoted value would take the slash, so a blank has to end it
+CLOSED = rf"(?:{SEP}+(?:{KEY}{EQ}{QUOTED})*(?:{KEY}(?:{EQ}(?:{BARE})?{BL})?)?)*{SEP}*/>"
+NAME = r"[A-Za-z][^\t\n\r\f />]*"
+START = rf"<{NAME}{ATTRS}>"
+END = rf"</[A-Za-z][^>]*>|</{BL}+[A-Za-z][-.:A-Za-z0-9_]*{BL}*>"
+DECL = r"<!\[CDATA\[(?s:.*?)\]\]>|<!-?>|<!-?[^->][^>]*>|<\?[^>]*>|</[^>]*>"
+TAG_OR_DECL = f"{START}|{END}|{DECL}"
+MARKUP = f"({START})|{END}|{DECL}|<(?:[A-Za-z]|!--)[^>]*>"
+TOKEN = f"{TAG_OR_DECL}|<(?:[A-Za-z]|!--)[^>]*>|[^<]+|<"
+ATTR = rf"{KEY}(?:{EQ}(?:{QUOTED}|{BARE})?)?"
+COMMENT = rf"<!--.*?--{BL}*>"
+GONE = "meta|img|link|source|br|hr|iframe"
+
+
+def lit(pattern: str) -> str:
+    """A pattern as a SQL string."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def raw_element(name: str) -> tuple[str, str]:
+    """Start tag and body of an element whose content is text."""
+    return f"<{name}{ATTRS}>", f".*?(?:</{BL}*{name}{BL}*>|$)"
+
+
 def clean_html(x: str) -> str:
     x = f"replace({x}, chr(10), '')"
     x = decode(x)
-    x = f"regexp_replace({x}, '{C.DOCTYPE_RE}', '', 'g')"
-    x = f"regexp_replace({x}, '{C.COMMENT_RE}', '', 'g')"
-    for tag in C.EXCLUDED_PAIRED:
-        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|$)', '', 'g')"
-    voids = "|".join(C.EXCLUDED_VOID)
-    return f"regexp_replace({x}, '(?i)</?(?:{voids})\\b[^>]*>', '', 'g')"
+    x = f"regexp_replace({x}, '(?s)<\\s*!\\s*?DOCTYPE.*?>', '', 'g')"
+    raw = "|".join("".join(raw_element(n)) for n in ("script", "style"))
+    x = f"regexp_replace({x}, {lit(f'(?is){COMMENT}|(<(?:script|style){CLOSED})|{raw}|({START})')}, '\\1\\2', 'g')"
+    iframe = f"<iframe{CLOSED}|<iframe{ATTRS}>.*?</iframe{BL}*>"
+    return (f"regexp_replace({x}, {lit(f'(?is){iframe}|<(?:{GONE}|script|style){ATTRS}>|</(?:{GONE})(?:{SEP}[^>]*)?>|({START})')},"
+            " '\\1', 'g')")
 
 
 def escape(x: str) -> str:
@@ -41,27 +76,36 @@ def escape(x: str) -> str:
 
 
 def norm_fragment(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '{C.ESCAPED_RE}', '', 'g'), '{C.NON_WORD_RE}', '', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '&(amp|lt|gt);', '', 'g'), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
 
 
 def punct(x: str) -> str:
-    return f"length(regexp_replace({x}, '{C.PUNCT_KEEP_RE}', '', 'g'))"
+    return f"length(regexp_replace({x}, '[^.!?。！？]', '', 'g'))"
 
 
-ATTR_RE = r"""([^\s/>][^\s/=>]*)(?:\s*=+\s*('[^']*'|"[^"]*"|[^>\s]*))?""".replace("'", "''")
+SQ = "'" * 4  # SQL literal holding one single quote
 
 
-SQ = "'" * 4  # SQL literal holding one single quote
+def _value(a: str) -> str:
+    """The value of an attribute's text, without its quotes."""
+    v = f"regexp_extract({a}, {lit(f'(?s)^{KEY}{EQ}(.*)$')}, 1)"
+    return (f"CASE WHEN length({v}) >= 2 AND ((left({v}, 1) = '\"' AND right({v}, 1) = '\"') OR "
+            f"(left({v}, 1) = {SQ} AND right({v}, 1) = {SQ})) THEN substring({v}, 2, length({v}) - 2) ELSE {v} END")
+
+
+def _key(a: str) -> str:
+    return f"lower(regexp_extract({a}, {lit(f'^({KEY})')}, 1))"
 
 
 def _canon_attr(a: str) -> str:
-    n = f"lower(regexp_extract({a}, '^([^\\s/>][^\\s/=>]*)', 1))"
-    v0 = f"regexp_extract({a}, '^[^\\s/>][^\\s/=>]*\\s*=+\\s*(.*)$', 1)"
-    v1 = (f"CASE WHEN length({v0}) >= 2 AND ((left({v0}, 1) = '\"' AND right({v0}, 1) = '\"') OR "
-          f"(left({v0}, 1) = {SQ} AND right({v0}, 1) = {SQ})) THEN substring({v0}, 2, length({v0}) - 2) ELSE {v0} END")
-    v2 = decode(f"({v1})")
-    v3 = f"CASE WHEN {n} = 'class' THEN trim(regexp_replace({v2}, '\\s+', ' ', 'g')) ELSE {v2} END"
-    return f"{n} || '=\"' || {escape(v3)} || '\"'"
+    v = decode(f"({_value(a)})")
+    v = f"CASE WHEN {_key(a)} = 'class' THEN trim(regexp_replace({v}, '\\s+', ' ', 'g')) ELSE {v} END"
+    return f"{_key(a)} || '=\"' || {escape(v)} || '\"'"
+
+
+def attributes(t: str) -> str:
+    """The attribute texts of a start tag."""
+    return f"regexp_extract_all(regexp_replace(substring({t}, 2, length({t}) - 2), {lit('^' + NAME)}, ''), {lit(ATTR)})"
 
 
 CANON_ATTR = _canon_attr("a")
@@ -72,38 +116,36 @@ cl0 AS (
 ),
 cl AS (
   SELECT page_id, url, html,
-         CAST(length(replace(regexp_replace(html, '{C.TAG_OR_DECL_RE}', '', 'g'), '\\', '')) AS BIGINT) AS visible_len
+         CAST(length(replace(regexp_replace(html, {lit(TAG_OR_DECL)}, '', 'g'), '\\', '')) AS BIGINT) AS visible_len
   FROM cl0
 ),
 cls AS (
   SELECT *, CASE WHEN html IS NULL THEN 'no_html'
                  WHEN visible_len < {C.MIN_VISIBLE_CHARS} THEN 'too_short'
-                 WHEN NOT regexp_matches(html, '(?i)<html(?:[\\s/][^<>]*)?>') THEN 'no_html'
+                 WHEN NOT regexp_matches(html, {lit('(?i)<html' + ATTRS + '>')}) THEN 'no_html'
                  ELSE 'ok' END AS status
   FROM cl
 ),
 tk0 AS (
   SELECT page_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i
-  FROM (SELECT page_id, regexp_extract_all(html, '{C.TOKEN_RE}') AS toks FROM cls WHERE status = 'ok')
+  FROM (SELECT page_id, regexp_extract_all(html, {lit(TOKEN)}) AS toks FROM cls WHERE status = 'ok')
 ),
 tk1 AS (
-  SELECT page_id, i, t,
-         CASE WHEN regexp_matches(t, '^</[A-Za-z]') THEN 'end'
-              WHEN regexp_matches(t, '^<[A-Za-z]') THEN 'start'
-              WHEN t LIKE '<!%' OR t LIKE '<?%' THEN 'decl' ELSE 'text' END AS ttype,
-         lower(regexp_extract(t, '^</?([A-Za-z][^\\s/>]*)', 1)) AS tname
-  FROM tk0
+  SELECT page_id, i, t, ttype, CASE WHEN ttype = 'start' THEN lower(regexp_extract(t, '^<([A-Za-z][^\\t\n\\r\f />]*)', 1))
+                                    WHEN ttype = 'end' THEN lower(regexp_extract(t, '^</[\\t-\\r ]*([A-Za-z][^\\t-\\r />]*)', 1)) ELSE '' END AS tname,
+         CASE WHEN ttype = 'start' THEN {attributes('t')} END AS araw
+  FROM (SELECT *, CASE WHEN regexp_full_match(t, {lit(END)}) THEN 'end'
+                       WHEN regexp_full_match(t, {lit(START)}) THEN 'start'
+                       WHEN regexp_full_match(t, {lit(DECL)}) THEN 'decl' ELSE 'text' END AS ttype FROM tk0)
 ),
 tk2 AS (
-  SELECT page_id, i, 0 AS sub, t, ttype, tname FROM tk1
+  SELECT page_id, i, 0 AS sub, t, ttype, tname, araw FROM tk1
   UNION ALL
-  SELECT page_id, i, 1, '</' || tname || '>', 'end', tname FROM tk1
-  WHERE ttype = 'start' AND t LIKE '%/>' AND tname NOT IN ({VOIDS})
+  SELECT page_id, i, 1, '</' || tname || '>', 'end', tname, NULL FROM tk1
+  WHERE ttype = 'start' AND t LIKE '%/>' AND coalesce(araw[-1], '') NOT LIKE '%/' AND tname NOT IN ({VOIDS})
 ),
 tka AS (
-  SELECT *, CASE WHEN ttype = 'start' THEN list_transform(regexp_extract_all(
-           regexp_replace(regexp_replace(substring(t, 2, length(t) - 2), '^[A-Za-z][^\\s/>]*', ''), '\\s*/?\\s*$', ''),
-           '{ATTR_RE}'), lambda a: {CANON_ATTR}) END AS attrs
+  SELECT *, list_transform(araw, lambda a: {CANON_ATTR}) AS attrs
   FROM tk2
 ),
 tkr AS (
@@ -116,7 +158,7 @@ tkx AS (
   SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i, sub) AS INTEGER) AS j,
          t, ttype, tname, sub = 1 AS selfclose_end, raw,
          CASE WHEN ttype = 'start' THEN split_part(raw, ' ', 1) ELSE '/' || tname END AS pname,
-         CASE WHEN ttype = 'start' THEN regexp_extract(raw, '{C.CLASS_RE}', 1) ELSE '' END AS cls
+         CASE WHEN ttype = 'start' THEN regexp_extract(raw, 'class="([^"]*)"', 1) ELSE '' END AS cls
   FROM tkr
 ),
 npg AS (SELECT page_id, max(j) AS n FROM tkx GROUP BY page_id),
@@ -207,7 +249,7 @@ pdoc AS (
   FROM pages
 ),
 gold AS (
-  SELECT doc_id, lang, regexp_replace(text, '{C.NON_WORD_RE}', '', 'g') AS gold_norm FROM documents
+  SELECT doc_id, lang, regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS gold_norm FROM documents
 ),
 lab AS (
   SELECT n.page_id, n.pos, n.content, g.lang,
@@ -219,26 +261,25 @@ lab AS (
 
 
 def _mask(x: str) -> str:
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
-    for tag in ("script", "style"):
-        x = f"regexp_replace({x}, '(?is)(<{tag}\\b[^>]*>).*?(?:</{tag}\\s*>|$)', '\\1', 'g')"
-    return x
+    (script, s_body), (style, y_body) = raw_element("script"), raw_element("style")
+    return (f"regexp_replace({x}, {lit(f'(?is){COMMENT}|(<(?:script|style){CLOSED})|({script}){s_body}|({style}){y_body}|({START})')},"
+            " '\\1\\2\\3\\4', 'g')")
 
 
 VOCAB = f"""
 rawtags AS (
-  SELECT page_id, unnest(regexp_extract_all({_mask('html')}, '<[A-Za-z][^<>]*>')) AS t FROM pages
+  SELECT page_id, t FROM (SELECT page_id, unnest(regexp_extract_all({_mask('html')}, {lit(MARKUP)}, 1)) AS t FROM pages) WHERE t <> ''
 ),
 tag_vocab AS (
-  SELECT lower(regexp_extract(t, '^<([A-Za-z][^\\s/>]*)', 1)) AS term,
+  SELECT lower(regexp_extract(t, '^<([A-Za-z][^\\t\\n\\r\\f />]*)', 1)) AS term,
          CAST(count(DISTINCT page_id) AS BIGINT) AS pages, CAST(count(*) AS BIGINT) AS uses
   FROM rawtags GROUP BY 1
 ),
 class_vocab AS (
   SELECT term, CAST(count(*) AS BIGINT) AS uses FROM (
-    SELECT trim(regexp_replace(regexp_extract(t, '(?i)\\sclass\\s*=+\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 1) || regexp_extract(t, '(?i)\\sclass\\s*=+\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 2)
-                               || regexp_extract(t, '(?i)\\sclass\\s*=+\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 3), '\\s+', ' ', 'g')) AS term
-    FROM rawtags) WHERE term <> '' GROUP BY 1
+    SELECT trim(regexp_replace({_value('a')}, '\\s+', ' ', 'g')) AS term
+    FROM (SELECT list_filter({attributes('t')}, lambda a: {_key('a')} = 'class' AND regexp_matches(a, {lit(f'^{KEY}{EQ}')}))[1] AS a FROM rawtags)
+    WHERE a IS NOT NULL) WHERE term <> '' GROUP BY 1
 ),
 voc AS (SELECT 'tag' AS kind, term FROM tag_vocab UNION ALL SELECT 'class', term FROM class_vocab),
 grams AS (
@@ -295,9 +336,9 @@ SELECTS = {
     "tag_vocab": "SELECT term, pages, uses FROM tag_vocab",
     "class_vocab": "SELECT term, uses FROM class_vocab",
     "raw_tokens": f"""SELECT page_id,
-        CAST(len(list_filter(toks, lambda x: regexp_matches(x, '^</?[A-Za-z]'))) AS BIGINT) AS n_tags,
-        CAST(len(list_filter(toks, lambda x: NOT regexp_matches(x, '^(</?[A-Za-z]|<[!?])'))) AS BIGINT) AS n_text
-        FROM (SELECT page_id, regexp_extract_all(html, '{C.TOKEN_RE}') AS toks FROM cls)""",
+        CAST(len(list_filter(toks, lambda x: regexp_full_match(x, {lit(f'{START}|{END}')}))) AS BIGINT) AS n_tags,
+        CAST(len(list_filter(toks, lambda x: NOT regexp_full_match(x, {lit(TAG_OR_DECL)}))) AS BIGINT) AS n_text
+        FROM (SELECT page_id, regexp_extract_all(html, {lit(TOKEN)}) AS toks FROM cls)""",
     "events": "SELECT page_id, CAST(pos AS BIGINT) AS pos, kind, name, path FROM npath",
     "parents": """SELECT i.page_id, CAST(i.pos AS BIGINT) AS pos,
         CAST((SELECT max(j.pos) FROM nx j WHERE j.page_id = i.page_id AND j.pos < i.pos

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift import config as C
 from pagesift.config import Options
 from pagesift.functions import text as X
 from pagesift.operators import bodies as B
@@ -70,8 +71,9 @@ def q_class_vocab(spark, sf):
 
 def q_raw_tokens(spark, sf):
     t = D.tokens(D.clean_pages(_pages(spark, sf)))
-    tags = F.size(F.filter("toks", lambda x: x.rlike("^</?[A-Za-z]")))
-    text = F.size(F.filter("toks", lambda x: ~x.rlike("^(</?[A-Za-z]|<[!?])")))
+    tag = rf"^(?:{C.START_TAG_RE}|{C.END_TAG_RE})\z"
+    tags = F.size(F.filter("toks", lambda x: x.rlike(tag)))
+    text = F.size(F.filter("toks", lambda x: ~x.rlike(rf"^(?:{C.TAG_OR_DECL_RE})\z")))
     return t.select("page_id", big(tags).alias("n_tags"), big(text).alias("n_text"))
 
 

@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from page_rows import odd_page
 from test_oracle import canon
 
 TAGS = ["div", "p", "b", "span", "ul", "li", "a", "section", "i"]
@@ -76,10 +77,10 @@ def fixture_dir():
     import pyarrow as pa
     import pyarrow.parquet as pq
     d = tempfile.mkdtemp(prefix="pagesift-diff-")
-    n = 150
+    n = 300
     pages = pa.table({"page_id": list(range(n)),
                       "url": [f"http://h{i}.example/en/{i % 5}" for i in range(n)],
-                      "html": [random_page(rng) for _ in range(n)]})
+                      "html": [random_page(rng) if i < 150 else odd_page(rng, random_page) for i in range(n)]})
     pq.write_table(pages, os.path.join(d, "pages.parquet"))
     docs = pa.table({"doc_id": list(range(5)), "text": ["alpha beta gamma AT&T q bold 中文 " + "z" * 200] * 5,
                      "lang": ["en"] * 5, "source": ["s"] * 5, "n_chars": [10] * 5})

@@ -1,89 +1,129 @@
-"""The regex tokenizer sees the same start/end tags, in the same order, as the
-standard-library HTML parser (on cleaned pages: test tables and random edge cases)."""
+"""Cleaning, tokens and vocabularies agree with the standard-library HTML parser on uncleaned pages:
+the test tables and seeded random pages full of quoted '>', odd attributes, raw text and comments."""
 import html as H
 import html.parser as hp
 import random
 import re
+from collections import Counter
 
-import duckdb
+import pytest
 
 from pagesift import config as C
+from pagesift.functions.fold import fold_tokens, start_tag
+from pagesift.operators import dom, vocab
+from page_rows import PIECES, odd_page
 from test_differential import random_page
 
+DROPPED = {*C.EXCLUDED_VOID, "iframe", *C.EXCLUDED_RAW}
+
+
+class Recorder(hp.HTMLParser):
+    """(kind, name or text, class) of what the parser reports."""
 
-class _Recorder(hp.HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=False)
-        self.ev = []
+        super().__init__(convert_charrefs=True)
+        self.found = []
 
     def handle_starttag(self, tag, attrs):
-        self.ev.append(("s", tag))
+        self.found.append(("start", tag, " ".join((dict(attrs).get("class") or "").split())))
 
     def handle_startendtag(self, tag, attrs):
-        self.ev.append(("s", tag))
+        self.handle_starttag(tag, attrs)
+        self.found[-1] += ("closed",)
 
     def handle_endtag(self, tag):
-        self.ev.append(("e", tag))
+        self.found.append(("end", tag))
+
+    def handle_data(self, data):
+        self.found.append(("raw" if self.cdata_elem else "text", data))
 
 
-def _clean(h):
-    """Same steps as dom.clean_pages, in Python."""
-    h = H.unescape(h.replace("\n", ""))
-    h = re.sub(C.DOCTYPE_RE, "", h)
-    h = re.sub(C.COMMENT_RE, "", h)
-    for t in C.EXCLUDED_PAIRED:
-        h = re.sub(rf"(?is)<{t}\b[^>]*>.*?(?:</{t}\s*>|$)", "", h)
-    return re.sub(r"(?i)</?(?:%s)\b[^>]*>" % "|".join(C.EXCLUDED_VOID), "", h)
+def parsed(page):
+    p = Recorder()
+    p.feed(page)
+    p.close()
+    return p.found
 
 
-def _ours(h):
+def joined(found):
     out = []
-    for t in re.findall(C.TOKEN_RE, h):
-        m = re.match(r"<(/?)([A-Za-z][^\s/>]*)", t) if len(t) > 2 and t[-1] == ">" else None
-        if m:
-            out.append(("e" if m.group(1) else "s", m.group(2).lower()))
+    for kind, value in found:
+        if kind == "text" and out and out[-1][0] == "text":
+            out[-1] = ("text", out[-1][1] + value)
+        elif value:
+            out.append((kind, value))
     return out
 
 
-def _differing(pages):
-    bad = []
-    for h in pages:
-        c = _clean(h)
-        p = _Recorder()
-        p.feed(c)
-        p.close()
-        if p.ev != _ours(c):
-            bad.append(h)
-    return bad
+def expected(page):
+    """What is left of a page without its excluded elements, as the parser sees it."""
+    found, out, i = parsed(re.sub(C.DOCTYPE_RE, "", H.unescape(page.replace("\n", "")))), [], 0
+    while i < len(found):
+        kind, value = found[i][:2]
+        if kind == "start" and value == "iframe" and len(found[i]) == 3:
+            later = [j for j in range(i + 1, len(found)) if found[j][1] == "iframe" and found[j][0] in ("start", "end")]
+            if later and found[later[0]][0] == "end":
+                i = later[0]
+        elif kind != "raw" and not (kind != "text" and value in DROPPED):
+            out.append((kind, value))
+        i += 1
+    return joined(out)
 
 
-def test_tokenizer_matches_stdlib_parser():
-    con = duckdb.connect()
-    pages = [r[0] for r in con.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+def ours(cleaned):
+    out = []
+    for t in re.findall(f"{C.TOKEN_RE}", cleaned):
+        start = start_tag(t) if re.match("<[A-Za-z]", t) else None
+        end = re.fullmatch(rf"(?:{C.END_TAG_RE})", t)
+        if start:
+            out.append(("start", start[0]))
+        elif end:
+            out.append(("end", re.match(r"</\s*([A-Za-z][^\s/>]*)", t)[1].lower()))
+        elif not re.fullmatch(f"(?:{C.DECLARATION_RE})", t):
+            out.append(("text", H.unescape(t)))
+    return joined(out)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
     rng = random.Random(11)
-    pages += [random_page(rng) for _ in range(300)]
-    assert _differing(pages) == []
+    rows = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    rows += [random_page(rng) for _ in range(300)] + [odd_page(rng, random_page) for _ in range(1500)] + PIECES
+    return spark.createDataFrame(list(enumerate(rows)), "page_id long, html string").selectExpr("page_id", "'' AS url", "html").repartition(8).cache()
 
 
-class _Text(hp.HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.d = []
-
-    def handle_data(self, d):
-        self.d.append(d)
-
-
-def test_text_tokens_match_stdlib_data():
-    con = duckdb.connect()
-    pages = [r[0] for r in con.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
-    rng = random.Random(5)
-    pages += [random_page(rng) for _ in range(300)]
-    for h in pages:
-        c = _clean(h)
-        p = _Text()
-        p.feed(c)
-        p.close()
-        text = [t for t in re.findall(C.TOKEN_RE, c)
-                if not (len(t) > 2 and t[-1] == ">" and (re.match(r"</?[A-Za-z]", t) or t[1] in "!?"))]
-        assert "".join(p.d) == H.unescape("".join(text))
+def test_cleaned_tokens_are_those_of_the_parser(pages):
+    raw = {r.page_id: r.html for r in pages.collect()}
+    bad = [(raw[r.page_id], ours(r.html), expected(raw[r.page_id])) for r in dom.clean_pages(pages).collect()
+           if ours(r.html) != expected(raw[r.page_id])]
+    assert not bad, min(bad, key=lambda b: len(b[0]))
+
+
+def test_jvm_tokens_equal_python_tokens(pages):
+    cleaned = dom.clean_pages(pages)
+    assert all(r.toks == re.findall(C.TOKEN_RE, r.html) and "".join(r.toks) == r.html for r in dom.tokens(cleaned).collect())
+
+
+def test_vocabulary_tags_are_those_of_the_parser(pages):
+    """On the raw page: names and classes of every start tag, scripts and styles included."""
+    want = Counter((r.page_id, tag[1], tag[2]) for r in pages.collect() for tag in parsed(r.html) if tag[0] == "start")
+    tags = vocab.raw_start_tags(pages)
+    rows = tags.select("page_id", "t", vocab.class_value(tags.t).alias("c")).collect()
+    got = Counter((r.page_id, start_tag(r.t)[0], " ".join(r.c.split())) for r in rows)
+    assert got == want
+
+
+def test_long_tags_and_raw_text_do_not_recurse(spark):
+    """Thousands of attributes, quotes and nested markup in one element: the patterns run without recursion."""
+    many = "<p " + " ".join(f"a{i}='v > {i}'" for i in range(40_000)) + ">x</p>"
+    deep = "<iframe>" + "<b>y</b>" * 40_000 + "</iframe>"
+    page = "<html><body>" + many + deep + "<script>" + "a < b; " * 60_000 + "</script>" + "z" * 200 + "</body></html>"
+    rows = spark.createDataFrame([(1, "", page)], "page_id long, url string, html string")
+    r = dom.page_events(dom.clean_pages(rows)).first()
+    assert [n for n in r.name] == ["html", "body", "p", "p", "body", "html"] and r.raw[2].count("=") == 40_000
+    assert vocab.raw_start_tags(rows).count() == 40_000 + 5
+
+
+def test_attribute_text_never_reaches_the_content():
+    kind, name, raw, *_, run, parent, depth = fold_tokens(re.findall(C.TOKEN_RE, '<html><a title="x > y" class="k">t</a></html>'))
+    assert name == ["html", "a", "a", "html"] and raw[1] == 'a title="x &gt; y" class="k"' and run == ["", "t", "", ""]
