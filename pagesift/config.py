@@ -107,7 +107,7 @@ class Options:
     n_folds: int = N_FOLDS
     seed: int = FOLD_SEED
     embedding: str = "hash"        # 'hash' (E-05, deterministic) or 'w2v' (E-06, trained on characters)
-    vocab_broadcast_max_terms: int = 200_000  # above this, vectors are joined by term (shuffle)
+    vocab_broadcast_max_terms: int = 50_000  # fitted terms broadcast at most, the most used first; others are embedded in place
     # keys of the gold join holding at least this many pages are salted over hot_key_buckets tasks
     hot_key_rows: int = 100_000
     hot_key_buckets: int = 32
@@ -115,3 +115,5 @@ class Options:
     max_iter: int = 30
     reg_param: float = 1e-4
     tol: float = 1e-6
+    # a bound on the labelled nodes that a fit reads (7.4 KB each, cached); None: all of them
+    max_train_rows: int | None = None

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift import config as C
+from pagesift.config import Options
 from pagesift.functions import text as X
 
 
@@ -17,12 +21,69 @@ def rule_sql(c: str, model: str) -> str:
             f"WHEN ({cjk}) AND length({c}) > {C.RULE_MAX_LEN_CJK} THEN 1 ELSE {model} END")
 
 
+def _with_text(page_rows: DataFrame, body: str, any_text: str, *keep: str) -> DataFrame:
+    """(keep..., body) of the rows with text. A one-element array is filtered and inlined in place of a
+    filter, which the optimiser would push below the texts and so compute these twice."""
+    row = ", ".join(f"'{c}', {c}" for c in ("page_id", *keep))
+    one = F.expr(f"inline(filter(array(named_struct({row}, 'body', regexp_replace({body}, '<[^>]+>', ''), 'any', {any_text})), s -> s.any))")
+    return page_rows.select(one).drop("any")
+
+
 def rule_bodies(page_rows: DataFrame) -> DataFrame:
     """Length rules alone (model says 0): accepted fragments joined in page order,
     leftover tags stripped. Computed inside the page row — no shuffle."""
-    body = F.expr("array_join(filter(content, c -> c <> '' AND " + rule_sql("c", "0") + " = 1), '')")
-    return page_rows.filter(F.exists("content", lambda c: c != "")) \
-                    .select("page_id", F.regexp_replace(body, "<[^>]+>", "").alias("body"))
+    return _with_text(page_rows, "array_join(filter(content, c -> c <> '' AND " + rule_sql("c", "0") + " = 1), '')",
+                      "exists(content, c -> c <> '')")
+
+
+def score_page_rows(page_rows: DataFrame, sums: Callable, weights: np.ndarray, intercept: float,
+                    params: tuple[float, float, float, float], opts: Options, *keep: str) -> DataFrame:
+    """T-06/S-12/S-13 of a linear model inside the page row: (page_id, keep..., nodes), ``nodes`` holding pos,
+    content, prob, pred and accept of the non-empty ones.
+
+    ``sums`` (``features.path_sums``) gives what tags and classes on a node's
+    path add up to; length and punctuation are the same on all its steps, so
+    they count with the sum of their weights over the kept steps, and the
+    padding behind them is a constant for each path length. The result is the
+    scalar product with the node's 15 x 62 vector, which is never built.
+    """
+    ml, sl, mp, sp = params
+    wl, wp = weights[:, -2], weights[:, -1]
+    upto = lambda w: np.concatenate([[0.0], np.cumsum(w)])
+    al, ap = upto(wl), upto(wp)
+    pad = (al[-1] - al) * (-ml / sl) + (ap[-1] - ap) * (-mp / sp)
+    numbers = lambda v: "array(" + ", ".join(f"{float(x)!r}D" for x in v) + ")"
+    length, punct = ("length(e.content)", f"length(regexp_replace(e.content, {X.sql_str(C.PUNCT_KEEP_RE)}, ''))") if opts.scope == "node" \
+        else ("text_len", "punct")
+    k = f"least(e.depth, {opts.max_steps})"
+    margin = (f"{float(intercept)!r}D + e.sum + ({length} - {ml!r}D) / {sl!r}D * {numbers(al)}[{k}]"
+              f" + ({punct} - {mp!r}D) / {sp!r}D * {numbers(ap)}[{k}] + {numbers(pad)}[{k}]")
+    if "label" in keep:  # zipping with a null array would lose the row; an empty one gives null labels
+        page_rows = page_rows.withColumn("label", F.coalesce("label", F.array().cast("array<int>")))
+    s = page_rows.select("page_id", *keep, "content", "depth", "text_len", "punct", sums("tag", "class_name", "parent", "depth").alias("sum"),
+                         F.sequence(F.lit(0), F.size("kind") - 1).alias("ix"))
+    lab = ", label" if "label" in keep else ""
+    found = F.expr(f"transform(filter(arrays_zip(ix, content, depth, sum{lab}), e -> e.content <> ''), e -> named_struct("
+                   f"'pos', CAST(e.ix AS INT), 'content', e.content, 'prob', 1 / (1 + exp(-({margin})))"
+                   f"{', ' + repr('label') + ', e.label' if lab else ''}))")
+    s = s.select("page_id", *[c for c in keep if c != "label"], found.alias("n"))
+    nodes = F.expr("transform(transform(n, e -> named_struct('e', e, 'pred', CAST(e.prob > 0.5 AS INT))), x -> named_struct("
+                   "'pos', x.e.pos, 'content', x.e.content, 'prob', x.e.prob, 'pred', x.pred, 'accept', "
+                   f"{rule_sql('x.e.content', 'x.pred')}{', ' + repr('label') + ', x.e.label' if lab else ''}))")
+    return s.select("page_id", *[c for c in keep if c != "label"], nodes.alias("nodes"))
+
+
+_JOINED = "array_join(transform(filter(nodes, n -> n.accept = 1), n -> n.content), '')"
+
+
+def body_column(nodes: str = "nodes") -> Column:
+    """A-08/S-11 of a page's scored nodes: accepted fragments in page order, leftover tags stripped."""
+    return F.regexp_replace(F.expr(_JOINED.replace("nodes", nodes)), "<[^>]+>", "")
+
+
+def bodies_of(scored: DataFrame, *keep: str) -> DataFrame:
+    """The body of every page of ``score_page_rows``; pages without text drop out."""
+    return _with_text(scored, _JOINED, "size(nodes) > 0", *keep)
 
 
 def script_family(page_rows: DataFrame) -> DataFrame:

@@ -63,7 +63,8 @@ def tokens(cleaned: DataFrame) -> DataFrame:
     return cleaned.withColumn("toks", F.regexp_extract_all("html", F.lit(C.TOKEN_RE), 0))
 
 
-def page_events(cleaned: DataFrame, opts: Options = Options(), full_paths: bool = False) -> DataFrame:
+def page_events(cleaned: DataFrame, opts: Options = Options(), full_paths: bool = False,
+                keep_unusable: bool = False) -> DataFrame:
     """L-06/L-07, C-03..C-05 on usable pages; one row per page with event arrays.
 
     Columns: page_id, url, kind, name, synthetic, raw, tag, class_name, anc,
@@ -71,7 +72,9 @@ def page_events(cleaned: DataFrame, opts: Options = Options(), full_paths: bool
     punct (page totals over all node texts). ``anc`` holds every ancestor
     with ``full_paths``, else only the root-most ``max_steps`` (all the
     features need), which keeps a page with thousands of unclosed tags at
-    O(events) integers instead of O(events x depth).
+    O(events) integers instead of O(events x depth). With ``keep_unusable``
+    the other pages stay as rows with empty arrays, and ``status`` says why
+    (a page whose html element yields no event is 'no_html').
 
     Only element-wise and shifted-array expressions are used here: a lambda
     that indexes another computed array would be re-evaluated per element
@@ -85,8 +88,13 @@ def page_events(cleaned: DataFrame, opts: Options = Options(), full_paths: bool
                                            F.regexp_extract_all("html", F.lit(C.TOKEN_RE), 0)))
     extra = [c for c in cleaned.columns if c not in ("page_id", "url", "html", "visible_len", "status", "toks")]
     fold = fold_udf(None if full_paths else opts.max_steps)
-    ev = ok.select("page_id", "url", *extra, fold("toks").alias("ev"))
-    ev = ev.select("page_id", "url", *extra, "ev.*").filter(F.size("kind") > 0)
+    ev = ok.select("page_id", "url", *extra, *(["status"] if keep_unusable else []), fold("toks").alias("ev"))
+    if keep_unusable:
+        extra = [*extra, "status"]
+        ev = ev.withColumn("status", F.when((F.col("status") == "ok") & (F.size("ev.kind") == 0), "no_html").otherwise(F.col("status")))
+    ev = ev.select("page_id", "url", *extra, "ev.*")
+    if not keep_unusable:
+        ev = ev.filter(F.size("kind") > 0)
     run = F.transform("run", lambda x: X.strip_content(
         X.escape_text(F.replace(x, F.lit("\\"), F.lit(""))), opts.strip_latin1, opts.keep_whitespace))
     ev = ev.select("page_id", "url", *extra, "kind", "name", "synthetic", "tag",

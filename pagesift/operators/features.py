@@ -8,11 +8,22 @@ rows multiply only when the page row is exploded into its non-empty nodes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagesift import config as C
 from pagesift.config import Options
+from pagesift.functions.embed import kept_memo, share
+
+TERM_BYTES = 256  # longer terms are not broadcast
+MAX_CHARS = 100_000  # characters of a trained embedding
 
 
 def nonempty_nodes(page_rows: DataFrame, *keep: str, with_label: bool = False,
@@ -23,6 +34,8 @@ def nonempty_nodes(page_rows: DataFrame, *keep: str, with_label: bool = False,
     page's non-empty nodes), kind, name, raw, tag, class_name, anc_pos,
     content, depth, [label], step_pos / step_tag / step_class (path cut to ``max_steps``).
     """
+    if with_label:  # null without gold; zipping with a null array would lose the row
+        page_rows = page_rows.withColumn("label", F.coalesce("label", F.array().cast("array<int>")))
     lab = ", label" if with_label else ""
     lab_e = ", 'label', e.label" if with_label else ""
     steps = f"slice(concat(e.anc, array(e.ix)), 1, {max_steps})"
@@ -66,6 +79,30 @@ def node_features(nodes: DataFrame, opts: Options = Options()) -> DataFrame:
                         F.col("text_len").cast("bigint"), F.col("punct").cast("bigint"))
 
 
+def _sums(k, length, punct) -> list:
+    """Sums of k, k x and k x x for both features: whole numbers, so exact in any order of merging."""
+    out = []
+    for name, x in (("l", length), ("p", punct)):
+        kx = (k * x).cast("decimal(18,0)")
+        out += [F.sum(kx.cast("decimal(28,0)")).alias(f"s{name}"), F.sum(kx * x.cast("decimal(10,0)")).alias(f"s{name}2")]
+    return out
+
+
+def _params(agg: DataFrame) -> DataFrame:
+    """Mean and population std over n x t cells from exact sums. The deviations are taken from the
+    whole part q of the mean, still in whole numbers: sum k (x - q)^2 = s2 - 2 q s + q^2 cells, the
+    padding zeros among the cells. Nothing cancels, however far the values lie from zero."""
+    out = agg.withColumn("cells", F.expr("CAST(n AS DECIMAL(19,0)) * CAST(t AS DECIMAL(10,0))").cast("decimal(20,0)"))
+    cols = {}
+    for name, feature in (("l", "text_length"), ("p", "punctuation_nb")):
+        out = out.withColumn(f"q{name}", F.expr(f"s{name} div cells").cast("decimal(10,0)"))
+        rest = f"CAST(s{name} - q{name} * cells AS DOUBLE) / CAST(cells AS DOUBLE)"
+        square = f"CAST(s{name}2 - 2 * q{name} * s{name} + q{name} * q{name} * cells AS DOUBLE) / CAST(cells AS DOUBLE)"
+        cols[f"{feature}_mean"] = F.expr(f"CAST(q{name} AS DOUBLE) + {rest}")
+        cols[f"{feature}_std"] = F.expr(f"sqrt(greatest({square} - ({rest}) * ({rest}), 0.0D))")
+    return out.select(*[c.alias(k) for k, c in cols.items()], F.col("n").alias("n_nodes"), F.col("t").cast("int").alias("t_steps"))
+
+
 def norm_params(nodes: DataFrame, max_steps: int = C.MAX_STEPS) -> DataFrame:
     """A-05/A-06: mean and population std of text length and punctuation over
     all N x T cells of the padded tensor (padding zeros included).
@@ -74,19 +111,27 @@ def norm_params(nodes: DataFrame, max_steps: int = C.MAX_STEPS) -> DataFrame:
     Returns one row: text_length_mean, text_length_std, punctuation_nb_mean,
     punctuation_nb_std, n_nodes, t_steps.
     """
-    kept = F.least(F.col("depth"), F.lit(max_steps)).cast("double")
-    L, P = F.col("text_len").cast("double"), F.col("punct").cast("double")
-    agg = nodes.agg(F.count("*").alias("n"), F.max(F.least("depth", F.lit(max_steps))).alias("t"),
-                    F.sum(kept * L).alias("sl"), F.sum(kept * L * L).alias("sl2"),
-                    F.sum(kept * P).alias("sp"), F.sum(kept * P * P).alias("sp2"))
-    cells = F.col("n").cast("double") * F.col("t").cast("double")
-    ml, mp = F.col("sl") / cells, F.col("sp") / cells
-    return agg.select(
-        ml.alias("text_length_mean"),
-        F.sqrt(F.greatest(F.col("sl2") / cells - ml * ml, F.lit(0.0))).alias("text_length_std"),
-        mp.alias("punctuation_nb_mean"),
-        F.sqrt(F.greatest(F.col("sp2") / cells - mp * mp, F.lit(0.0))).alias("punctuation_nb_std"),
-        F.col("n").alias("n_nodes"), F.col("t").cast("int").alias("t_steps"))
+    kept = F.least(F.col("depth"), F.lit(max_steps)).cast("bigint")
+    return _params(nodes.agg(F.count("*").alias("n"), F.max(kept).alias("t"),
+                             *_sums(kept, F.col("text_len").cast("bigint"), F.col("punct").cast("bigint"))))
+
+
+def norm_params_rows(page_rows: DataFrame, opts: Options = Options()) -> DataFrame:
+    """``norm_params`` from page rows, without a row for each node: a page's part of every sum is
+    computed in its row."""
+    from pagesift.functions.text import punct_count
+    steps = F.expr(f"transform(filter(arrays_zip(depth, content), e -> e.content <> ''),"
+                   f" e -> named_struct('k', CAST(least(e.depth, {opts.max_steps}) AS BIGINT), 'content', e.content))")
+    cut = page_rows.select("text_len", "punct", steps.alias("steps"))
+    if opts.scope == "node":
+        one = cut.select(F.inline("steps"))
+        k, length, punct = F.col("k"), F.length("content").cast("bigint"), punct_count(F.col("content")).cast("bigint")
+        return _params(one.agg(F.count("*").alias("n"), F.max("k").alias("t"), *_sums(k, length, punct)))
+    whole = cut.select(F.size("steps").alias("m"), F.expr("aggregate(steps, 0L, (a, s) -> a + s.k)").alias("k"),
+                       F.expr("array_max(transform(steps, s -> s.k))").alias("t"), F.col("text_len").cast("bigint").alias("l"),
+                       F.col("punct").cast("bigint").alias("p"))
+    # as count(*) over nodes: 0 for an empty table
+    return _params(whole.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.max("t").alias("t"), *_sums(F.col("k"), F.col("l"), F.col("p"))))
 
 
 def zscore(x, mean, std):
@@ -94,24 +139,12 @@ def zscore(x, mean, std):
     return (x - mean) / F.when(std > 0, std).otherwise(F.lit(1.0))
 
 
-def used_terms(nodes: DataFrame) -> DataFrame:
-    """Distinct (kind, term) pairs on the nodes' path steps (map-side combined)."""
+def term_uses(nodes: DataFrame) -> DataFrame:
+    """(kind, term, uses) of the terms on the nodes' path steps (map-side combined)."""
     st = nodes.select(F.explode(F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c"))).alias("s"))
     both = st.select(F.explode(F.array(F.struct(F.lit("tag").alias("kind"), F.col("s.t").alias("term")),
                                        F.struct(F.lit("class").alias("kind"), F.col("s.c").alias("term")))).alias("k"))
-    return both.select("k.*").distinct()
-
-
-def vector_maps_kind(vectors: DataFrame, max_terms: int) -> DataFrame | None:
-    """One-row (tvec, cvec) maps from a (kind, term, vector) table, or None when
-    a kind has more than ``max_terms`` terms (the proven bound on the broadcast)."""
-    n = vectors.groupBy("kind").count().collect()  # at most two rows
-    if any(r["count"] > max_terms for r in n):
-        return None
-    ent = F.struct("term", "vector")
-    return vectors.agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "tag", ent))).alias("tvec"),
-        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "class", ent))).alias("cvec"))
+    return both.select("k.*").groupBy("kind", "term").agg(F.count("*").alias("uses"))
 
 
 def step_normalised(vectors: DataFrame) -> DataFrame:
@@ -125,88 +158,111 @@ def step_normalised(vectors: DataFrame) -> DataFrame:
     return vectors.select(*keys, mm.alias("vector"))
 
 
-def _flatten_steps(j: DataFrame, steps, keep, max_steps: int) -> DataFrame:
-    """x = per step (tag vector, class vector, z(text_len), z(punct)), then padding."""
-    d = C.EMBED_DIM
-    zero = F.array_repeat(F.lit(0.0), d)
-    zl = zscore(F.col("text_len").cast("double"), F.col("text_length_mean"), F.col("text_length_std"))
-    zp = zscore(F.col("punct").cast("double"), F.col("punctuation_nb_mean"), F.col("punctuation_nb_std"))
-    pad_l = zscore(F.lit(0.0), F.col("text_length_mean"), F.col("text_length_std"))
-    pad_p = zscore(F.lit(0.0), F.col("punctuation_nb_mean"), F.col("punctuation_nb_std"))
-    step = F.transform(steps, lambda s: F.concat(F.coalesce(s["tv"], zero), F.coalesce(s["cv"], zero),
-                                                 F.array(zl, zp)))
-    pad = F.concat(F.array_repeat(F.lit(0.0), 2 * d), F.array(pad_l, pad_p))
-    n_pad = F.lit(max_steps) - F.size(steps)
-    flat = F.concat(F.flatten(step), F.flatten(F.array_repeat(pad, n_pad)))
-    return j.select(*keep, flat.alias("x"))
-
-
-def step_normalised_sql(v: str) -> str:
-    """S-08 on one vector expression, evaluated once (bound by a one-element transform)."""
-    eps = C.MINMAX_EPS
-    return (f"transform(array({v}), x -> transform(x, y -> ((y + {eps!r}) - (array_min(x) + {eps!r}))"
-            f" / ((array_max(x) - array_min(x)) + {eps!r})))[0]")
+def embedded(terms: DataFrame, chars=None) -> DataFrame:
+    """``terms`` (kind, term, ...) with their step-normalised ``vector``, each embedded once by the very function
+    that embeds unseen terms in a task; ``chars`` as for ``share``, of a trained embedding."""
+    shared = share(terms.sparkSession, {}, chars)
+    names = terms.columns
 
+    def run(batches):
+        memo = kept_memo(shared, "vectors", lambda e: e.vector)
+        for b in batches:
+            kinds, words = (b.column(names.index(c)).to_pylist() for c in ("kind", "term"))
+            vectors = pa.array([memo(k, t).tolist() for k, t in zip(kinds, words)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, vectors], names=[*names, "vector"])
+    return terms.mapInArrow(run, T.StructType([*terms.schema, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
-def model_vectors(nodes: DataFrame, vmap: DataFrame, params: DataFrame,
-                  max_steps: int = C.MAX_STEPS, inline_misses: bool = False) -> DataFrame:
-    """E-02/E-03/E-10/S-14/S-15: the normalised 15 x 62 input of a node, flattened.
 
-    ``vmap`` is a one-row table with ``tvec`` / ``cvec`` maps term -> step-
-    normalised vector (size-checked by the caller, joined as a broadcast);
-    ``params`` the one row of ``norm_params``. Steps past the path are
-    padding: zero vectors and the z-score of zero, as in a zero-padded tensor.
-    With ``inline_misses`` a term absent from a map gets its sub-word vector
-    computed in place (E-05 formula, raw then step-normalised, i.e. the
-    out-of-vocabulary treatment), so the maps may hold just the fitted vocabulary.
+def trained_characters(chars: DataFrame | None) -> dict | None:
+    """The character table of a trained embedding (one row for each kind and character), ``MAX_CHARS`` at most."""
+    if chars is None:
+        return None
+    rows = chars.limit(MAX_CHARS + 1).collect()
+    if len(rows) > MAX_CHARS:
+        raise ValueError(f"more than {MAX_CHARS} trained characters")
+    return {(r["kind"], r["ch"]): np.array(r["vector"]) for r in rows}
+
+
+def embedding(spark: SparkSession, table: DataFrame | None, chars: dict | None = None, opts: Options = Options()):
+    """The broadcast of an ``embed.Embedding``: of ``table`` (kind, term, vector, uses) the terms used
+    most, ``vocab_broadcast_max_terms`` at most and none above ``TERM_BYTES``, which bounds the bytes
+    as well; all others are embedded where they occur."""
+    known = {}
+    if table is not None and opts.vocab_broadcast_max_terms:
+        top = (table.filter(F.octet_length("term") <= TERM_BYTES).orderBy(F.desc("uses"), "kind", "term")
+               .limit(opts.vocab_broadcast_max_terms))
+        known = {(r["kind"], r["term"]): np.array(r["vector"]) for r in top.collect()}
+    return share(spark, known, chars)
+
+
+def normalisation(params: DataFrame) -> tuple[float, float, float, float]:
+    """The four numbers of the one-row parameter table; a zero std counts as one (S-10's guard)."""
+    r = params.first()
+    guard = lambda s: s if s and s > 0 else 1.0
+    return (r["text_length_mean"] or 0.0, guard(r["text_length_std"]), r["punctuation_nb_mean"] or 0.0, guard(r["punctuation_nb_std"]))
+
+
+def path_vectors(nodes: DataFrame, shared, params: DataFrame, max_steps: int = C.MAX_STEPS) -> DataFrame:
+    """E-02/E-03/E-10/S-14/S-15: the normalised 15 x 62 input ``x`` of every node, flattened.
+
+    ``shared`` is ``embedding``'s broadcast, ``params`` the one row of
+    ``norm_params``. Narrow: a batch's distinct terms are embedded once and
+    its steps gathered from them. Steps past the path are padding: zero
+    vectors and the z-score of zero, as in a zero-padded tensor. The step
+    columns are replaced by ``x``.
     """
-    j = nodes.crossJoin(F.broadcast(vmap)).crossJoin(F.broadcast(params))
-    if inline_misses:
-        from pagesift.operators.vocab import hash_vector_sql
-        miss = lambda t: step_normalised_sql(hash_vector_sql(t))
-        steps = F.expr(
-            "transform(arrays_zip(step_tag, step_class), s -> named_struct("
-            f"'tv', coalesce(element_at(tvec, s.step_tag), {miss('s.step_tag')}),"
-            f"'cv', coalesce(element_at(cvec, s.step_class), {miss('s.step_class')})))")
-    else:
-        steps = F.transform(
-            F.arrays_zip(F.col("step_tag").alias("t"), F.col("step_class").alias("c")),
-            lambda s: F.struct(F.element_at(F.col("tvec"), s["t"]).alias("tv"),
-                               F.element_at(F.col("cvec"), s["c"]).alias("cv")))
-    keep = [c for c in nodes.columns if c not in ("step_tag", "step_class", "step_pos")]
-    return _flatten_steps(j, steps, keep, max_steps)
-
-
-def model_vectors_join(nodes: DataFrame, tag_vectors: DataFrame, class_vectors: DataFrame,
-                       params: DataFrame, max_steps: int = C.MAX_STEPS) -> DataFrame:
-    """Same result as ``model_vectors`` without broadcasting the vocabularies:
-    steps are exploded, joined to the vectors by term (shuffle joins), and
-    regrouped per node (a group is one node's <= 15 steps)."""
-    st = nodes.select("page_id", "pos", F.posexplode(F.arrays_zip(
-        F.col("step_tag").alias("t"), F.col("step_class").alias("c"))).alias("k", "s"))
-    st = st.select("page_id", "pos", "k", F.col("s.t").alias("t"), F.col("s.c").alias("c"))
-    st = st.join(tag_vectors.select(F.col("term").alias("t"), F.col("vector").alias("tv")), "t", "left") \
-           .join(class_vectors.select(F.col("term").alias("c"), F.col("vector").alias("cv")), "c", "left")
-    g = st.groupBy("page_id", "pos").agg(
-        F.array_sort(F.collect_list(F.struct("k", "tv", "cv"))).alias("steps"))
-    j = nodes.join(g, ["page_id", "pos"]).crossJoin(F.broadcast(params))
+    ml, sl, mp, sp = normalisation(params)
     keep = [c for c in nodes.columns if c not in ("step_tag", "step_class", "step_pos")]
-    return _flatten_steps(j, F.col("steps"), keep, max_steps)
-
-
-def vectors_from_table(nodes: DataFrame, table: DataFrame, params: DataFrame, opts: Options = Options(),
-                       inline_misses: bool = False, allow_join: bool = True) -> DataFrame | None:
-    """Model vectors of ``nodes`` from a (kind, term, step-normalised vector) table.
-
-    Under the broadcast bound the table becomes one-row maps (count-checked)
-    and vectors are a narrow projection; above it, steps are joined to the
-    table by term (``allow_join``), or None is returned for the caller to
-    choose another way."""
-    vmap = vector_maps_kind(table, opts.vocab_broadcast_max_terms)
-    if vmap is not None:
-        return model_vectors(nodes, vmap, params, opts.max_steps, inline_misses=inline_misses)
-    if not allow_join:
-        return None
-    tv = table.filter(F.col("kind") == "tag").drop("kind")
-    cv = table.filter(F.col("kind") == "class").drop("kind")
-    return model_vectors_join(nodes, tv, cv, params, opts.max_steps)
+    d, width = C.EMBED_DIM, C.STEP_WIDTH
+
+    def run(batches):
+        memo = kept_memo(shared, "vectors", lambda e: e.vector)
+        for b in batches:
+            n = b.num_rows
+            x = np.zeros((n, max_steps, width))
+            x[:, :, 2 * d], x[:, :, 2 * d + 1] = -ml / sl, -mp / sp
+            for at, kind, name in ((0, "tag", "step_tag"), (d, "class", "step_class")):
+                steps = b.column(b.schema.get_field_index(name))
+                lens = pc.list_value_length(steps).to_numpy(zero_copy_only=False).astype(np.int64)
+                codes = pc.list_flatten(steps).dictionary_encode()
+                if not len(codes):
+                    continue
+                table = np.array([memo(kind, t) for t in codes.dictionary.to_pylist()])
+                row = np.repeat(np.arange(n), lens)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+                x[row, step, at:at + d] = table[codes.indices.to_numpy()]
+                if at == 0:
+                    for col, m, s, slot in (("text_len", ml, sl, 2 * d), ("punct", mp, sp, 2 * d + 1)):
+                        z = (b.column(b.schema.get_field_index(col)).to_numpy(zero_copy_only=False).astype(float) - m) / s
+                        x[row, step, slot] = z[row]
+            flat = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (max_steps * width), x.reshape(-1))
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], flat], names=[*keep, "x"])
+    schema = T.StructType([*[nodes.schema[c] for c in keep], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return nodes.mapInArrow(run, schema)
+
+
+def path_sums(shared, weights: np.ndarray):
+    """A UDF ``(tag, class_name, parent, depth) -> array<double>``: for each event of a page row the
+    weighted tag and class values along its kept path.
+
+    ``weights`` (steps x 62) are a linear model's. A term's 30 values at step k
+    then count as one number, so a term is a row of ``steps`` numbers, and an
+    event's sum is its parent's plus its own number at its depth: one addition
+    for each event, no vector.
+    """
+    d, steps = C.EMBED_DIM, len(weights)
+    parts = {"tag": np.ascontiguousarray(weights[:, :d]), "class": np.ascontiguousarray(weights[:, d:2 * d])}
+    use = "sums" + hashlib.md5(weights.tobytes()).hexdigest()
+
+    def run(tag: pd.Series, class_name: pd.Series, parent: pd.Series, depth: pd.Series) -> pd.Series:
+        memo = kept_memo(shared, use, lambda e: lambda kind, term: (parts[kind] @ e.vector(kind, term)).tolist())
+        out = []
+        for tags, classes, parents, depths in zip(tag, class_name, parent, depth):
+            sums = []
+            for t, c, p, k in zip(tags, classes, parents, depths):
+                s = 0.0 if p is None or p != p else sums[int(p)]
+                sums.append(s + memo("tag", t)[k - 1] + memo("class", c)[k - 1] if k <= steps else s)
+            out.append(sums)
+        return pd.Series(out)
+    # not deterministic for the optimiser, as the fold: evaluated once for each page
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType())).asNondeterministic()

@@ -36,8 +36,8 @@ def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"
     """
     k = opts.n_folds
     if opts.fold_group:
-        h = F.conv(F.substring(fold_hash(opts.seed, opts.fold_group), 1, 7), 16, 10).cast("bigint")
-        return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
+        df = materialize(df, "grouped")  # read for the groups' counts and again for the folds
+        return df.join(group_folds(df, label, opts).select(opts.fold_group, "fold"), opts.fold_group)
     spark = df.sparkSession
     n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     h = fold_hash(opts.seed, *keys)
@@ -55,6 +55,36 @@ def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"
     return out.withColumn("fold", F.pmod(rank, F.lit(k)).cast("int")).drop("_h", "_b", "_m", "_m0", "_off")
 
 
+def group_folds(df: DataFrame, label: str = "label", opts: Options = Options()) -> DataFrame:
+    """Whole groups (pages) dealt to folds by their label counts: (group, n_pos, n_rows, fold).
+
+    The groups stand by (positive rows, rows, hash) and every ``n_folds``
+    consecutive ones go to different folds, in an order that turns by one from
+    block to block. So the folds' positive rows differ by at most the largest
+    group's, for within a block they differ by at most the block's range and the
+    ranges add up to no more; their rows differ by at most the sum, over the
+    distinct numbers of positive rows, of the range among groups with this number,
+    plus one largest group for each of these numbers.
+
+    The rank needs no task with all groups: they are range partitioned, and a
+    group's rank is its place in its partition plus the sizes of the earlier ones.
+    """
+    k, by = opts.n_folds, opts.fold_group or "page_id"
+    order = ["n_pos", "n_rows", "_h", by]
+    per = df.groupBy(by).agg(F.sum(F.col(label).cast("bigint")).alias("n_pos"), F.count("*").alias("n_rows"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = (per.withColumn("_h", fold_hash(opts.seed, by)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+         .withColumn("_m", F.monotonically_increasing_id()))
+    s = materialize(s.withColumn("_p", F.shiftright("_m", 33)), "group-ranks")
+    sizes = s.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))  # a row for each partition
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_p", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    rank = F.col("_off") + F.col("_m") - F.col("_m0")
+    turned = rank + F.floor(rank / k).cast("bigint")
+    return (s.join(F.broadcast(sizes), "_p").withColumn("fold", F.pmod(turned, F.lit(k)).cast("int"))
+            .select(by, "n_pos", "n_rows", "fold"))
+
+
 def pos_weight_expr(pos, neg, how: str = "share"):
     """T-03: weight of the positive class; 'share' = neg/(pos+neg) as the reference, 'ratio' = neg/pos."""
     if how == "ratio":

@@ -9,11 +9,18 @@ be passed in; an external sequence scorer plugs in through
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import importlib
+
+from pyspark import cloudpickle
+from pyspark.ml import Transformer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
+from pagesift import config as C
 from pagesift.config import Options
 from pagesift.operators import folds as FO
 from pagesift.operators import metrics as M
@@ -30,11 +37,17 @@ def with_features(vectors: DataFrame) -> DataFrame:
 
 def fit(train: DataFrame, opts: Options = Options(), classifier=None):
     """T-01/T-03: fit on rows with ``features`` and ``label``; returns (model, pos_weight)."""
+    if isinstance(classifier, ExternalModel):
+        return classifier.fit(train), 1.0
     c = train.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     pos, neg = int(c["p"] or 0), int(c["n"] - (c["p"] or 0))
     den = pos if opts.pos_weight == "ratio" else pos + neg
     pw_val = (neg / den) if den else 1.0
     clf = classifier or default_classifier(opts)
+    if opts.max_train_rows and c["n"] > opts.max_train_rows:
+        # the same rows each time: those with the smallest hash
+        share = opts.max_train_rows / c["n"]
+        train = train.filter(F.conv(F.substring(FO.fold_hash(opts.seed + 2, "page_id", "pos"), 1, 7), 16, 10).cast("double") < share * 0x10000000)
     model = clf.fit(train.withColumn("w", FO.weight_col(F.col("label"), F.lit(pw_val))))
     return model, pw_val
 
@@ -48,28 +61,28 @@ def score(model, rows: DataFrame, pos_weight: float = 1.0) -> DataFrame:
                .drop("rawPrediction", "probability", "prediction", "features"))
 
 
-def cross_validate(folded: DataFrame, opts: Options = Options(), classifier=None) -> DataFrame:
-    """T-02/T-04/A-13: per fold (train_loss, val_loss, f1), the final model is not kept.
+def fold_predictions(folded: DataFrame, opts: Options = Options(), classifier=None) -> DataFrame:
+    """T-02: every row as each fold's model sees it: (page_id, pos, label, own_fold, fold, held_out, prob, pred,
+    pos_weight), ``fold`` being the fold that the model was not fitted on.
 
-    ``folded`` must hold ``features``, ``label``, ``fold``; it should be
-    persisted by the caller since every fold reads it several times.
+    The loop is over the folds' fits; nothing of the rows comes to the driver.
+    ``folded`` (``features``, ``label``, ``fold``) should be persisted by the
+    caller since every fit reads it several times.
     """
-    spark = folded.sparkSession
-    rows = []
+    out = None
     for k in range(opts.n_folds):
-        train = folded.filter(F.col("fold") != k)
-        val = folded.filter(F.col("fold") == k)
-        model, pw = fit(train, opts, classifier)
-        tr = score(model, train, pw).agg(M.bce_expr(F.col("label"), F.col("prob"), F.col("w")).alias("l")).first()
-        va = score(model, val, pw).agg(M.bce_expr(F.col("label"), F.col("prob"), F.col("w")).alias("l"),
-                                       M.f1_expr(F.col("label"), F.col("pred")).alias("f1"),
-                                       F.count("*").alias("n")).first()
-        rows.append((k, float(tr["l"]), float(va["l"]), float(va["f1"]), int(va["n"]), float(pw)))
-    # A-13 overall row (fold NULL): means over the folds
-    m = len(rows)
-    rows.append((None, sum(r[1] for r in rows) / m, sum(r[2] for r in rows) / m, sum(r[3] for r in rows) / m,
-                 sum(r[4] for r in rows), sum(r[5] for r in rows) / m))
-    return spark.createDataFrame(rows, "fold int, train_loss double, val_loss double, f1 double, n_val long, pos_weight double")
+        model, pw = fit(folded.filter(F.col("fold") != k), opts, classifier)
+        part = score(model, folded.withColumnRenamed("fold", "own_fold"), pw).select(
+            "page_id", "pos", "label", "own_fold", F.lit(k).alias("fold"), (F.col("own_fold") == k).alias("held_out"),
+            "prob", "pred", F.lit(float(pw)).alias("pos_weight"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cross_validate(folded: DataFrame, opts: Options = Options(), classifier=None) -> DataFrame:
+    """T-02/T-04/A-13: per fold (train_loss, val_loss, f1), the models are not kept; the row with a null fold holds
+    the means (``metrics.fold_report`` over ``fold_predictions``)."""
+    return M.fold_report(fold_predictions(folded, opts, classifier))
 
 
 def tune(folded: DataFrame, grid=None, opts: Options = Options(), classifier=None):
@@ -88,20 +101,77 @@ def tune(folded: DataFrame, grid=None, opts: Options = Options(), classifier=Non
     return cv.fit(folded)
 
 
+def linear_weights(model, opts: Options = Options()):
+    """(intercept, steps x 62 weights) of a binary logistic regression over the path features alone, else None."""
+    if not isinstance(model, LogisticRegressionModel) or model.numFeatures != opts.max_steps * C.STEP_WIDTH:
+        return None
+    if model.getThreshold() != 0.5:
+        return None
+    return float(model.intercept), model.coefficients.toArray().reshape(opts.max_steps, C.STEP_WIDTH)
+
+
 def save_model(model, path: str) -> None:
     """IO-10."""
     model.write().overwrite().save(path)
 
 
-def load_model(path: str):
-    from pyspark.ml.classification import LogisticRegressionModel
-    return LogisticRegressionModel.load(path)
+def load_model(path: str, model_class: str | None = None):
+    """A model saved by ``save_model``; ``model_class`` is its class's full name (a logistic regression if not given)."""
+    if model_class is None:
+        return LogisticRegressionModel.load(path)
+    module, _, name = model_class.rpartition(".")
+    return getattr(importlib.import_module(module), name).load(path)
 
 
-def external_scorer(make_predict_fn, batch_size: int = 64):
+def external_scorer(make_predict_fn, batch_size: int = 64, steps: int = C.MAX_STEPS):
     """U-02: wrap any ``f(float[B, 15, 62]) -> logit[B]`` as a batched UDF over ``x``."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import FloatType
-    from pagesift import config as C
     return predict_batch_udf(make_predict_fn, return_type=FloatType(), batch_size=batch_size,
-                             input_tensor_shapes=[[C.MAX_STEPS, C.STEP_WIDTH]])
+                             input_tensor_shapes=[[steps, C.STEP_WIDTH]])
+
+
+class ExternalModel(Transformer, MLWritable, MLReadable):
+    """U-02: a model trained elsewhere, as a Spark ML transformer that can be saved and loaded.
+
+    ``make_predict_fn()`` runs once in a worker and returns ``f(float[B, steps, 62]) -> logit[B]``;
+    ``transform`` adds ``probability`` as a Spark ML classifier does. ``fit`` returns
+    the model itself, so it can stand where a classifier is asked for
+    (``BodyExtractor(classifier=ExternalModel(...))``): vocabularies and normalisation are
+    then fitted to the pages, the model is not. The saved form is a parquet table with the
+    pickled function; load only what you trust.
+    """
+
+    def __init__(self, make_predict_fn, batch_size: int = 64, steps: int = C.MAX_STEPS):
+        super().__init__()
+        self.make_predict_fn, self.batch_size, self.steps = make_predict_fn, batch_size, steps
+
+    def fit(self, dataset) -> "ExternalModel":
+        return self
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        logit = external_scorer(self.make_predict_fn, self.batch_size, self.steps)(vector_to_array("features")).cast("double")
+        scored = dataset.withColumn("_logit", logit)
+        p = 1 / (1 + F.exp(-F.col("_logit")))
+        return scored.withColumn("probability", array_to_vector(F.array(1 - p, p))).drop("_logit")
+
+    def write(self) -> MLWriter:
+        return _ExternalWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ExternalReader()
+
+
+class _ExternalWriter(MLWriter):
+    def __init__(self, model: ExternalModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        row = (cloudpickle.dumps(self.model.make_predict_fn), self.model.batch_size, self.model.steps)
+        self.sparkSession.createDataFrame([row], "make_predict_fn binary, batch_size int, steps int").write.parquet(path)
+
+
+class _ExternalReader(MLReader):
+    def load(self, path: str) -> ExternalModel:
+        r = self.sparkSession.read.parquet(path).first()
+        return ExternalModel(cloudpickle.loads(bytes(r["make_predict_fn"])), r["batch_size"], r["steps"])

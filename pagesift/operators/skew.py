@@ -24,7 +24,8 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, row_
     """``big ⋈ small`` on ``key``; rows of hot keys are spread over ``buckets`` tasks."""
     hb = F.broadcast(hot)
     b = big.join(hb, key, "left")
-    b = b.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(row_id)), F.lit(buckets)))
+    # null keys meet nothing; in an outer join they would otherwise all go to one task
+    b = b.withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(F.col(row_id)), F.lit(buckets)))
                      .otherwise(F.lit(0)).cast("int")).drop("_hot")
     s = small.join(hb, key, "left")
     s = s.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))

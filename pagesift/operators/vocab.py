@@ -68,18 +68,6 @@ def ngram_rows(terms: DataFrame, keys=("term",)) -> DataFrame:
     return terms.select(*keys, w.alias("w")).select(*keys, F.explode_outer(grams).alias("ngram"))
 
 
-def hash_vector_sql(term: str) -> str:
-    """E-05 for one term as a SQL expression (same formula as ``hash_vectors``),
-    used inline for terms a broadcast vocabulary does not hold."""
-    w = f"concat('<', {term}, '>')"
-    grams = (f"flatten(transform(sequence({C.NGRAM_MIN}, {C.NGRAM_MAX}), n -> CASE WHEN length({w}) >= n "
-             f"THEN transform(sequence(1, length({w}) - n + 1), i -> substring({w}, i, n)) ELSE array() END))")
-    u = (f"CAST(conv(substring(md5(concat_ws('#', g, CAST(d AS STRING))), 1, 7), 16, 10) AS DOUBLE)"
-         f" / {float(0xFFFFFFF)!r} * {2.0 / C.EMBED_DIM!r} - {1.0 / C.EMBED_DIM!r}")
-    return (f"transform(array({grams}), gs -> transform(sequence(0, {C.EMBED_DIM - 1}), d -> "
-            f"CASE WHEN size(gs) = 0 THEN 0.0 ELSE aggregate(gs, 0.0D, (acc, g) -> acc + {u}) / size(gs) END))[0]")
-
-
 def hash_vectors(terms: DataFrame, keys=("term",)) -> DataFrame:
     """E-05 long form: (keys..., dim, value); a term without n-grams is the zero vector.
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.config import Options
+from pagesift.operators import bodies as B
 from pagesift.operators import features as FE
 from pagesift.operators import folds as FO
 from pagesift.operators import model as MD
@@ -28,61 +29,90 @@ OPTS = Options()
 def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS) -> tuple[DataFrame, DataFrame]:
     """Model vectors of ``nodes`` (needs step_tag/step_class) and the norm parameters.
 
-    Three jobs: the (kind, term, vector) table of the used terms is written
-    once, its size per kind is counted, and the one-row maps are built; the
-    vectors themselves are a narrow projection over the nodes.
+    The used terms, embedded once, are written with their uses; those used most
+    are broadcast, and the vectors are a narrow projection over the nodes.
     """
-    voc = V.vocab_terms(pages)
-    chars = materialize(V.w2v_char_vectors(materialize(voc, "vocab"), opts.seed), "char-vectors") \
-        if opts.embedding == "w2v" else None
-    vt = materialize(FE.step_normalised(V.kind_term_vectors(FE.used_terms(nodes), voc, chars)), "term-vectors")
-    params = FE.norm_params(nodes, opts.max_steps)
-    return FE.vectors_from_table(nodes, vt, params, opts), params
+    chars = None
+    if opts.embedding == "w2v":
+        chars = FE.trained_characters(V.w2v_char_vectors(materialize(V.vocab_terms(pages), "vocab"), opts.seed))
+    table = materialize(FE.embedded(FE.term_uses(nodes), chars), "term-vectors")
+    params = materialize(FE.norm_params(nodes, opts.max_steps), "params")
+    return FE.path_vectors(nodes, FE.embedding(nodes.sparkSession, table, chars, opts), params, opts.max_steps), params
 
 
 def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataFrame:
-    """E-08: labelled non-empty nodes with folds and ``features`` (read once per fold and pass)."""
+    """E-08: labelled non-empty nodes with folds and ``features`` (read once per fold and pass); the caller
+    unpersists it."""
     ensure_checkpoint_dir(spark)
     from pyspark import StorageLevel
     nodes = FE.apply_scope(Q.labelled_nodes(spark, sf), opts)
     folded = spread(FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts))  # written once inside
     vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
-    # narrow over parquet + broadcast maps: cached for the passes of the fits,
+    # narrow over parquet: cached for the passes of the fits,
     # recomputed from the written tables if an executor is lost
     return MD.with_features(vec).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _cross_validated(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
+    matrix = training_matrix(spark, sf, opts)
+    report = materialize(MD.cross_validate(matrix, opts), "cv")
+    matrix.unpersist()
+    return report
+
+
 def cv_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """T-02/A-13: 4-fold cross-validation report."""
-    return MD.cross_validate(training_matrix(spark, sf))
+    return _cross_validated(spark, sf, OPTS)
+
+
+def cv_metrics_grouped(spark: SparkSession, sf: str) -> DataFrame:
+    """T-02/A-13 with whole pages in a fold, dealt by their label counts; beside ``cv_metrics`` it shows how
+    much of that score comes from nodes of one page on both sides."""
+    return _cross_validated(spark, sf, Options(fold_group="page_id"))
 
 
-def _fitted(pages: DataFrame, docs: DataFrame):
-    """``BodyExtractor`` fitted on the pages with gold."""
+def _fitted(spark: SparkSession, sf: str):
+    """``BodyExtractor`` fitted on the pages with gold, and all usable page rows (label null without gold): the
+    pages are cleaned and folded once, for the fit and for what is scored."""
     from pagesift.plans.extractor import BodyExtractor
-    return BodyExtractor().fit(pages, docs)
+    pages, ex = Q._pages(spark, sf), BodyExtractor()
+    rows = materialize(ex.labelled_rows(pages, Q._docs(spark, sf), how="left"), "labelled-rows")
+    return ex.fit_rows(rows.filter(F.col("label").isNotNull()), pages), rows
 
 
 def scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """T-06 + S-13: every non-empty node of every usable page with probability, model decision and
     final decision (fit on all labelled nodes); label and fold are null on pages without gold."""
-    pages, docs = Q._pages(spark, sf), Q._docs(spark, sf)
-    scored = _fitted(pages, docs).score_nodes(pages)
-    folds = Q.folded_nodes(spark, sf).select("page_id", "pos", "label", "fold")
-    return scored.join(folds, ["page_id", "pos"], "left").select(
+    ex, rows = _fitted(spark, sf)
+    scored = ex.score_rows(rows, "label")
+    folded = FO.stratified_folds(scored.filter(F.col("label").isNotNull()), "label", ("page_id", "pos"), OPTS)
+    rest = scored.filter(F.col("label").isNull()).withColumn("fold", F.lit(None).cast("int"))
+    return folded.unionByName(rest).select(
         "page_id", "pos", "label", "fold", F.round("prob", 6).alias("prob"), "pred", "accept", "content")
 
 
-def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """T-07/T-08: the main body text of every usable page (fit on all labelled nodes, then score)."""
-    return extracted_bodies(spark, sf)
+def out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """T-06: every labelled node with the probability and decisions of the model that has not seen its page."""
+    opts = Options(fold_group="page_id")
+    matrix = training_matrix(spark, sf, opts)
+    seen = MD.fold_predictions(matrix, opts).filter("held_out").join(matrix.select("page_id", "pos", "content"), ["page_id", "pos"])
+    out = materialize(B.apply_rules(seen).select("page_id", "pos", "label", "fold", F.round("prob", 6).alias("prob"), "pred", "accept", "content"), "oof")
+    matrix.unpersist()
+    return out
 
 
 def extracted_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """T-07 production path: ``BodyExtractor.fit`` on pages with gold, then the
-    one-pass ``transform`` of the pages (fitted maps, unseen terms in place)."""
-    pages, docs = Q._pages(spark, sf), Q._docs(spark, sf)
-    return _fitted(pages, docs).transform(pages)
+    """T-07/T-08: the main body of every usable page: fitted on the pages with gold, then one pass over the
+    page rows, which ends in the body without a shuffle."""
+    ex, rows = _fitted(spark, sf)
+    return ex.bodies_of_rows(rows)
+
+
+def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """T-07 out of fold: the body of every usable page from a model that has not seen it, i.e. for a page with
+    gold that of its fold, for any other the one fitted on all pages with gold."""
+    ex, rows = _fitted(spark, sf)
+    return B.assemble(out_of_fold(spark, sf)).unionByName(ex.bodies_of_rows(rows.filter(F.col("label").isNull())))
 
 
 def w2v_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +124,9 @@ def w2v_vectors(spark: SparkSession, sf: str) -> DataFrame:
 ROWS_ONLY = {
     "w2v_vectors": w2v_vectors,
     "cv_metrics": cv_metrics,
+    "cv_metrics_grouped": cv_metrics_grouped,
     "scored_nodes": scored_nodes,
+    "out_of_fold": out_of_fold,
     "page_bodies": page_bodies,
     "extracted_bodies": extracted_bodies,
 }

@@ -216,7 +216,7 @@ def q_vocab_misses(spark, sf):
 
 
 def q_norm_params(spark, sf):
-    p = FE.norm_params(_nonempty(spark, sf), OPTS.max_steps)
+    p = FE.norm_params_rows(_events(spark, sf), OPTS)
     return p.select(*[r6(F.col(c)).alias(c) for c in ("text_length_mean", "text_length_std",
                                                        "punctuation_nb_mean", "punctuation_nb_std")],
                     big(F.col("n_nodes")).alias("n_nodes"), big(F.col("t_steps")).alias("t_steps"))
