@@ -101,7 +101,7 @@ def page_events(cleaned: DataFrame, opts: Options = Options(), full_paths: bool
                    F.col("cls").alias("class_name"), "anc", "parent", "depth", "raw", run.alias("r"))
     # C-04: a start owns the text after it plus text left by a preceding end;
     # an end owns only the text left by the preceding end.
-    prev = lambda c, pad: F.concat(F.array(F.lit(pad)), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))))
+    prev = lambda c, pad: F.slice(F.concat(F.array(F.lit(pad)), c), F.lit(1), F.size(c))
     ev = ev.withColumn("pk", prev(F.col("kind"), "")).withColumn("pr", prev(F.col("r"), ""))
     content = F.expr("transform(arrays_zip(kind, pk, pr, r), e -> concat("
                      "CASE WHEN e.pk = 'end' THEN e.pr ELSE '' END,"

@@ -58,19 +58,19 @@ def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"
 def group_folds(df: DataFrame, label: str = "label", opts: Options = Options()) -> DataFrame:
     """Whole groups (pages) dealt to folds by their label counts: (group, n_pos, n_rows, fold).
 
-    The groups stand by (positive rows, rows, hash) and every ``n_folds``
+    The groups stand by positive rows, those with the same number by rows, rising
+    for even numbers and falling for odd ones, and every ``n_folds``
     consecutive ones go to different folds, in an order that turns by one from
-    block to block. So the folds' positive rows differ by at most the largest
-    group's, for within a block they differ by at most the block's range and the
-    ranges add up to no more; their rows differ by at most the sum, over the
-    distinct numbers of positive rows, of the range among groups with this number,
-    plus one largest group for each of these numbers.
+    block to block. Two folds differ within a block by its range at most, and the
+    blocks' ranges add up to no more than the whole way along the order: so their
+    positive rows differ by at most the largest group's, and their rows by at
+    most the sum of the steps in rows from each group to the next.
 
     The rank needs no task with all groups: they are range partitioned, and a
     group's rank is its place in its partition plus the sizes of the earlier ones.
     """
     k, by = opts.n_folds, opts.fold_group or "page_id"
-    order = ["n_pos", "n_rows", "_h", by]
+    order = [F.col("n_pos"), F.when(F.col("n_pos") % 2 == 0, F.col("n_rows")).otherwise(-F.col("n_rows")), F.col("_h"), F.col(by)]
     per = df.groupBy(by).agg(F.sum(F.col(label).cast("bigint")).alias("n_pos"), F.count("*").alias("n_rows"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = (per.withColumn("_h", fold_hash(opts.seed, by)).repartitionByRange(parts, *order).sortWithinPartitions(*order)

@@ -389,6 +389,74 @@ SELECTS = {
         '<[^>]+>', '', 'g') AS body FROM nd WHERE content <> '' GROUP BY page_id""",
 }
 
+# -- model vectors ---------------------------------------------------------------
+# every kept step of a node's path with its terms, and the terms' vectors
+STEPS = f""",
+ne AS {NE},
+st AS (SELECT e.page_id, e.pos, s.k - 1 AS k, a.tag, a.class_name
+       FROM (SELECT page_id, pos, list_append(anc_pos, pos)[:{C.MAX_STEPS}] AS p FROM ne) e, range(1, len(e.p) + 1) s(k)
+       JOIN nd a ON a.page_id = e.page_id AND a.pos = e.p[s.k]),
+used AS (SELECT DISTINCT 'tag' AS kind, tag AS term FROM st UNION ALL SELECT DISTINCT 'class', class_name FROM st),
+ug AS (SELECT kind, term, substring(w, i, n) AS ngram FROM (SELECT kind, term, '<' || term || '>' AS w FROM used) v,
+              range({C.NGRAM_MIN}, {C.NGRAM_MAX + 1}) r(n), range(1, length(v.w) - r.n + 2) q(i) WHERE length(v.w) >= r.n),
+uv AS (SELECT u.kind, u.term, d AS dim,
+              coalesce(avg(CAST(('0x' || substr(md5(ngram || '#' || CAST(d AS VARCHAR)), 1, 7)) AS BIGINT) / {float(0xFFFFFFF)!r}
+                           * (2.0 / {C.EMBED_DIM}) - (1.0 / {C.EMBED_DIM})), 0) AS value
+       FROM used u CROSS JOIN range(0, {C.EMBED_DIM}) t(d) LEFT JOIN ug g ON g.kind = u.kind AND g.term = u.term GROUP BY u.kind, u.term, d),
+sv AS (SELECT kind, term, dim, value, min(value) OVER w AS lo, max(value) OVER w AS hi FROM uv WINDOW w AS (PARTITION BY kind, term)),
+-- a term's part of the product with the fixed weights ((62 k + place) * 7 mod 11 - 5) / 10 at step k
+dots AS (SELECT kind, term, k, sum(coalesce((value - lo) / NULLIF(hi - lo, 0), 0)
+                                   * ((({C.STEP_WIDTH} * k + dim + CASE kind WHEN 'tag' THEN 0 ELSE {C.EMBED_DIM} END) * 7 % 11 - 5) / 10.0)) AS dot
+         FROM sv, range(0, {C.MAX_STEPS}) s(k) GROUP BY kind, term, k),
+xs AS (SELECT st.page_id, st.pos, sum(t.dot) AS tags, sum(c.dot) AS classes FROM st
+       JOIN dots t ON t.kind = 'tag' AND t.term = st.tag AND t.k = st.k
+       JOIN dots c ON c.kind = 'class' AND c.term = st.class_name AND c.k = st.k GROUP BY st.page_id, st.pos),
+zs AS (SELECT e.page_id, e.pos, e.content,
+              sum((CASE WHEN k < e.kept THEN f.text_len ELSE 0 END - p.ml) / CASE WHEN p.sdl > 0 THEN p.sdl ELSE 1 END
+                  * ((({C.STEP_WIDTH} * k + {2 * C.EMBED_DIM}) * 7 % 11 - 5) / 10.0)
+                + (CASE WHEN k < e.kept THEN f.punct ELSE 0 END - p.mp) / CASE WHEN p.sdp > 0 THEN p.sdp ELSE 1 END
+                  * ((({C.STEP_WIDTH} * k + {2 * C.EMBED_DIM + 1}) * 7 % 11 - 5) / 10.0)) AS numbers
+       FROM ne e JOIN pf f USING (page_id), {PARAMS} p, range(0, {C.MAX_STEPS}) s(k) GROUP BY ALL)
+"""
+MODEL_SELECTS = {
+    "term_vectors": """SELECT kind, term, CAST(dim AS BIGINT) AS dim, round(CASE WHEN EXISTS (SELECT 1 FROM voc WHERE voc.kind = sv.kind AND voc.term = sv.term)
+        THEN coalesce((value - lo) / NULLIF(hi - lo, 0), 0) ELSE value END, 6) AS value FROM sv""",
+    "path_vectors": """SELECT page_id, CAST(pos AS BIGINT) AS pos, round(tags, 6) AS tags, round(classes, 6) AS classes, round(numbers, 6) AS numbers
+        FROM xs JOIN zs USING (page_id, pos)""",
+    "path_scores": f"""SELECT page_id, CAST(pos AS BIGINT) AS pos, round(prob, 6) AS prob, CAST(pred AS BIGINT) AS pred, CAST({rule('pred')} AS BIGINT) AS accept
+        FROM (SELECT *, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred
+              FROM (SELECT page_id, pos, content, 1 / (1 + exp(-(0.25 + tags + classes + numbers))) AS prob FROM xs JOIN zs USING (page_id, pos)))""",
+}
+
+SELECTS |= {
+    "fold_report": f"""SELECT fold, round(avg(tl), 6) AS train_loss, round(avg(vl), 6) AS val_loss, round(avg(f1), 6) AS f1,
+            round(avg(pos_weight), 6) AS pos_weight, CAST(sum(n) AS BIGINT) AS n_val
+        FROM (SELECT w.fold, w.pos_weight, avg(l) FILTER (f.fold <> w.fold) AS tl, avg(l) FILTER (f.fold = w.fold) AS vl, count(*) FILTER (f.fold = w.fold) AS n,
+                     coalesce(2.0 * count(*) FILTER (f.fold = w.fold AND label = 1 AND p > 0.5)
+                              / NULLIF(count(*) FILTER (f.fold = w.fold AND label = 1) + count(*) FILTER (f.fold = w.fold AND p > 0.5), 0), 0) AS f1
+              FROM (SELECT fold, label, CASE {rule('NULL')} WHEN 1 THEN 0.99 WHEN 0 THEN 0.01 ELSE 0.5 END AS p FROM {FOLDS}) f,
+                   {WEIGHTS} w, LATERAL (SELECT -(w.pos_weight * f.label * ln(f.p) + (1 - f.label) * ln(1 - f.p)) AS l) GROUP BY w.fold, w.pos_weight)
+        GROUP BY ROLLUP (fold)""",
+    "page_folds": f"""SELECT page_id, n_pos, n_rows, CAST((rank + rank // {C.N_FOLDS}) % {C.N_FOLDS} AS BIGINT) AS fold
+        FROM (SELECT page_id, CAST(sum(label) AS BIGINT) AS n_pos, count(*) AS n_rows,
+                     row_number() OVER (ORDER BY sum(label), CASE WHEN sum(label) % 2 = 0 THEN count(*) ELSE -count(*) END, md5('{C.FOLD_SEED}#' || page_id), page_id) - 1 AS rank
+              FROM lab GROUP BY page_id)""",
+    "gold_lines": "SELECT CAST(doc_id AS VARCHAR) AS filename, text AS body_text, 'first' AS website FROM documents",
+    "vectors_csv": """SELECT kind, term, CAST(dim AS BIGINT) AS dim, round(coalesce((value - lo) / NULLIF(hi - lo, 0), 0), 6) AS value
+        FROM (SELECT *, min(value) OVER (PARTITION BY kind, term) AS lo, max(value) OVER (PARTITION BY kind, term) AS hi FROM hv)
+        UNION ALL SELECT 'class', '0', d, 0 FROM range(0, 30) t(d)""",
+}
+
+# the queries over changed pages: the same SQL over another table of pages
+EDGES = {"edge_" + name: name for name in ("quarantine", "gold_missing", "class_vocab", "script_family", "length_rules")}
+EDGE_PAGES = """edge_pages AS (
+  SELECT page_id, CASE WHEN page_id % 6 = 4 THEN 'http://x.example/en/9' || (page_id + 1000000) ELSE url END AS url,
+         CASE page_id % 6 WHEN 0 THEN substring(html, 1, 80) WHEN 1 THEN replace(html, '<html', '<div') WHEN 2 THEN replace(html, 'the', '中文')
+                          WHEN 3 THEN replace(html, '<p>', '<p title="x > y" class=''k' || (page_id % 5) || '  b''>') WHEN 4 THEN html END AS html
+  FROM pages
+),
+"""
+
 NX = """,
 nx AS (SELECT n.page_id, n.pos, n.tag, list_select(p.tags, list_transform(n.anc_pos, lambda a: a + 1)) AS an
        FROM nd n JOIN ptags p USING (page_id))
@@ -403,4 +471,8 @@ def oracle_queries() -> dict[str, str]:
             out[name] = "WITH RECURSIVE " + BASE.strip() + NX + sel
         else:
             out[name] = with_all(sel)
+    for name, sel in MODEL_SELECTS.items():
+        out[name] = with_all(STEPS + sel)
+    for name, like in EDGES.items():
+        out[name] = with_all(SELECTS[like]).replace("FROM pages", "FROM edge_pages").replace("WITH RECURSIVE ", "WITH RECURSIVE " + EDGE_PAGES, 1)
     return out

@@ -109,6 +109,11 @@ def extracted_bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """T-07/T-08: ``extracted_bodies`` under the name that earlier benches have."""
+    return extracted_bodies(spark, sf)
+
+
+def out_of_fold_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """T-07 out of fold: the body of every usable page from a model that has not seen it, i.e. for a page with
     gold that of its fold, for any other the one fitted on all pages with gold."""
     ex, rows = _fitted(spark, sf)
@@ -127,6 +132,7 @@ ROWS_ONLY = {
     "cv_metrics_grouped": cv_metrics_grouped,
     "scored_nodes": scored_nodes,
     "out_of_fold": out_of_fold,
+    "out_of_fold_bodies": out_of_fold_bodies,
     "page_bodies": page_bodies,
     "extracted_bodies": extracted_bodies,
 }

@@ -7,6 +7,9 @@ oracle (``oracle_queries``) can compare values exactly.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,4 +268,135 @@ def q_rule_bodies(spark, sf):
     return B.rule_bodies(_events(spark, sf))
 
 
+def q_term_vectors(spark, sf):
+    """J-04/J-05/E-05/S-16: the vectors of all terms on the nodes' paths, vocabulary terms min-max normalised."""
+    used = materialize(FE.term_uses(_nonempty(spark, sf)).select("kind", "term"), "used-terms")
+    v = V.kind_term_vectors(used, _vocab_terms(spark, sf))
+    return v.select("kind", "term", F.posexplode("vector").alias("dim", "value")).select(
+        "kind", "term", big(F.col("dim")).alias("dim"), r6(F.col("value")).alias("value"))
+
+
+#: Weights that tell all 15 x 62 places of a model vector apart; the oracle states the same rule.
+CHECK_WEIGHTS = (np.arange(C.MAX_STEPS * C.STEP_WIDTH) * 7 % 11 - 5).reshape(C.MAX_STEPS, C.STEP_WIDTH) / 10
+CHECK_INTERCEPT = 0.25
+
+
+def _vector_inputs(spark, sf):
+    """Page rows, their nodes and parameters, and the terms' broadcast; page rows are written once."""
+    rows = materialize(_events(spark, sf), "page-rows")
+    nodes = FE.nonempty_nodes(rows, max_steps=OPTS.max_steps)
+    table = materialize(FE.embedded(FE.term_uses(nodes)), "term-vectors")
+    return rows, nodes, materialize(FE.norm_params_rows(rows, OPTS), "params"), FE.embedding(spark, table, None, OPTS)
+
+
+def q_path_vectors(spark, sf):
+    """E-02/E-03/E-10/S-08/S-14/S-15: the model vector of every node, as scalar products of its tag, class and
+    number places with fixed weights."""
+    _, nodes, params, shared = _vector_inputs(spark, sf)
+    x = FE.path_vectors(nodes, shared, params, OPTS.max_steps)
+    d = C.EMBED_DIM
+
+    def part(places):
+        w = np.zeros_like(CHECK_WEIGHTS)
+        w[:, places] = CHECK_WEIGHTS[:, places]
+        weights = F.lit(w.reshape(-1).tolist())
+        return r6(F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    return x.select("page_id", big(F.col("pos")).alias("pos"), part(slice(0, d)).alias("tags"), part(slice(d, 2 * d)).alias("classes"),
+                    part(slice(2 * d, None)).alias("numbers"))
+
+
+def q_path_scores(spark, sf):
+    """T-06/S-12/S-13 in the page row: scores of a linear model with fixed weights, decisions and all."""
+    rows, _, params, shared = _vector_inputs(spark, sf)
+    scored = B.score_page_rows(rows, FE.path_sums(shared, CHECK_WEIGHTS), CHECK_WEIGHTS, CHECK_INTERCEPT, FE.normalisation(params), OPTS)
+    return scored.select("page_id", F.inline("nodes")).select(
+        "page_id", big(F.col("pos")).alias("pos"), r6(F.col("prob")).alias("prob"), big(F.col("pred")).alias("pred"),
+        big(F.col("accept")).alias("accept"))
+
+
+def q_fold_report(spark, sf):
+    """A-13/T-04 on the length rules' score: every fold's losses, F1 and weight, and their means."""
+    f = folded_nodes(spark, sf)
+    w = FO.fold_weights(f, OPTS).withColumnRenamed("fold", "other")  # n_folds rows
+    d = F.expr(B.rule_sql("content", "CAST(NULL AS INT)"))
+    seen = f.select("label", F.col("fold").alias("own"), F.when(d == 1, 0.99).when(d == 0, 0.01).otherwise(0.5).alias("prob"),
+                    F.explode(F.sequence(F.lit(0), F.lit(OPTS.n_folds - 1))).alias("other"))
+    seen = seen.join(F.broadcast(w.select("other", "pos_weight")), "other").select(
+        F.col("other").alias("fold"), (F.col("own") == F.col("other")).alias("held_out"), "label", "prob",
+        (F.col("prob") > 0.5).cast("int").alias("pred"), "pos_weight")
+    r = M.fold_report(seen)
+    return r.select(big(F.col("fold")).alias("fold"), *[r6(F.col(c)).alias(c) for c in ("train_loss", "val_loss", "f1", "pos_weight")],
+                    big(F.col("n_val")).alias("n_val"))
+
+
+def q_page_folds(spark, sf):
+    """W-03 with whole pages: pages dealt to folds by their label counts."""
+    g = FO.group_folds(labelled_nodes(spark, sf).select("page_id", "label"), opts=Options(fold_group="page_id"))
+    return g.select("page_id", big(F.col("n_pos")).alias("n_pos"), big(F.col("n_rows")).alias("n_rows"), big(F.col("fold")).alias("fold"))
+
+
+def q_gold_lines(spark, sf):
+    """IO-04/IO-05/W-05: the documents printed as gold lines, twice, read again; the first source's lines win."""
+    from pagesift.session import ensure_checkpoint_dir
+    from pagesift.sources import io
+    paths = [f"{ensure_checkpoint_dir(spark).rstrip('/')}/pagesift-gold-{uuid.uuid4().hex}" for _ in range(2)]
+    for path, name in zip(paths, ("first", "second")):
+        io.write_gold_lines(_docs(spark, sf), path, website=name)
+    return io.first_gold_per_key(io.read_gold_lines(spark, *paths))
+
+
+def q_vectors_csv(spark, sf):
+    """IO-06/IO-07: the vocabulary job's CSV tables, read again."""
+    from pagesift.plans.extractor import vocabulary_job
+    from pagesift.session import ensure_checkpoint_dir
+    from pagesift.sources import io
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pagesift-csv-{uuid.uuid4().hex}"
+    vocabulary_job(_pages(spark, sf), out)
+    both = [io.read_vectors_csv(spark, f"{out}/{name}", key).withColumn("kind", F.lit(kind))
+            for kind, name, key in (("tag", "tag_vectors", "tag"), ("class", "class_name_vectors", "classname"))]
+    v = both[0].unionByName(both[1]).select("kind", "term", F.posexplode("vector").alias("dim", "value"))
+    return v.select("kind", "term", big(F.col("dim")).alias("dim"), r6(F.col("value")).alias("value"))
+
+
+# --------------------------------------------------------------------------- pages with what the tables lack
+def _edge_pages(spark, sf) -> DataFrame:
+    """Every page, changed by its id: cut short, without html element, with CJK text, with classes and quoted
+    '>', with a foreign key, or null."""
+    h, kind = F.col("html"), F.col("page_id") % 6
+    html = (F.when(kind == 0, F.substring(h, 1, 80)).when(kind == 1, F.replace(h, F.lit("<html"), F.lit("<div")))
+            .when(kind == 2, F.replace(h, F.lit("the"), F.lit("中文")))
+            .when(kind == 3, F.replace(h, F.lit("<p>"), F.concat(F.lit("<p title=\"x > y\" class='k"), (F.col("page_id") % 5).cast("string"), F.lit("  b'>"))))
+            .when(kind == 4, h))
+    url = F.when(kind == 4, F.concat(F.lit("http://x.example/en/9"), F.col("page_id") + 1_000_000)).otherwise(F.col("url"))
+    return _pages(spark, sf).select("page_id", url.alias("url"), html.alias("html"))
+
+
+def _edge_events(spark, sf):
+    return D.page_events(D.clean_pages(_edge_pages(spark, sf)), OPTS)
+
+
+def q_edge_quarantine(spark, sf):
+    """L-08/L-09 on pages of which a third are unusable."""
+    return D.quarantine(D.clean_pages(_edge_pages(spark, sf)))
+
+
+def q_edge_gold_missing(spark, sf):
+    return LB.gold_missing(_edge_pages(spark, sf), _docs(spark, sf))
+
+
+def q_edge_class_vocab(spark, sf):
+    return V.class_vocab(_edge_pages(spark, sf)).select("term", big(F.col("uses")).alias("uses"))
+
+
+def q_edge_script_family(spark, sf):
+    return B.script_family(_edge_events(spark, sf))
+
+
+def q_edge_length_rules(spark, sf):
+    """S-09/S-13 with both branches of the rules."""
+    n = FE.nonempty_nodes(_edge_events(spark, sf), max_steps=OPTS.max_steps)
+    d = F.expr(B.rule_sql("content", "CAST(NULL AS INT)"))
+    return n.select("page_id", big(F.col("pos")).alias("pos"), big(d).alias("decision"))
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_")}

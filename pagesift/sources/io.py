@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,10 @@ GOLD_SCHEMA = T.StructType([
 ])
 
 
+#: The order of gold lines.
+_LINE = ("source", "file", "block", "line_no")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than the cluster has cores.
 
@@ -48,20 +53,24 @@ def read_html_folder(spark: SparkSession, folder: str, recursive: bool = False)
     ``page_id`` is a 64-bit hash of the stem (stable across re-reads and
     partitionings); ``key`` is kept as the exact identity (with 1e9 pages the
     chance of any 64-bit collision is about 3%)."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.html")
-          .option("recursiveFileLookup", recursive).text(folder)
+    # as arguments: text() sets wholetext itself and would put an option back to false
+    df = (spark.read.text(folder, wholetext=True, pathGlobFilter="*.html", recursiveFileLookup=recursive)
           .select(F.col("value").alias("html"), F.input_file_name().alias("path")))
     key = F.regexp_extract(F.col("path"), r"([^/]+)\.html$", 1)
-    url = F.decode(F.unbase64(key), "UTF-8")
+    url = F.try_validate_utf8(F.try_to_binary(key, F.lit("base64")).cast("string"))  # null: the stem is no coded URL
     return df.select(F.xxhash64(key).alias("page_id"), key.alias("key"), url.alias("url"), "html")
 
 
 def read_gold_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """IO-04/05: (filename, body_text, website, line_no, source); unparsable lines are dropped
-    here and reported by ``bad_gold_lines``."""
+    """IO-04/05: (filename, body_text, website, source, file, block, line_no, line); unparsable lines are dropped
+    here and reported by ``bad_gold_lines``.
+
+    ``source`` (place among ``paths``), ``file``, ``block`` (offset of the split in its file) and ``line_no`` (rises
+    within a split) order the lines as they stand in the files, however the scan cuts and deals these."""
     parts = []
     for i, p in enumerate(paths):
-        t = spark.read.text(p).select(F.col("value").alias("line"))
+        t = spark.read.text(p).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                                      F.col("_metadata.file_block_start").alias("block"))
         t = t.withColumn("line_no", F.monotonically_increasing_id()).withColumn("source", F.lit(i))
         parts.append(t)
     df = parts[0]
@@ -73,24 +82,33 @@ def read_gold_lines(spark: SparkSession, *paths: str) -> DataFrame:
     as_json = F.regexp_replace(as_json, r"""(['"](?:Website|Filename|Body text)['"]\s*:\s*)None(?=\s*[,}])""", "$1null")
     j = F.from_json(as_json, GOLD_SCHEMA, {"allowSingleQuotes": "true", "mode": "PERMISSIVE",
                                            "allowBackslashEscapingAnyCharacter": "true"})
-    return df.select(j.alias("g"), "line_no", "source", "line").select(
+    return df.select(j.alias("g"), *_LINE, "line").select(
         F.col("g.Filename").alias("filename"), F.col("g.`Body text`").alias("body_text"),
-        F.col("g.Website").alias("website"), "line_no", "source", "line")
+        F.col("g.Website").alias("website"), *_LINE, "line")
 
 
 def bad_gold_lines(gold: DataFrame) -> DataFrame:
     """Lines that start with '{' but do not parse as a gold record (quarantine)."""
-    return gold.filter(F.col("filename").isNull()).select("source", "line_no", "line")
+    return gold.filter(F.col("filename").isNull()).select(*_LINE, "line")
 
 
 def first_gold_per_key(gold: DataFrame) -> DataFrame:
-    """J-01/W-05: the first line per filename wins (ordered by source file, then line)."""
-    order = F.struct("source", "line_no")
+    """J-01/W-05: the first line per filename wins (by source, file and place in the file)."""
+    order = F.struct(*_LINE)
     g = gold.filter(F.col("filename").isNotNull()).groupBy("filename").agg(
         F.min_by(F.struct("body_text", "website"), order).alias("g"))
     return g.select("filename", "g.body_text", "g.website")
 
 
+def write_gold_lines(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", website: str = "") -> None:
+    """The inverse of ``read_gold_lines``: one printed Python dict per line."""
+    def run(batches):
+        for b in batches:
+            lines = [str({"Website": website, "Filename": k, "Body text": t}) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    documents.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def write_vectors_csv(vectors: DataFrame, path: str, key: str = "term") -> None:
     """IO-06: CSV with the vector as a JSON list."""
     vectors.select(F.col("term").alias(key), F.to_json("vector").alias("vector")) \

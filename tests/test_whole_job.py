@@ -17,6 +17,8 @@ def test_pages_without_gold_are_scored(spark):
     docs.write.parquet(f"{d}/documents.parquet")
     bodies = {r.page_id: r.body for r in P.page_bodies(spark, d).collect()}
     assert len(bodies) == pages.count() + 2 and "wordsofapage" in bodies[900_001] and bodies[900_001] == bodies[900_002]
+    unseen = {r.page_id: r.body for r in P.out_of_fold_bodies(spark, d).collect()}
+    assert set(unseen) == set(bodies) and unseen[900_001] == bodies[900_001]
     rows = P.scored_nodes(spark, d).collect()
     new = [r for r in rows if r.page_id > 900_000]
     assert {r.page_id for r in new} == {900_001, 900_002} and all(r.label is None and r.fold is None and r.prob is not None for r in new)
