@@ -421,6 +421,7 @@ zs AS (SELECT e.page_id, e.pos, e.content,
 MODEL_SELECTS = {
     "term_vectors": """SELECT kind, term, CAST(dim AS BIGINT) AS dim, round(CASE WHEN EXISTS (SELECT 1 FROM voc WHERE voc.kind = sv.kind AND voc.term = sv.term)
         THEN coalesce((value - lo) / NULLIF(hi - lo, 0), 0) ELSE value END, 6) AS value FROM sv""",
+    "step_vectors": """SELECT kind, term, CAST(dim AS BIGINT) AS dim, round(coalesce((value - lo) / NULLIF(hi - lo, 0), 0), 6) AS value FROM sv""",
     "path_vectors": """SELECT page_id, CAST(pos AS BIGINT) AS pos, round(tags, 6) AS tags, round(classes, 6) AS classes, round(numbers, 6) AS numbers
         FROM xs JOIN zs USING (page_id, pos)""",
     "path_scores": f"""SELECT page_id, CAST(pos AS BIGINT) AS pos, round(prob, 6) AS prob, CAST(pred AS BIGINT) AS pred, CAST({rule('pred')} AS BIGINT) AS accept

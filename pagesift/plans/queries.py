@@ -276,6 +276,14 @@ def q_term_vectors(spark, sf):
         "kind", "term", big(F.col("dim")).alias("dim"), r6(F.col("value")).alias("value"))
 
 
+def q_step_vectors(spark, sf):
+    """S-08: the terms' vectors as a path step holds them."""
+    used = materialize(FE.term_uses(_nonempty(spark, sf)).select("kind", "term"), "used-terms")
+    v = FE.step_normalised(V.kind_term_vectors(used, _vocab_terms(spark, sf)))
+    return v.select("kind", "term", F.posexplode("vector").alias("dim", "value")).select(
+        "kind", "term", big(F.col("dim")).alias("dim"), r6(F.col("value")).alias("value"))
+
+
 #: Weights that tell all 15 x 62 places of a model vector apart; the oracle states the same rule.
 CHECK_WEIGHTS = (np.arange(C.MAX_STEPS * C.STEP_WIDTH) * 7 % 11 - 5).reshape(C.MAX_STEPS, C.STEP_WIDTH) / 10
 CHECK_INTERCEPT = 0.25
