@@ -8,8 +8,8 @@ logistic unit makes a probability of them. A filter is a table with one weight
 per position and byte value, so a convolution is a sum of table look-ups.
 
 Training runs on the driver over a bounded sample of labelled rows
-(``TRAIN_PER_CLASS`` documents of each label, ``TRAIN_CHUNKS`` evenly spread
-chunks of each); scoring reads every byte of every document.
+(``TRAIN_PER_CLASS`` documents of each label), over every chunk of each, in
+pieces of about ``PIECE_BYTES``; scoring reads every byte of every document.
 
 Defined cases: a null or empty text is one chunk of padding and gets the score
 the network gives that; without labelled rows of both labels the score is the
@@ -29,7 +29,8 @@ from pagesift.llm.common import labelled_rows, slices, text_of
 
 WIDTH, FILTERS = 6, 16
 BLOCK, CHUNK_BLOCKS = 64, 8
-TRAIN_PER_CLASS, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 1500, 12, 10, 32, 0.01
+TRAIN_PER_CLASS, EPOCHS, BATCH, RATE = 1500, 10, 32, 0.01
+PIECE_BYTES = 1 << 19  # of documents whose gradients are taken at once
 _PIECE = 1 << 18
 
 
@@ -100,18 +101,13 @@ def train(rows: list[tuple], seed: int = 0) -> Network:
         share = min(max(share, 0.001), 0.999)
         return Network(params["filters"], params["bias"], params["out"] * 0, float(np.log(share / (1 - share))))
     params["base"][0] = np.log(share / (1 - share))
-    windows = []  # of each document: rows of chunk bytes with the reach of their last window
-    for text, *_ in rows:
-        data = _padded(text)
-        bounds = _chunk_bounds((len(data) - WIDTH) // BLOCK)
-        bounds = bounds[np.unique(np.linspace(0, len(bounds) - 1, min(len(bounds), TRAIN_CHUNKS)).astype(int))]
-        windows.append([data[a * BLOCK:b * BLOCK + WIDTH] for a, b in bounds])
+    texts = [_padded(text) for text, *_ in rows]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     step = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
-            grads = _gradients(params, [windows[i] for i in order[at:at + BATCH]], y[order[at:at + BATCH]])
+            grads = _batch_gradients(params, [texts[i] for i in order[at:at + BATCH]], y[order[at:at + BATCH]])
             step += 1
             for k, g in grads.items():
                 m, v = moments[k]
@@ -121,8 +117,25 @@ def train(rows: list[tuple], seed: int = 0) -> Network:
     return Network(params["filters"], params["bias"], params["out"], float(params["base"][0]))
 
 
-def _gradients(params: dict, docs: list, y: np.ndarray) -> dict:
-    tables = _pair_tables(params["filters"])
+def _chunks(data: np.ndarray) -> list[np.ndarray]:
+    """The bytes of every chunk with the reach of its last window."""
+    return [data[a * BLOCK:b * BLOCK + WIDTH] for a, b in _chunk_bounds((len(data) - WIDTH) // BLOCK)]
+
+
+def _batch_gradients(params: dict, texts: list, y: np.ndarray) -> dict:
+    """The mean gradients of a batch, summed over pieces of bounded size (one document at least)."""
+    tables, out, at = _pair_tables(params["filters"]), None, 0
+    while at < len(texts):
+        to, size = at + 1, len(texts[at])
+        while to < len(texts) and size + len(texts[to]) <= PIECE_BYTES:
+            size, to = size + len(texts[to]), to + 1
+        part = _gradients(params, tables, [_chunks(t) for t in texts[at:to]], y[at:to], len(texts))
+        out = part if out is None else {k: v + part[k] for k, v in out.items()}
+        at = to
+    return out
+
+
+def _gradients(params: dict, tables: list, docs: list, y: np.ndarray, total: int) -> dict:
     chunks = [c for d in docs for c in d]
     lengths = [len(c) for c in chunks]
     starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -137,7 +150,7 @@ def _gradients(params: dict, docs: list, y: np.ndarray) -> dict:
     peak = np.stack([feature[a:b].argmax(0) + a for a, b in zip(firsts, firsts[1:])])
     pooled = np.concatenate([mean, feature[peak, np.arange(FILTERS)]], 1)
     p = 1 / (1 + np.exp(-(pooled @ params["out"] + params["base"][0])))
-    dz = ((p - y) / len(y)).astype(np.float32)
+    dz = ((p - y) / total).astype(np.float32)
     d_pooled = dz[:, None] * params["out"]
     d_feature = np.repeat(d_pooled[:, :FILTERS] / counts[:, None], counts, 0)
     np.add.at(d_feature, (peak, np.arange(FILTERS)), d_pooled[:, FILTERS:])

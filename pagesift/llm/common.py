@@ -15,7 +15,7 @@ import sys
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesift.session import ensure_checkpoint_dir
@@ -65,34 +65,33 @@ def is_held_out(id_col: Column) -> Column:
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 7,
                   id_col: str = "doc_id", text_col: str = "text", max_chars: int = 200_000_000) -> list:
     """A bounded sample of labelled training rows: at most ``per_class`` of each label and
-    ``max_chars`` of text, as ``(text, label, crc)`` tuples on the driver.
+    ``max_chars`` of text, half of it for each label, as ``(text, label, id)`` tuples on the driver.
 
     Held-out rows, null ids, null labels and null texts are left out. The rows
-    are those with the smallest seeded hash of their id, so reruns agree; the
-    ids are picked before any text is read.
+    are those with the smallest seeded hash of their id, so reruns agree; both
+    bounds hold before a text leaves the executors. Of rows that repeat an id
+    the smaller label and the smaller text count.
     """
     ids = (labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
            .where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out(F.col("id")))
-           .dropDuplicates(["id"]))
+           .groupBy("id").agg(F.min("y").alias("y")))
+    order = F.xxhash64(F.lit(seed), F.col("id"))
     picked = None
     for y in (0, 1):
-        part = (ids.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(per_class))
+        part = ids.where(F.col("y") == y).orderBy(order, "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     rows = picked.collect()  # at most 2 * per_class ids
     if not rows:
         return []
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r["id"], r["y"]) for r in rows], "id long, y int")
-    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-             .join(F.broadcast(chosen), "id"))
-    out, total = [], 0
-    found = sorted(((r["id"], r["text"], r["y"]) for r in texts.dropDuplicates(["id"]).toLocalIterator()),
-                   key=lambda r: r[0])
-    for i, text, y in found:
-        total += len(text)
-        if total > max_chars:
-            break
-        out.append((text, y, i))
+    texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+             .join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
+    texts = written(texts, "labelled")
+    before = Window.partitionBy("y").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, 0)  # per_class rows at most
+    within = texts.withColumn("chars", F.sum(F.char_length("text")).over(before)).where(F.col("chars") <= max_chars // 2)
+    out = sorted(((r["text"], r["y"], r["id"]) for r in within.select("text", "y", "id").collect()), key=lambda r: r[2])
+    drop_written(texts)
     return out
 
 

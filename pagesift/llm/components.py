@@ -3,8 +3,10 @@
 Alternating star contraction: in a large-star step every node hands its larger
 neighbours to the smallest of its neighbourhood, in a small-star step its
 smaller ones. The steps are groupings by node with a minimum (combined before
-the shuffle) and a join back, so a hub with a large share of the edges is
-never gathered in one task. Each round is written to the shared folder.
+the shuffle) and a join back with the written minima. Both sides of that join
+are plain shuffles, which adaptive execution splits where a hub holds a large
+share of the edges (its row of the other side is then read by each part).
+Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from pagesift.llm.common import drop_written, written
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,9 +42,12 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == state:
             break
         state = mark
-        after = written(_small_star(_large_star(now)), "edges")
-        drop_written(now)
-        now = after
+        for star in (_large_star, _small_star):
+            after, least = star(now)
+            after = written(after, "edges")
+            drop_written(now)
+            drop_written(least)
+            now = after
     else:
         raise RuntimeError("components did not settle")
     # every edge now leads from a node to its label

@@ -33,10 +33,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import Recent, drop_written, per_worker, slices, text_of, written
+from pagesift.llm.common import WORD_SPACE, Recent, ascii_lower, drop_written, per_worker, slices, text_of, written
 from pagesift.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 85  # words; per cent
@@ -258,7 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of one document of each component: the one with
-    the smallest id. Of rows that repeat its id one stays; rows without id all stay."""
+    the smallest id. Of rows that repeat its id those stay whose texts have different words (they
+    are one document); of rows equal in that, the one whose columns come first in order.
+    Rows without id all stay."""
     found = written(near_duplicates(docs, id_col, text_col).select("id", "kept"), "kept")
     # columns are named through their tables: the documents may have an "id" of their own
     dropped = found.where("NOT kept").select("id").distinct()
@@ -266,6 +268,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = found.where("kept AND id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
     if repeated.limit(1).count():
         same = out[id_col].cast("long") == repeated["id"]
-        once = out.join(repeated, same, "left_semi").dropDuplicates([id_col])
+        again = out.join(repeated, same, "left_semi")
+        words = F.regexp_replace(ascii_lower(F.coalesce(again[text_col], F.lit(""))), f"[{WORD_SPACE}]+", " ")
+        key = F.trim(words)
+        order = [F.col(f"`{c}`").asc_nulls_first() for c in docs.columns if docs.schema[c].dataType.simpleString() not in ("variant", "void")
+                 and not docs.schema[c].dataType.simpleString().startswith("map")]
+        nth = F.row_number().over(Window.partitionBy(again[id_col], key).orderBy(*order))
+        once = again.withColumn("_nth of words", nth).where(F.col("`_nth of words`") == 1).drop("_nth of words")
         out = out.join(repeated, same, "left_anti").unionByName(once)
     return out

@@ -9,10 +9,11 @@ than ``FAN_IN * k`` entries.
 
 Vectors are integers (``floor(scale * x)``), so scores are exact: the product
 runs in float32 while all sums stay below 2**24, in float64 below 2**53, and
-in Python integers beyond (clipped to 64 bits).
+in Python integers beyond (clipped to 2**63 - 1 either way); only the rows with large
+components are multiplied that way, not the tile they stand in.
 
-Defined cases: vectors that are null, or hold null or non-finite components,
-and rows without id take no part; shorter vectors count as padded with zeros;
+Defined cases: vectors that are null, or hold null or non-finite components
+(also ones that are not finite once scaled), and rows without id take no part; shorter vectors count as padded with zeros;
 a query never meets rows that carry its own id; rows that repeat a query come
 out once each; ties go to the smaller id; fewer candidates than k: all.
 """
@@ -34,10 +35,10 @@ _LISTS = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("times", p
                     ("best", pa.list_(pa.struct([("down", pa.int64()), ("id", pa.int64())])))])
 
 
-def usable(vector: Column) -> Column:
-    """True where a vector is not null and all its components are finite numbers."""
+def usable(vector: Column, scale: float = 1.0) -> Column:
+    """True where a vector is not null and all its components are finite numbers, also after scaling."""
     inf = F.lit(float("inf"))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < inf))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < inf) & (F.abs(x.cast("double")) < inf))
     return F.coalesce(vector.isNotNull() & fine, F.lit(False))
 
 
@@ -52,13 +53,27 @@ def _matrix(column: pa.ChunkedArray, width: int, scale: float) -> np.ndarray:
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products of the rows of two integer-valued matrices."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    tops = np.abs(q).max(axis=1, initial=0), np.abs(c).max(axis=1, initial=0)
+    top = float(tops[0].max(initial=0)) * float(tops[1].max(initial=0)) * q.shape[1]
     if top < 2**24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if top < 2**53:
         return (q @ c.T).astype(np.int64)
+    limit = np.sqrt(2.0**53 / max(1, q.shape[1])) * (1 - 1e-9)
+    out = np.zeros((len(q), len(c)), np.int64)
+    small, large = zip(*((np.flatnonzero(t < limit), np.flatnonzero(t >= limit)) for t in tops))
+    out[np.ix_(small[0], small[1])] = (q[small[0]] @ c[small[1]].T).astype(np.int64)
+    every = np.arange(len(c))
+    for rows, cols in ((large[0], every), (small[0], large[1])):
+        if len(rows) and len(cols):
+            out[np.ix_(rows, cols)] = _whole(q[rows], c[cols])
+    return out
+
+
+def _whole(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The products in Python integers, clipped to 2**63 - 1 either way."""
     whole = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in c], object).T
-    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(whole, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 def _tile(k: int, scale: float):
@@ -98,7 +113,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     """``query_id, rank, id, score``: the k best rows for every row of ``vectors`` that
     ``is_query`` (a condition on the id, named ``id``) selects."""
     rows = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-            .where(F.col("id").isNotNull() & usable(F.col("vector"))))
+            .where(F.col("id").isNotNull() & usable(F.col("vector"), scale)))
     n, n_queries = rows.select(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / block_rows))
     candidates = (rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))

@@ -95,7 +95,8 @@ def test_op5_equals_all_pairs(spark, edge_docs, no_docs):
     assert all(r.component is None and r.kept for r in edge if r.id is None)
     kept = neardup.keep_first(edge_docs)
     assert kept.columns == edge_docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "8", "9", "None", "None"]
+    # of the equal rows of id 1 one stays; the two texts of id 7 resemble nothing, so both do
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "7", "8", "9", "None", "None"]
     assert neardup.near_duplicates(no_docs).count() == 0 and neardup.keep_first(no_docs).count() == 0
 
 
