@@ -14,14 +14,17 @@ needs for the window.
 
 Which words of toxic documents are toxic is not labelled. The toxic dictionary
 is trained on the words that toxic training documents hold ``CONTRAST`` times
-as often as ordinary ones, as often as they occur; the ordinary one on all
-words of ordinary documents. The share of windows above each of the calibrated
+as often as ordinary ones, once for each document that holds them; the ordinary one
+on the words of ordinary documents, likewise, of which ``SAMPLE_BYTES`` are drawn
+where there are more. The share of windows above each of the calibrated
 thresholds, and the largest distances, then make one logistic score, fitted on
 labelled documents that took no part in training the dictionaries.
 
 The sample of labelled rows is bounded (``PER_CLASS`` of each label); scores
 cover every word of every document. Defined cases: a null or empty text has no
-window and gets the score of distance 0; without toxic or without ordinary
+window and gets the score of distance 0; if no word of toxic documents stands out, their
+dictionary is trained on all of their words; training rows without any word on one side give the
+score 0; without toxic or without ordinary
 training rows every score is 0 or 1, the one label there is (0 without any).
 """
 
@@ -43,7 +46,8 @@ from pagesift.llm.common import Recent, labelled_rows, per_worker, slices, text_
 PER_CLASS = 3000
 LEVEL, CODE_BYTES = 19, 6
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 16_384
-CONTRAST, MIN_DOCS, ORDINARY_WORDS, REPEATS = 20, 4, 30_000, 5
+CONTRAST, MIN_DOCS = 20, 4
+SAMPLE_BYTES = 24_000_000  # spelled words that a dictionary is trained on; the trainer takes some ten times as much memory
 PUNCTUATION = b".,;:!?%$&#*|\"'()[]{}<>-_=+~^/\\`"
 CACHED_WORDS = 250_000
 
@@ -123,6 +127,16 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _samples(counts: dict[bytes, int], rng: np.random.Generator) -> list[bytes]:
+    """Words as often as counted, spelled and mixed (the trainer fills a dictionary stretch by stretch of its
+    samples), up to ``SAMPLE_BYTES``."""
+    words = sorted(counts)
+    each = np.repeat(np.arange(len(words)), [counts[w] for w in words])
+    rng.shuffle(each)
+    sizes = np.cumsum(np.array([(len(w) + 2) * CODE_BYTES for w in words], np.int64)[each])
+    return [spelled(words[i]) for i in each[:np.searchsorted(sizes, SAMPLE_BYTES, "right")].tolist()]
+
+
 def train(rows: list[tuple], seed: int = 0) -> Model:
     """Fit to ``(text, label, id)`` rows: about three quarters make the dictionaries, the rest the thresholds and score."""
     labels = {r[1] for r in rows}
@@ -138,13 +152,8 @@ def train(rows: list[tuple], seed: int = 0) -> Model:
     n = Counter(r[1] for r in learn)
     marked = {w: c for w, c in docs_with[1].items()
               if c >= min(MIN_DOCS, n[1]) and c / n[1] >= CONTRAST * (docs_with[0][w] + 0.5) / n[0]}
-    # the trainer fills a dictionary stretch by stretch of its samples, so words must stand mixed
     rng = np.random.default_rng(seed)
-    toxic = [spelled(w) for w, c in sorted(marked.items()) for _ in range(c)]
-    toxic = [toxic[i] for i in rng.permutation(len(toxic))]
-    words = sorted(docs_with[0].items())
-    ordinary = [spelled(words[i][0]) for i in rng.permutation(len(words))[:ORDINARY_WORDS] for _ in range(min(words[i][1], REPEATS))]
-    ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))]
+    toxic, ordinary = _samples(marked or docs_with[1], rng), _samples(docs_with[0], rng)
     if not toxic or not ordinary:
         return Model(b"", b"", (), (), 0.0)
     a, b = dictionary(ordinary, ORDINARY_BYTES), dictionary(toxic, TOXIC_BYTES)
