@@ -3,19 +3,22 @@
 1. One page of each host, chosen by hash, is the host's pattern.
 2. Every other page of the host is aligned with it by simple tree matching:
    nodes with equal labels (tag, class, id) match, children are aligned in
-   order so that most nodes match. Runs of siblings with the same label count
-   as one repeating node, so the alignment of long lists stays small.
-3. For each node of the pattern the pages that have it, and those with the
-   same text in it, are counted over all pages of the host. A node whose text
+   order so that most nodes match. Runs of siblings with the same label align
+   as one repeating node, so the alignment of long lists stays small; their
+   texts are compared one by one.
+3. For each text of the pattern the pages that have its node, and those with the
+   same text in it, are counted over all pages of the host. A text that
    hardly ever changes (``CONSTANT``, over ``LEAST_PAGES`` pages at least) is
    template, a node whose text varies is a slot.
 4. Every page is aligned again. Its main text is the text of the slots and of
    nodes that the pattern does not have, inside its articles (or, without any,
    its body), without the parts that a page's own markup names as menus,
-   headers, footers, sidebars, notices, adverts, forms or comments.
+   headers, footers, sidebars, notices, adverts, forms or comments. A heading in
+   an article stays even if all pages of the host have it, as "Summary".
 
-If template nodes are all a page's article has (a host whose pages are copies),
-they are kept. Blocks are joined by one space and white space is made one space.
+What only part of a host's pages have and the pattern page lacks is not known as
+template. If template is all a page's article has (a host whose pages are copies),
+it is kept. Blocks are joined by one space and white space is made one space.
 
 Defined cases: null, empty and text-free html give an empty text; a host with
 one page has no template; pages without url form one host; rows that repeat a
@@ -38,7 +41,7 @@ from pagesift.llm.common import Recent, per_worker, slices, text_of, written
 CONSTANT, LEAST_PAGES = 0.9, 5
 CACHED_PATTERNS = 200
 #: Up to this many bytes of patterns, or rows of chosen pages, are broadcast to the pages; beyond, a shuffle joins them.
-BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 1_000_000
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 
 # fixed values: element groups of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,8 +60,11 @@ APART_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
 #: Class or id tokens that tell of a layout or a state, as with-sidebar, hasMenu or comments-open.
 _LAYOUT = re.compile(r"(?:with|without|has|no|With|Has|No)(?=[-_A-Z])|.*[-_](?:open|closed|enabled|disabled)$", re.S)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Beside these an APART_WORD still names a section by its id; other words make the id one of a title, as search-methods.
-PART_WORDS = frozenset("section area block box container list wrapper wrap form posts links bar".split())
+#: Words for a part of a page or its place. In a name of several words they stand behind the word that says
+#: what the part is: share-buttons and sidebar-left are apart, share-price and search-methods are not.
+PART_WORDS = frozenset("section area block box container list wrapper wrap form posts links bar item items title text inner outer left right "
+                       "top bottom main primary secondary slot unit group row col column panel holder zone button buttons link icon icons "
+                       "label toggle content body head media inline fixed sticky js".split())
 #: Apart outside of articles only: an article's own title block may be called a header.
 OUTER, OUTER_WORDS = frozenset(["header"]), frozenset(["header", "footer", "topbar", "toolbar"])
 
@@ -77,13 +83,16 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _name_words(tag: str, names: list[tuple[str, str]]) -> set[str]:
-    """The words of an element's class, id and role that may name it as apart."""
+    """What an element's class, id and role name it as: of every name the last word that is not one
+    for a part or place, or the first if all are."""
     out: set[str] = set()
     for kind, value in names:
-        words = {w.lower() for t in value.split() if not _LAYOUT.match(t) for w in _NAME_PARTS.findall(t)}
-        if kind == "id" and (tag in HEADINGS or tag == "section" and not words <= APART_WORDS | OUTER_WORDS | PART_WORDS):
-            continue
-        out |= words
+        for token in value.split():
+            words = [w.lower() for w in _NAME_PARTS.findall(token) if len(w) > 1]  # not the x of 728x90
+            if _LAYOUT.match(token) or not words or kind == "id" and tag in HEADINGS:
+                continue
+            telling = [w for w in words if w not in PART_WORDS] or words[:1]
+            out.add(telling[-1])
     return out
 
 
@@ -228,62 +237,80 @@ class Page:
         return {e: " ".join(_html.unescape(" ".join(t)).split()) for e, t in out.items()}
 
     def main_text(self, constant: set[int] = frozenset()) -> str:
-        """Text of the elements that are not apart nor ``constant``, of the articles if there are any."""
+        """Text of the elements that are not apart nor ``constant``, of the articles if there are any; with the
+        ``constant`` ones if there is none without them."""
+        text = self._text(constant)
+        return self._text(frozenset()) if constant and not text else text
+
+    def _text(self, constant) -> str:
         articles = any(i and not a for i, a in zip(self.inside, self.apart))
         out = []
         for e, t in self.runs:
             if e < 0:
                 out.append(" ")
-            elif not self.apart[e] and (self.inside[e] or not articles) and e not in constant:
+            elif not self.apart[e] and (self.inside[e] or not articles) and (e not in constant or self.inside[e] and self.tag[e] in HEADINGS):
                 out.append(_html.unescape(t) if "&" in t else t)
         return " ".join("".join(out).split())
 
 
 def align(pattern: list, page: list) -> list[tuple[int, int]]:
-    """Simple tree matching: pairs (pattern node, page node) of the largest order-keeping match from the roots."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
+    """Simple tree matching: pairs (pattern node, page node) of the largest order-keeping match from the roots.
 
-    def match(a: int, b: int, depth: int) -> tuple[int, list]:
-        if pattern[a][0] != page[b][0]:
-            return 0, []
-        if (a, b) in memo:
-            return memo[a, b]
+    A pair of nodes with equal labels is weighed once the pairs of their children are, on a stack of its own, so
+    depth is no limit; the work is the product of the numbers of children of nodes that meet.
+    """
+    memo: dict[tuple[int, int], tuple[int, list]] = {}
+    stack = [(0, 0)] if pattern[0][0] == page[0][0] else []
+    while stack:
+        a, b = stack[-1]
         left, right = pattern[a][1], page[b][1]
-        if depth > 60 or not left or not right:
-            memo[a, b] = 1, []
-            return memo[a, b]
-        # best[i][j]: most matches of the first i and j children
-        best = [[0] * (len(right) + 1)]
-        weights = []
-        for x in left:
-            above, row, w = best[-1], [0], []
-            for j, y in enumerate(right):
-                w.append(match(x, y, depth + 1)[0])
-                row.append(max(above[j + 1], row[j], above[j] + w[j]))
-            best.append(row)
-            weights.append(w)
-        pairs, i, j = [], len(left), len(right)
-        while i and j:
-            if weights[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weights[i - 1][j - 1]:
-                pairs.append((left[i - 1], right[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        memo[a, b] = 1 + best[-1][-1], pairs
-        return memo[a, b]
-    match(0, 0, 0)
-    out, todo = [], [(0, 0)]
+        if (a, b) not in memo:
+            memo[a, b] = 1, []  # until its children are weighed
+            met = [(x, y) for x in left for y in right if pattern[x][0] == page[y][0]]
+            if met:
+                stack += met
+                continue
+        stack.pop()
+        if memo[a, b] == (1, []) and left and right:
+            memo[a, b] = _best(left, right, memo)
+    out, todo = [], [(0, 0)] if memo else []
     while todo:
         pair = todo.pop()
         out.append(pair)
-        todo += memo.get(pair, (0, []))[1]
+        todo += memo[pair][1]
     return out
 
 
-def _own(page: Page, node: tuple, texts: dict[int, str]) -> str:
-    return " ".join(filter(None, (texts.get(e) for e in node[2])))
+def _best(left: list[int], right: list[int], memo: dict) -> tuple[int, list]:
+    """The weight of the best order-keeping match of two lists of children, with their parents, and its pairs."""
+    best = [[0] * (len(right) + 1)]  # best[i][j]: most matches of the first i and j children
+    weights = []
+    for x in left:
+        above, row = best[-1], [0]
+        w = [memo[x, y][0] if (x, y) in memo else 0 for y in right]
+        for j, v in enumerate(w):
+            row.append(max(above[j + 1], row[j], above[j] + v))
+        best.append(row)
+        weights.append(w)
+    pairs, i, j = [], len(left), len(right)
+    while i and j:
+        if weights[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weights[i - 1][j - 1]:
+            pairs.append((left[i - 1], right[j - 1]))
+            i, j = i - 1, j - 1
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return 1 + best[-1][-1], pairs
+
+
+def _own(node: tuple, texts: dict[int, str]) -> dict[str, list[int]]:
+    """The own texts in a node, each with its elements."""
+    out: dict[str, list[int]] = {}
+    for e in node[2]:
+        if texts.get(e):
+            out.setdefault(texts[e], []).append(e)
+    return out
 
 
 class _Pattern:
@@ -291,7 +318,7 @@ class _Pattern:
         self.page = Page(source)
         self.nodes = self.page.nodes()
         texts = self.page.texts()
-        self.own = [_own(self.page, n, texts) for n in self.nodes]
+        self.own = [list(_own(n, texts)) for n in self.nodes]  # texts of every node, in order
         self.mark = hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=16).digest()
 
 
@@ -304,49 +331,62 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
-def _beside(rows: DataFrame, wrappers: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with their host's pattern. A host may have a large share of the pages, so they stay
-    where they are while the patterns are few; the patterns' size is measured."""
+def _beside(rows: DataFrame, wrappers: DataFrame, *cols: str, how: str = "inner"):
+    """``rows`` (with their ``host``) and a function of a batch that gives the ``cols`` of each row's host, or nulls.
+
+    A host may have a large share of the pages, so these stay where they are while the
+    patterns are few: then a table of all hosts is broadcast, and no row carries a pattern. The patterns' size is
+    measured; beyond the bound they are joined.
+    """
     size = wrappers.agg(F.sum(F.octet_length("pattern") + 64)).first()[0] or 0
-    return rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", how)
+    if size > BROADCAST_BYTES:
+        joined, at = rows.join(wrappers, "host", how), len(rows.columns)
+        return joined.select(*rows.columns, *cols), lambda b: list(zip(*(b.column(at + k).to_pylist() for k in range(len(cols)))))
+    table = {r["host"]: tuple(r[c] for c in cols) for r in wrappers.select("host", *cols).collect()}
+    shared, host, none = rows.sparkSession.sparkContext.broadcast(table), rows.columns.index("host"), (None,) * len(cols)
+    return rows, lambda b: [shared.value.get(h, none) for h in b.column(host).to_pylist()]
 
 
 def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, pattern, constant``: each host's pattern page and the nodes of it that are template."""
+    """``host, pattern, constant``: each host's pattern page and the texts of it that are template, as (node, nth text)."""
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     order = F.xxhash64("host", "id")
     chosen = written(rows.where("html IS NOT NULL").groupBy("host").agg(F.min(order).alias("first")), "chosen")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     patterns = written(rows.where("html IS NOT NULL").withColumn("first", order).join(chosen, ["host", "first"])
-                       .select("host", F.col("html").alias("pattern")).dropDuplicates(["host"]), "patterns")
+                       .groupBy("host").agg(F.min("html").alias("pattern")), "patterns")
+    rows, of_host = _beside(rows.select("host", "html"), patterns, "pattern")
 
     def count(batches):
         kept = _patterns()
         for b in slices(batches, 512):
             seen: Counter = Counter()
-            for host, source, html in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for host, html, (source,) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), of_host(b)):
+                if not html or source is None:
+                    continue
                 pattern = kept[source]
-                if not html or hashlib.blake2b(html.encode("utf-8", "replace"), digest_size=16).digest() == pattern.mark:
+                if hashlib.blake2b(html.encode("utf-8", "replace"), digest_size=16).digest() == pattern.mark:
                     continue  # the pattern and its copies say nothing about what varies
                 page = Page(html)
                 nodes, texts = page.nodes(), page.texts()
                 for a, c in align(pattern.nodes, nodes):
                     if pattern.own[a]:
-                        seen[host, a, 0] += 1
-                        seen[host, a, 1] += pattern.own[a] == _own(page, nodes[c], texts)
-            keys = [k for k in seen if k[2] == 0]
+                        own = _own(nodes[c], texts)
+                        for i, t in enumerate(pattern.own[a]):
+                            seen[host, a, i, 0] += 1
+                            seen[host, a, i, 1] += t in own
+            keys = [k for k in seen if k[3] == 0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([seen[k] for k in keys], pa.int64()), pa.array([seen[k[0], k[1], 1] for k in keys], pa.int64())],
-                names=["host", "node", "pages", "equal"])
-    counts = (_beside(rows, patterns).select("host", "pattern", "html")
-              .mapInArrow(count, "host string, node int, pages long, equal long"))
-    constant = (counts.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal"))
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()),
+                 pa.array([seen[k] for k in keys], pa.int64()), pa.array([seen[*k[:3], 1] for k in keys], pa.int64())],
+                names=["host", "node", "nth", "pages", "equal"])
+    counts = rows.mapInArrow(count, "host string, node int, nth int, pages long, equal long")
+    constant = (counts.groupBy("host", "node", "nth").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal"))
                 .where((F.col("pages") >= LEAST_PAGES) & (F.col("equal") >= CONSTANT * F.col("pages")))
-                .groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("constant")))
+                .groupBy("host").agg(F.array_sort(F.collect_list(F.struct("node", "nth"))).alias("constant")))
     return written(patterns.join(constant, "host", "left")
-                   .select("host", "pattern", F.coalesce("constant", F.array().cast("array<int>")).alias("constant")), "wrappers")
+                   .select("host", "pattern", F.coalesce("constant", F.array().cast("array<struct<node:int,nth:int>>")).alias("constant")), "wrappers")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -354,22 +394,30 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
     """``id, url, text, n_chars`` of every row of ``pages``."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"),
                         host_of(F.col(url_col)).alias("host"))
-    rows = _beside(rows, wrappers, "left").select("id", "url", "html", "pattern", "constant")
+    rows, of_host = _beside(rows, wrappers, "pattern", "constant", how="left")
 
     def run(batches):
         kept = _patterns()
         for b in slices(batches):
             texts = []
-            for html, source, constant in zip(text_of(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            for html, (source, constant) in zip(text_of(b.column(2)), of_host(b)):
                 page = Page(html)
-                drop = set()
-                if constant:
-                    nodes, drop_nodes = page.nodes(), set(constant)
-                    pattern, own = kept[source], page.texts()
-                    for a, c in align(pattern.nodes, nodes):
-                        if a in drop_nodes and pattern.own[a] == _own(page, nodes[c], own):
-                            drop.update(nodes[c][2])
-                texts.append((drop and page.main_text(drop)) or page.main_text())
+                texts.append(page.main_text(template(page, kept[source], constant)) if constant else page.main_text())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long")
+
+
+def template(page: Page, pattern: _Pattern, constant: list) -> set[int]:
+    """The elements of a page whose texts are template."""
+    known: dict[int, list[str]] = {}
+    for c in constant:
+        node, nth = (c["node"], c["nth"]) if isinstance(c, dict) else c
+        known.setdefault(node, []).append(pattern.own[node][nth])
+    nodes, texts, out = page.nodes(), page.texts(), set()
+    for a, c in align(pattern.nodes, nodes):
+        if a in known:
+            own = _own(nodes[c], texts)
+            for t in known[a]:
+                out.update(own.get(t, ()))
+    return out
