@@ -9,7 +9,7 @@ lie below the next step: long documents after the first. A batch of documents
 steps together, as arrays.
 
 1. Documents with equal sets are one node, their smallest id.
-2. ``BANDS`` bands of ``ROWS`` slots each are hashed to buckets. Every node is
+2. Bands of slots (``banding``; 32 of 7 for a threshold of 85 per cent) are hashed to buckets. Every node is
    linked to the smallest node of each of its buckets; the components of these
    unverified links are the candidate groups. A link at the threshold shares a
    bucket with probability 1 - 4e-6, and is then inside one group.
@@ -40,7 +40,19 @@ from pagesift.llm.common import WORD_SPACE, Recent, ascii_lower, drop_written, p
 from pagesift.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 85  # words; per cent
-BANDS, ROWS = 32, 7
+MAX_SLOTS, MISSED = 224, 2e-5  # of a signature; probability that a link at the threshold shares no bucket
+
+
+def banding(threshold: int = THRESHOLD) -> tuple[int, int]:
+    """(bands, rows) of the sharpest banding within ``MAX_SLOTS`` and ``MISSED``: 32 x 7 for 85 per cent, 37 x 6 for 80."""
+    for rows in range(20, 1, -1):
+        bands = MAX_SLOTS // rows
+        if (1 - (threshold / 100)**rows)**bands <= MISSED:
+            return bands, rows
+    raise ValueError("no banding for a threshold this low")
+
+
+BANDS, ROWS = banding()
 SLOTS = BANDS * ROWS
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 17, 1 << 11
 #: Candidate lists up to this many rows (24 bytes each) are broadcast to the scan; longer ones are joined by a shuffle.
@@ -87,27 +99,27 @@ def shingler() -> Shingler:
     return per_worker(("shingler",), Shingler)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """SuperMinHash signatures of sets of 64-bit hashes: one row of ``SLOTS`` offers each."""
-    sig = np.full(len(sets) * SLOTS, _UNSET)
+def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+    """SuperMinHash signatures of sets of 64-bit hashes: one row of as many offers as slots each."""
+    sig = np.full(len(sets) * slots, _UNSET)
     sizes = [len(s) for s in sets]
     items = np.concatenate(sets) if sets else np.zeros(0, _U)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int64) * SLOTS, sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int64) * slots, sizes)
     order = None  # of each item still in play: its permutation so far
-    for step in range(SLOTS):
+    for step in range(slots):
         if step:
-            open_docs = sig.reshape(-1, SLOTS).max(1) >= _U(step) << _STEP_BITS
-            go_on = np.flatnonzero(open_docs[owner // SLOTS])
+            open_docs = sig.reshape(-1, slots).max(1) >= _U(step) << _STEP_BITS
+            go_on = np.flatnonzero(open_docs[owner // slots])
             if not len(go_on):
                 break
             if order is None:
                 items, owner, first = items[go_on], owner[go_on], slot[go_on]
-                order = np.tile(np.arange(SLOTS, dtype=np.uint8 if SLOTS <= 256 else np.uint16), (len(items), 1))
+                order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(items), 1))
                 order[np.arange(len(items)), first] = 0
             elif len(go_on) < len(items):
                 items, owner, order = items[go_on], owner[go_on], order[go_on]
         draw = _mix(items + _U(0x9E3779B97F4A7C15 * (step + 1) % 2**64))
-        at = step + ((draw >> _U(40)) * _U(SLOTS - step) >> _U(24)).astype(np.int64)
+        at = step + ((draw >> _U(40)) * _U(slots - step) >> _U(24)).astype(np.int64)
         if order is None:
             slot = at
         else:
@@ -116,47 +128,47 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             order[rows, at] = order[:, step]
         offer = (_U(step) << _STEP_BITS) | (_mix(draw) >> _U(64 - 48))
         np.minimum.at(sig, owner + slot, offer)
-    return sig.reshape(len(sets), SLOTS)
+    return sig.reshape(len(sets), slots)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit bucket for each band; buckets of different bands never meet but by chance."""
-    rows = sig.reshape(len(sig), BANDS, ROWS)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U) * _U(0xD6E8FEB86659FD93), rows.shape[:2]).copy()
-    for k in range(ROWS):
+    rows = sig.reshape(len(sig), bands, -1)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=_U) * _U(0xD6E8FEB86659FD93), rows.shape[:2]).copy()
+    for k in range(rows.shape[2]):
         h = _mix(h + rows[:, :, k])
     return h
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     """Whether two full sets are alike enough, exactly."""
     small, large = sorted((len(a), len(b)))
-    if not small or 100 * small < THRESHOLD * large:
+    if not small or 100 * small < threshold * large:
         return False
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= THRESHOLD * (len(a) + len(b) - common)
+    return 100 * common >= threshold * (len(a) + len(b) - common)
 
 
-def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def forest(ids: list[int], sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """A spanning forest of the true links between the given sets, as pairs of ids."""
     n = len(ids)
     root, out = np.arange(n), []  # of each set: the component it is in so far
     if n > 24:
         # pairs that can be links by size and, but for five standard errors, by signature
-        share = THRESHOLD / 100
+        share = threshold / 100
         least = (share - 5 * math.sqrt(share * (1 - share) / SLOTS)) * SLOTS
         sig = np.concatenate([signatures(sets[i:i + 64]) for i in range(0, n, 64)]).astype(np.uint16)  # low bits tell slots apart
         size = np.array([len(s) for s in sets])
     for i in range(1, n):
         near = np.arange(i)
         if n > 24:
-            near = np.flatnonzero(100 * np.minimum(size[:i], size[i]) >= THRESHOLD * np.maximum(size[:i], size[i]))
+            near = np.flatnonzero(100 * np.minimum(size[:i], size[i]) >= threshold * np.maximum(size[:i], size[i]))
             equal = np.count_nonzero(sig[near] == sig[i], axis=1)
             near, equal = near[equal >= least], equal[equal >= least]
             near = near[np.argsort(-equal, kind="stable")]  # likeliest first
         while len(near):
             j, near = near[0], near[1:]
-            if linked(sets[i], sets[j]):
+            if linked(sets[i], sets[j], threshold):
                 if ids[i] != ids[j]:
                     out.append((ids[i], ids[j]))
                 root[root == root[j]] = root[i]
@@ -164,13 +176,15 @@ def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``id, n_shingles, content, bands`` of every row; ``content`` tells different sets apart and is null for empty ones."""
+    bands, rows = banding(threshold)
+
     def run(batches):
         cut = shingler()
         for b in slices(batches, 64):
             sets = [cut(t) for t in text_of(b.column(1))]
-            keys = band_keys(signatures(sets)).view(np.int64)
+            keys = band_keys(signatures(sets, bands * rows), bands).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
@@ -199,7 +213,7 @@ def _tiles(groups: DataFrame) -> DataFrame:
                                                F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "blocks")
 
 
-def _links(docs: DataFrame, tiles: DataFrame, few: bool) -> DataFrame:
+def _links(docs: DataFrame, tiles: DataFrame, few: bool, threshold: int = THRESHOLD) -> DataFrame:
     """``a, b``: spanning forests of the true links within the tiles of ``tiles`` (``id, label, block, blocks``)."""
     def sets(batches):
         cut = shingler()
@@ -210,7 +224,7 @@ def _links(docs: DataFrame, tiles: DataFrame, few: bool) -> DataFrame:
 
     def forests(batches):
         def pack(now):
-            links = forest([i for i, _ in now], [np.frombuffer(s, _U) for _, s in now]) if len(now) > 1 else []
+            links = forest([i for i, _ in now], [np.frombuffer(s, _U) for _, s in now], threshold) if len(now) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
         at, now = None, []
         for b in batches:
@@ -233,16 +247,16 @@ def _links(docs: DataFrame, tiles: DataFrame, few: bool) -> DataFrame:
             .mapInArrow(forests, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``id, n_shingles, component, kept`` for every row of ``docs``: the smallest id that links
-    of the given likeness reach, and whether that is the row's own (also true without an id)."""
+    of a likeness of ``threshold`` per cent or more reach, and whether that is the row's own (also true without an id)."""
     docs = _texts(docs, id_col, text_col)
-    rows = written(features(docs, "id", "text"), "features")
+    rows = written(features(docs, "id", "text", threshold), "features")
     nodes = written(rows.where("content IS NOT NULL AND id IS NOT NULL").groupBy("content")
                     .agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "nodes")
     groups = written(_candidate_groups(nodes).join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node"), "groups")
     tiles = _tiles(groups)
-    found = components(_links(docs, tiles, groups.count() <= BROADCAST_ROWS))
+    found = components(_links(docs, tiles, groups.count() <= BROADCAST_ROWS, threshold))
     # rows that repeat an id with different texts are one document: a link between their nodes
     repeated = (rows.where("id IS NOT NULL AND content IS NOT NULL").groupBy("id")
                 .agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select("id"))
@@ -256,12 +270,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "n_shingles", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, of one document of each component: the one with
     the smallest id. Of rows that repeat its id those stay whose texts have different words (they
     are one document); of rows equal in that, the one whose columns come first in order.
     Rows without id all stay."""
-    found = written(near_duplicates(docs, id_col, text_col).select("id", "kept"), "kept")
+    found = written(near_duplicates(docs, id_col, text_col, threshold).select("id", "kept"), "kept")
     # columns are named through their tables: the documents may have an "id" of their own
     dropped = found.where("NOT kept").select("id").distinct()
     out = docs.join(dropped, docs[id_col].cast("long") == dropped["id"], "left_anti")

@@ -112,6 +112,31 @@ def test_repeated_ids_keep_what_resembles_nothing(spark):
     assert sorted(r.n for r in kept) == [2, 3, 5, 7, 8, 9]
 
 
+def test_banding_is_as_sharp_as_the_bound_allows():
+    assert neardup.banding(85) == (32, 7) and neardup.banding(80) == (37, 6)
+    for t in (70, 80, 85, 90, 95):
+        bands, rows = neardup.banding(t)
+        assert bands * rows <= 224 and (1 - (t / 100)**rows)**bands <= 2e-5
+
+
+def test_threshold_is_a_parameter(spark):
+    def text(k):  # 100 words; the last k are replaced, so 96 - k of 96 + k shingles are common
+        return " ".join([f"w{i}" for i in range(100 - k)] + [f"other{k}x{i}" for i in range(k)])
+    rows = [(k, text(k)) for k in (0, 7, 9, 10, 11, 30)]  # likeness to the first: 86.4, 82.9, 81.1, 79.4, 52.4 per cent
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = {t: {r.id: r.component for r in neardup.near_duplicates(docs, threshold=t).collect()} for t in (80, 85)}
+    sets = {i: naive_shingles(t) for i, t in rows}
+    for t, got in at.items():
+        root = {i: i for i in sets}
+        for _ in sets:
+            for i in sets:
+                for j in sets:
+                    if 100 * len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]):
+                        root[i] = root[j] = min(root[i], root[j])
+        assert got == root
+    assert at[80] != at[85]
+
+
 def test_recall_at_the_threshold():
     """Pairs with a likeness of just 85 per cent share a bucket; fewer than one in a thousand may not."""
     rng = np.random.default_rng(4)
