@@ -24,6 +24,7 @@ from pagesift.functions.embed import kept_memo, share
 
 TERM_BYTES = 256  # longer terms are not broadcast
 MAX_CHARS = 100_000  # characters of a trained embedding
+BATCH_NODES = 512  # nodes whose vectors (7.4 KB each) leave a task at once
 
 
 def nonempty_nodes(page_rows: DataFrame, *keep: str, with_label: bool = False,
@@ -217,7 +218,7 @@ def path_vectors(nodes: DataFrame, shared, params: DataFrame, max_steps: int = C
 
     def run(batches):
         memo = kept_memo(shared, "vectors", lambda e: e.vector)
-        for b in batches:
+        for b in (whole.slice(at, BATCH_NODES) for whole in batches for at in range(0, whole.num_rows, BATCH_NODES)):
             n = b.num_rows
             x = np.zeros((n, max_steps, width))
             x[:, :, 2 * d], x[:, :, 2 * d + 1] = -ml / sl, -mp / sp

@@ -123,7 +123,8 @@ class BodyExtractor:
             self.char_vectors = materialize(V.w2v_char_vectors(self.vocab, self.opts.seed), "char-vectors")
         self.params = materialize(FE.norm_params(nodes, self.opts.max_steps), "params")
         self.term_table = materialize(self._fitted_terms(nodes), "fitted-terms")
-        train = self._vectors(nodes)
+        needed = nodes if self.extra_features else nodes.select("page_id", "pos", "label", "text_len", "punct", "step_tag", "step_class")
+        train = self._vectors(needed).select("page_id", "pos", "label", "features")
         if self.classifier is not None and self.classifier.hasParam("validationIndicatorCol") \
                 and self.classifier.isSet("validationIndicatorCol"):
             train = with_validation_split(train)
