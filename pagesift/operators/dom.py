@@ -15,6 +15,7 @@ from pagesift import config as C
 from pagesift.config import Options
 from pagesift.functions import text as X
 from pagesift.functions.udfs import fold_udf, html_unescape
+from pagesift.session import bounded_batches
 
 _NAME_END = rf"(?=[{C.BLANK}/>])"  # a name ends here; "style-guide" is another element than "style"
 HTML_START_RE = rf"(?i)<html{_NAME_END}{C.ATTRIBUTES}/?>"
@@ -38,6 +39,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     L-05 excluded elements, L-08 gate. Status is 'too_short' below 100
     visible characters, 'no_html' without an html element, else 'ok'.
     """
+    bounded_batches(pages.sparkSession)
     h = F.regexp_replace(F.col("html"), "\n", "")
     h = html_unescape(h)
     h = F.regexp_replace(h, C.DOCTYPE_RE, "")

@@ -53,6 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Lower the rows of an Arrow batch to ``rows`` where the session has Spark's default of 10,000: a row is
+    a whole page here, and a Python worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df, tag: str = "stage"):
     """Cut lineage: write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
