@@ -115,5 +115,5 @@ class Options:
     max_iter: int = 30
     reg_param: float = 1e-4
     tol: float = 1e-6
-    # a bound on the labelled nodes that a fit reads (7.4 KB each, cached); None: all of them
+    # a bound on the labelled nodes that a fit reads (equal ones of a page as one row); None: all of them
     max_train_rows: int | None = None

@@ -203,6 +203,19 @@ def normalisation(params: DataFrame) -> tuple[float, float, float, float]:
     return (r["text_length_mean"] or 0.0, guard(r["text_length_std"]), r["punctuation_nb_mean"] or 0.0, guard(r["punctuation_nb_std"]))
 
 
+def distinct_inputs(nodes: DataFrame, *keys: str) -> DataFrame:
+    """One row for the nodes of a page that agree in label, ``keys``, numbers and path, and so in their model
+    vector: the first of their positions as ``pos``, all of them as ``at``, their number as ``copies``.
+
+    A weighted loss over these rows is that over the nodes (a standardised penalty differs a little: Spark ML's
+    variance of weighted rows depends on how many they are). With page totals for numbers, the paragraphs of one parent are one row. Combined before
+    the shuffle; a group never exceeds a page.
+    """
+    same = ["page_id", "label", *keys, "text_len", "punct", "step_tag", "step_class"]
+    return nodes.groupBy(*same).agg(F.sort_array(F.collect_list("pos")).alias("at")).withColumns(
+        {"pos": F.col("at")[0], "copies": F.size("at")})
+
+
 def path_vectors(nodes: DataFrame, shared, params: DataFrame, max_steps: int = C.MAX_STEPS) -> DataFrame:
     """E-02/E-03/E-10/S-14/S-15: the normalised 15 x 62 input ``x`` of every node, flattened.
 

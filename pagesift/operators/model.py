@@ -35,20 +35,30 @@ def with_features(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("features", array_to_vector("x")).drop("x")
 
 
+def weighs_rows(classifier=None) -> bool:
+    """Whether a fit of ``classifier`` heeds the weight column, so that equal rows may come as one."""
+    return classifier is None or bool(classifier.hasParam("weightCol") and classifier.isSet("weightCol")
+                                      and classifier.getOrDefault("weightCol") == "w")
+
+
 def fit(train: DataFrame, opts: Options = Options(), classifier=None):
-    """T-01/T-03: fit on rows with ``features`` and ``label``; returns (model, pos_weight)."""
+    """T-01/T-03: fit on rows with ``features`` and ``label``; returns (model, pos_weight). A row counts
+    ``copies`` times where it has that column.
+
+    ``train`` should be a written table, not a cached one: the classifier keeps its own blocks of it."""
     if isinstance(classifier, ExternalModel):
         return classifier.fit(train), 1.0
-    c = train.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
+    copies = F.col("copies") if "copies" in train.columns else F.lit(1)
+    c = train.agg(F.sum(F.col("label") * copies).alias("p"), F.coalesce(F.sum(copies), F.lit(0)).alias("n")).first()
     pos, neg = int(c["p"] or 0), int(c["n"] - (c["p"] or 0))
     den = pos if opts.pos_weight == "ratio" else pos + neg
     pw_val = (neg / den) if den else 1.0
     clf = classifier or default_classifier(opts)
     if opts.max_train_rows and c["n"] > opts.max_train_rows:
-        # the same rows each time: those with the smallest hash
+        # the same rows each time: those with the smallest hash; equal ones go or stay together
         share = opts.max_train_rows / c["n"]
         train = train.filter(F.conv(F.substring(FO.fold_hash(opts.seed + 2, "page_id", "pos"), 1, 7), 16, 10).cast("double") < share * 0x10000000)
-    model = clf.fit(train.withColumn("w", FO.weight_col(F.col("label"), F.lit(pw_val))))
+    model = clf.fit(train.withColumn("w", copies * FO.weight_col(F.col("label"), F.lit(pw_val))))
     return model, pw_val
 
 
@@ -66,14 +76,16 @@ def fold_predictions(folded: DataFrame, opts: Options = Options(), classifier=No
     pos_weight), ``fold`` being the fold that the model was not fitted on.
 
     The loop is over the folds' fits; nothing of the rows comes to the driver.
-    ``folded`` (``features``, ``label``, ``fold``) should be persisted by the
-    caller since every fit reads it several times.
+    ``folded`` (``features``, ``label``, ``fold``) should be a written table,
+    since every fit reads it several times. Its rows may be those of
+    ``features.distinct_inputs``: each is scored once for all its positions.
     """
+    pos = F.explode("at").alias("pos") if "at" in folded.columns else F.col("pos")
     out = None
     for k in range(opts.n_folds):
         model, pw = fit(folded.filter(F.col("fold") != k), opts, classifier)
         part = score(model, folded.withColumnRenamed("fold", "own_fold"), pw).select(
-            "page_id", "pos", "label", "own_fold", F.lit(k).alias("fold"), (F.col("own_fold") == k).alias("held_out"),
+            "page_id", pos, "label", "own_fold", F.lit(k).alias("fold"), (F.col("own_fold") == k).alias("held_out"),
             "prob", "pred", F.lit(float(pw)).alias("pos_weight"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -83,12 +83,15 @@ class BodyExtractor:
             self._embedding = (table, FE.embedding(self._spark(), table, FE.trained_characters(chars), self.opts))
         return self._embedding[1]
 
-    def _vectors(self, nodes: DataFrame) -> DataFrame:
+    def _path_inputs(self, nodes: DataFrame) -> DataFrame:
         vec = FE.path_vectors(nodes, self._shared(), self.params, self.opts.max_steps)
         if self.extra_features:
             extra = F.array(*[make().cast("double").alias(name) for name, make in self.extra_features])
             vec = vec.withColumn("x", F.concat("x", extra))
-        return MD.with_features(vec)
+        return vec
+
+    def _vectors(self, nodes: DataFrame) -> DataFrame:
+        return MD.with_features(self._path_inputs(nodes))
 
     def _fitted_terms(self, nodes: DataFrame) -> DataFrame:
         """Step-normalised vectors of the fitted vocabulary, end-tag terms, the empty class and
@@ -115,22 +118,26 @@ class BodyExtractor:
 
     def fit_rows(self, rows: DataFrame, pages: DataFrame) -> "BodyExtractor":
         """Fit on labelled page rows; the vocabulary is that of ``pages``."""
-        from pyspark import StorageLevel
-        nodes = materialize(FE.apply_scope(FE.nonempty_nodes(rows, with_label=True, max_steps=self.opts.max_steps),
-                                           self.opts), "fit-nodes")
+        nodes = FE.apply_scope(FE.nonempty_nodes(rows, with_label=True, max_steps=self.opts.max_steps), self.opts)
+        if not self.extra_features:  # a feature hook may ask for any column
+            nodes = nodes.select("page_id", "pos", "label", "depth", "text_len", "punct", "step_tag", "step_class")
+        nodes = materialize(nodes, "fit-nodes")
         self.vocab = materialize(V.vocab_terms(pages), "vocab")
         if self.opts.embedding == "w2v":
             self.char_vectors = materialize(V.w2v_char_vectors(self.vocab, self.opts.seed), "char-vectors")
         self.params = materialize(FE.norm_params(nodes, self.opts.max_steps), "params")
         self.term_table = materialize(self._fitted_terms(nodes), "fitted-terms")
-        needed = nodes if self.extra_features else nodes.select("page_id", "pos", "label", "text_len", "punct", "step_tag", "step_class")
-        train = self._vectors(needed).select("page_id", "pos", "label", "features")
+        if isinstance(self.classifier, MD.ExternalModel):
+            self.model, self.pos_weight = MD.fit(nodes, self.opts, self.classifier)
+            return self
+        alike = not self.extra_features and MD.weighs_rows(self.classifier)
+        vectors = self._path_inputs(FE.distinct_inputs(nodes).drop("at") if alike else nodes)
+        # written, not cached: the numbers of a vector are few, and the classifier caches blocks of its own
+        train = MD.with_features(materialize(vectors.select("page_id", "pos", "label", *(["copies"] if alike else []), "x"), "fit-vectors"))
         if self.classifier is not None and self.classifier.hasParam("validationIndicatorCol") \
                 and self.classifier.isSet("validationIndicatorCol"):
             train = with_validation_split(train)
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
         self.model, self.pos_weight = MD.fit(train, self.opts, self.classifier)
-        train.unpersist()
         return self
 
     def scored_rows(self, rows: DataFrame, *keep: str) -> DataFrame | None:

@@ -3,9 +3,9 @@ and page bodies (E-08, T-02, T-06, T-07).
 
 Plan: narrow clean/fold -> gold join per page (hot documents salted) ->
 labels in the page row -> non-empty node rows -> stratified folds (bucket
-repartition, one written table) -> term vectors written once, broadcast as
-count-checked maps (shuffle joins beyond the bound) -> persisted training
-matrix -> Spark ML fits -> scores -> length rules -> one group per page.
+repartition, one written table) -> term vectors written once, the most used
+broadcast -> written training matrix, equal rows of a page as one with their
+number -> Spark ML fits -> scores and bodies in the page row.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pagesift.config import Options
 from pagesift.operators import bodies as B
 from pagesift.operators import features as FE
 from pagesift.operators import folds as FO
+from pagesift.operators import metrics as M
 from pagesift.operators import model as MD
 from pagesift.operators import vocab as V
 from pagesift.plans import queries as Q
@@ -26,8 +27,9 @@ from pagesift.sources.io import spread
 OPTS = Options()
 
 
-def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS) -> tuple[DataFrame, DataFrame]:
-    """Model vectors of ``nodes`` (needs step_tag/step_class) and the norm parameters.
+def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Model vectors of ``nodes`` (needs step_tag/step_class), or of the rows ``of`` made from them, and the
+    norm parameters of ``nodes``.
 
     The used terms, embedded once, are written with their uses; those used most
     are broadcast, and the vectors are a narrow projection over the nodes.
@@ -37,27 +39,33 @@ def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS) -> tup
         chars = FE.trained_characters(V.w2v_char_vectors(materialize(V.vocab_terms(pages), "vocab"), opts.seed))
     table = materialize(FE.embedded(FE.term_uses(nodes), chars), "term-vectors")
     params = materialize(FE.norm_params(nodes, opts.max_steps), "params")
-    return FE.path_vectors(nodes, FE.embedding(nodes.sparkSession, table, chars, opts), params, opts.max_steps), params
+    return FE.path_vectors(nodes if of is None else of, FE.embedding(nodes.sparkSession, table, chars, opts), params, opts.max_steps), params
 
 
 def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataFrame:
-    """E-08: labelled non-empty nodes with folds and ``features`` (read once per fold and pass); the caller
-    unpersists it."""
+    """E-08: labelled non-empty nodes with folds and ``features``, written once (a vector's few distinct numbers
+    make small pages of the file)."""
+    folded = _folded(spark, sf, opts)
+    vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
+    return MD.with_features(materialize(vec, "matrix"))
+
+
+def _folded(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    from pyspark import StorageLevel
     nodes = FE.apply_scope(Q.labelled_nodes(spark, sf), opts)
-    folded = spread(FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts))  # written once inside
-    vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
-    # narrow over parquet: cached for the passes of the fits,
-    # recomputed from the written tables if an executor is lost
-    return MD.with_features(vec).persist(StorageLevel.MEMORY_AND_DISK)
+    return spread(FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts))  # written once inside
+
+
+def _fold_predictions(spark: SparkSession, sf: str, opts: Options) -> tuple[DataFrame, DataFrame]:
+    """Every labelled node as each fold's model sees it, and the nodes with their folds: fitted and scored on
+    the distinct rows of ``training_matrix``, about half as many as nodes."""
+    folded = _folded(spark, sf, opts)
+    vec, _ = vectors_for(folded, Q._pages(spark, sf), opts, FE.distinct_inputs(folded, "fold"))
+    return MD.fold_predictions(MD.with_features(materialize(vec, "matrix")), opts), folded
 
 
 def _cross_validated(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
-    matrix = training_matrix(spark, sf, opts)
-    report = materialize(MD.cross_validate(matrix, opts), "cv")
-    matrix.unpersist()
-    return report
+    return M.fold_report(_fold_predictions(spark, sf, opts)[0])
 
 
 def cv_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,11 +102,9 @@ def scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
 def out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     """T-06: every labelled node with the probability and decisions of the model that has not seen its page."""
     opts = Options(fold_group="page_id")
-    matrix = training_matrix(spark, sf, opts)
-    seen = MD.fold_predictions(matrix, opts).filter("held_out").join(matrix.select("page_id", "pos", "content"), ["page_id", "pos"])
-    out = materialize(B.apply_rules(seen).select("page_id", "pos", "label", "fold", F.round("prob", 6).alias("prob"), "pred", "accept", "content"), "oof")
-    matrix.unpersist()
-    return out
+    seen, nodes = _fold_predictions(spark, sf, opts)
+    seen = seen.filter("held_out").join(nodes.select("page_id", "pos", "content"), ["page_id", "pos"])
+    return B.apply_rules(seen).select("page_id", "pos", "label", "fold", F.round("prob", 6).alias("prob"), "pred", "accept", "content")
 
 
 def extracted_bodies(spark: SparkSession, sf: str) -> DataFrame:

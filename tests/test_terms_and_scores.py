@@ -254,3 +254,25 @@ def test_null_keys_do_not_meet_one_task(spark):
     small = spark.createDataFrame([(k, f"v{k}") for k in range(4)], "k long, v string")
     rows = salted_join(big, small, "k", hot_keys(big, "k", 10**9), "id", how="left").collect()
     assert len(rows) == 300 and all((r.v is None) == (r.k is None or r.k == 4) for r in rows)
+
+
+def test_equal_rows_of_a_page_fit_as_one(spark):
+    folded = P._folded(spark, SF, P.OPTS)
+    alike = FE.distinct_inputs(folded, "fold")
+    assert alike.count() < folded.count() == alike.agg(F.sum("copies")).first()[0]
+    assert alike.select("page_id", F.explode("at").alias("pos")).exceptAll(folded.select("page_id", "pos")).count() == 0
+    each, _ = P.vectors_for(folded, Q._pages(spark, SF))
+    one, _ = P.vectors_for(folded, Q._pages(spark, SF), P.OPTS, alike)
+    # every node's own vector, label and fold are those of the row that stands for it
+    x = {(r.page_id, r.pos): (r.label, r.fold, r.x) for r in each.collect()}
+    rows = one.collect()
+    assert {(r.page_id, p): (r.label, r.fold, r.x) for r in rows for p in r.at} == x and all(r.copies == len(r.at) for r in rows)
+    (a, wa), (b, wb) = (MD.fit(MD.with_features(v)) for v in (each, one))
+    probs = [{(r.page_id, r.pos): r.prob for r in MD.score(m, MD.with_features(each)).collect()} for m in (a, b)]
+    assert wa == wb and statistics.fmean(abs(probs[0][k] - probs[1][k]) for k in x) < 0.01
+
+
+def test_classifiers_without_the_weight_column_get_every_row(spark):
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    assert MD.weighs_rows() and MD.weighs_rows(LogisticRegression(weightCol="w"))
+    assert not MD.weighs_rows(LogisticRegression()) and not MD.weighs_rows(MultilayerPerceptronClassifier())
