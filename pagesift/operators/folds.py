@@ -37,7 +37,8 @@ def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"
     k = opts.n_folds
     if opts.fold_group:
         df = materialize(df, "grouped")  # read for the groups' counts and again for the folds
-        return df.join(group_folds(df, label, opts).select(opts.fold_group, "fold"), opts.fold_group)
+        # written, since a fit reads the folds several times and the join would move all rows each time
+        return materialize(df.join(group_folds(df, label, opts).select(opts.fold_group, "fold"), opts.fold_group), "folds")
     spark = df.sparkSession
     n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     h = fold_hash(opts.seed, *keys)

@@ -21,8 +21,9 @@ CLASS_ATTR_RE = (rf"(?i)^<{C.TAG_NAME}(?:(?!class[{C.BLANK}]*+=)(?:[{C.BLANK}]++
 
 
 def class_value(tag_text):
-    """Value of the class attribute of a raw start tag ('' when absent)."""
-    return F.concat(*[F.regexp_extract(tag_text, CLASS_ATTR_RE, g) for g in (1, 2, 3)])
+    """Value of the class attribute of a raw start tag ('' when absent). Tags without the word are not searched three times."""
+    found = F.concat(*[F.regexp_extract(tag_text, CLASS_ATTR_RE, g) for g in (1, 2, 3)])
+    return F.when(tag_text.isNull() | F.lower(tag_text).contains("class"), found).otherwise(F.lit(""))
 
 
 def raw_start_tags(pages: DataFrame) -> DataFrame:

@@ -83,15 +83,12 @@ class BodyExtractor:
             self._embedding = (table, FE.embedding(self._spark(), table, FE.trained_characters(chars), self.opts))
         return self._embedding[1]
 
-    def _path_inputs(self, nodes: DataFrame) -> DataFrame:
-        vec = FE.path_vectors(nodes, self._shared(), self.params, self.opts.max_steps)
-        if self.extra_features:
-            extra = F.array(*[make().cast("double").alias(name) for name, make in self.extra_features])
-            vec = vec.withColumn("x", F.concat("x", extra))
-        return vec
-
     def _vectors(self, nodes: DataFrame) -> DataFrame:
-        return MD.with_features(self._path_inputs(nodes))
+        if not self.extra_features:
+            return FE.path_features(nodes, self._shared(), self.params, self.opts.max_steps)
+        vec = FE.path_vectors(nodes, self._shared(), self.params, self.opts.max_steps)
+        extra = F.array(*[make().cast("double").alias(name) for name, make in self.extra_features])
+        return MD.with_features(vec.withColumn("x", F.concat("x", extra)))
 
     def _fitted_terms(self, nodes: DataFrame) -> DataFrame:
         """Step-normalised vectors of the fitted vocabulary, end-tag terms, the empty class and
@@ -131,9 +128,9 @@ class BodyExtractor:
             self.model, self.pos_weight = MD.fit(nodes, self.opts, self.classifier)
             return self
         alike = not self.extra_features and MD.weighs_rows(self.classifier)
-        vectors = self._path_inputs(FE.distinct_inputs(nodes).drop("at") if alike else nodes)
-        # written, not cached: the numbers of a vector are few, and the classifier caches blocks of its own
-        train = MD.with_features(materialize(vectors.select("page_id", "pos", "label", *(["copies"] if alike else []), "x"), "fit-vectors"))
+        vectors = self._vectors(FE.distinct_inputs(nodes).drop("at") if alike else nodes)
+        # written, not cached: the classifier caches blocks of its own
+        train = materialize(vectors.select("page_id", "pos", "label", *(["copies"] if alike else []), "features"), "fit-vectors")
         if self.classifier is not None and self.classifier.hasParam("validationIndicatorCol") \
                 and self.classifier.isSet("validationIndicatorCol"):
             train = with_validation_split(train)

@@ -27,9 +27,10 @@ from pagesift.sources.io import spread
 OPTS = Options()
 
 
-def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS, of: DataFrame | None = None,
+                make=FE.path_vectors) -> tuple[DataFrame, DataFrame]:
     """Model vectors of ``nodes`` (needs step_tag/step_class), or of the rows ``of`` made from them, and the
-    norm parameters of ``nodes``.
+    norm parameters of ``nodes``. ``make``: ``path_vectors`` (``x``) or ``path_features`` (sparse ``features``).
 
     The used terms, embedded once, are written with their uses; those used most
     are broadcast, and the vectors are a narrow projection over the nodes.
@@ -39,33 +40,36 @@ def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS, of: Da
         chars = FE.trained_characters(V.w2v_char_vectors(materialize(V.vocab_terms(pages), "vocab"), opts.seed))
     table = materialize(FE.embedded(FE.term_uses(nodes), chars), "term-vectors")
     params = materialize(FE.norm_params(nodes, opts.max_steps), "params")
-    return FE.path_vectors(nodes if of is None else of, FE.embedding(nodes.sparkSession, table, chars, opts), params, opts.max_steps), params
+    return make(nodes if of is None else of, FE.embedding(nodes.sparkSession, table, chars, opts), params, opts.max_steps), params
 
 
 def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataFrame:
-    """E-08: labelled non-empty nodes with folds and ``features``, written once (a vector's few distinct numbers
-    make small pages of the file)."""
-    folded = _folded(spark, sf, opts)
-    vec, _ = vectors_for(folded, Q._pages(spark, sf), opts)
-    return MD.with_features(materialize(vec, "matrix"))
-
-
-def _folded(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    nodes = FE.apply_scope(Q.labelled_nodes(spark, sf), opts)
+    """E-08: labelled non-empty nodes with folds and ``features``, sparse and written once."""
+    folded = _folded(Q.labelled_nodes(spark, sf), opts)
+    vec, _ = vectors_for(folded, Q._pages(spark, sf), opts, make=FE.path_features)
+    return materialize(vec, "matrix")
+
+
+def _folded(nodes: DataFrame, opts: Options, *columns: str) -> DataFrame:
+    """``nodes`` with their folds; of their columns only ``columns``, if any are named."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    nodes = FE.apply_scope(nodes, opts)
+    if columns:
+        nodes = nodes.select(*columns)
     return spread(FO.stratified_folds(nodes, "label", ("page_id", "pos"), opts))  # written once inside
 
 
-def _fold_predictions(spark: SparkSession, sf: str, opts: Options) -> tuple[DataFrame, DataFrame]:
-    """Every labelled node as each fold's model sees it, and the nodes with their folds: fitted and scored on
-    the distinct rows of ``training_matrix``, about half as many as nodes."""
-    folded = _folded(spark, sf, opts)
-    vec, _ = vectors_for(folded, Q._pages(spark, sf), opts, FE.distinct_inputs(folded, "fold"))
-    return MD.fold_predictions(MD.with_features(materialize(vec, "matrix")), opts), folded
+def _fold_predictions(nodes: DataFrame, pages: DataFrame, opts: Options, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Every labelled node as each fold's model sees it, and the nodes with their folds and ``keep``: fitted and
+    scored on the distinct rows of ``training_matrix``, about half as many as nodes. Nodes go through the shuffle
+    of their folds with what the vectors are made of, not with every column."""
+    folded = _folded(nodes, opts, "page_id", "pos", "label", "depth", "text_len", "punct", "step_tag", "step_class", *keep)
+    vec, _ = vectors_for(folded, pages, opts, FE.distinct_inputs(folded, "fold"), FE.path_features)
+    return MD.fold_predictions(materialize(vec, "matrix"), opts), folded
 
 
 def _cross_validated(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
-    return M.fold_report(_fold_predictions(spark, sf, opts)[0])
+    return M.fold_report(_fold_predictions(Q.labelled_nodes(spark, sf), Q._pages(spark, sf), opts)[0])
 
 
 def cv_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,8 +105,11 @@ def scored_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     """T-06: every labelled node with the probability and decisions of the model that has not seen its page."""
-    opts = Options(fold_group="page_id")
-    seen, nodes = _fold_predictions(spark, sf, opts)
+    return _out_of_fold(Q.labelled_nodes(spark, sf), Q._pages(spark, sf))
+
+
+def _out_of_fold(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    seen, nodes = _fold_predictions(nodes, pages, Options(fold_group="page_id"), "content")
     seen = seen.filter("held_out").join(nodes.select("page_id", "pos", "content"), ["page_id", "pos"])
     return B.apply_rules(seen).select("page_id", "pos", "label", "fold", F.round("prob", 6).alias("prob"), "pred", "accept", "content")
 
@@ -123,7 +130,9 @@ def out_of_fold_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """T-07 out of fold: the body of every usable page from a model that has not seen it, i.e. for a page with
     gold that of its fold, for any other the one fitted on all pages with gold."""
     ex, rows = _fitted(spark, sf)
-    return B.assemble(out_of_fold(spark, sf)).unionByName(ex.bodies_of_rows(rows.filter(F.col("label").isNull())))
+    nodes = FE.nonempty_nodes(rows.filter(F.col("label").isNotNull()), with_label=True, max_steps=OPTS.max_steps)  # folded once for both
+    seen = _out_of_fold(nodes, Q._pages(spark, sf))
+    return B.assemble(seen).unionByName(ex.bodies_of_rows(rows.filter(F.col("label").isNull())))
 
 
 def w2v_vectors(spark: SparkSession, sf: str) -> DataFrame:
