@@ -52,3 +52,12 @@ def test_fits_read_sparse_vectors_and_folds_move_few_columns(spark, monkeypatch)
 @pytest.mark.parametrize("tag, value", [("<p>", ""), ("<p CLASS=A>", "A"), ("<p id='class'>", ""), ("<p class='a  b' class=c>", "a  b")])
 def test_class_value(spark, tag, value):
     assert spark.createDataFrame([(tag,)], "t string").select(V.class_value(F.col("t"))).first()[0] == value
+
+
+def test_characters_go_by_runs():
+    import re
+
+    from pagesift import config as C
+    assert re.findall(C.PUNCT_KEEP_RE, "some words. More!") == ["some words", " More"]
+    assert re.findall(C.CONTENT_STRIP_RE, "a \t b") == [" \t "] and re.findall(C.CONTENT_STRIP_KEEP_LATIN1_RE, "a \x85b") == [" \x85"]
+    assert re.sub(C.PUNCT_KEEP_RE, "", "a.b。c？!") == ".。？!"
