@@ -45,12 +45,16 @@ def vectors_for(nodes: DataFrame, pages: DataFrame, opts: Options = OPTS, of: Da
 
 def training_matrix(spark: SparkSession, sf: str, opts: Options = OPTS) -> DataFrame:
     """E-08: labelled non-empty nodes with folds and ``features``, sparse and written once."""
-    folded = _folded(Q.labelled_nodes(spark, sf), opts)
+    folded = _folded(spark, sf, opts)
     vec, _ = vectors_for(folded, Q._pages(spark, sf), opts, make=FE.path_features)
     return materialize(vec, "matrix")
 
 
-def _folded(nodes: DataFrame, opts: Options, *columns: str) -> DataFrame:
+def _folded(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
+    return _with_folds(Q.labelled_nodes(spark, sf), opts)
+
+
+def _with_folds(nodes: DataFrame, opts: Options, *columns: str) -> DataFrame:
     """``nodes`` with their folds; of their columns only ``columns``, if any are named."""
     ensure_checkpoint_dir(nodes.sparkSession)
     nodes = FE.apply_scope(nodes, opts)
@@ -63,7 +67,7 @@ def _fold_predictions(nodes: DataFrame, pages: DataFrame, opts: Options, *keep:
     """Every labelled node as each fold's model sees it, and the nodes with their folds and ``keep``: fitted and
     scored on the distinct rows of ``training_matrix``, about half as many as nodes. Nodes go through the shuffle
     of their folds with what the vectors are made of, not with every column."""
-    folded = _folded(nodes, opts, "page_id", "pos", "label", "depth", "text_len", "punct", "step_tag", "step_class", *keep)
+    folded = _with_folds(nodes, opts, "page_id", "pos", "label", "depth", "text_len", "punct", "step_tag", "step_class", *keep)
     vec, _ = vectors_for(folded, pages, opts, FE.distinct_inputs(folded, "fold"), FE.path_features)
     return MD.fold_predictions(materialize(vec, "matrix"), opts), folded
 
