@@ -33,12 +33,16 @@ def stratified_folds(df: DataFrame, label: str = "label", keys=("page_id", "pos"
     checkpoint folder and read twice (counts, then ranks): both reads see the
     same ids even if AQE coalesces the repartition differently between runs,
     and the upstream pipeline is not run twice.
+
+    Rows without a label (a page whose gold text is null) get no fold and are left out.
     """
     k = opts.n_folds
     if opts.fold_group:
-        df = materialize(df, "grouped")  # read for the groups' counts and again for the folds
-        # written, since a fit reads the folds several times and the join would move all rows each time
-        return materialize(df.join(group_folds(df, label, opts).select(opts.fold_group, "fold"), opts.fold_group), "folds")
+        df = materialize(df.filter(F.col(label).isNotNull()), "grouped")  # read for the groups' counts and again for the folds
+        # merged: paths repeat, so nodes that a broadcast's threshold lets pass by their bytes on disk may not fit the
+        # driver. Written, since a fit reads the folds several times and the join would move all rows each time
+        folds = group_folds(df, label, opts).select(opts.fold_group, "fold")
+        return materialize(df.hint("merge").join(folds, opts.fold_group), "folds")
     spark = df.sparkSession
     n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     h = fold_hash(opts.seed, *keys)

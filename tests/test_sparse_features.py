@@ -49,6 +49,32 @@ def test_fits_read_sparse_vectors_and_folds_move_few_columns(spark, monkeypatch)
     assert folded.filter(F.col("fold").isNull()).count() == 0 and seen.filter("held_out").count() == nodes.count()
 
 
+def test_nodes_are_not_broadcast_for_the_folds_of_their_pages(spark, monkeypatch):
+    plans = {}
+    real = FO.materialize
+
+    def noting(df, tag="stage"):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, tag)
+    monkeypatch.setattr(FO, "materialize", noting)
+    # small on disk, large in memory: a page's nodes have the same path
+    nodes = spark.range(20_000).selectExpr("id div 200 AS page_id", "cast(id % 200 AS int) AS pos", "cast(id % 2 AS int) AS label",
+                                           "array_repeat(repeat('div', 20), 15) AS step_tag")
+    folded = FO.stratified_folds(nodes, opts=Options(fold_group="page_id"))
+    assert "SortMergeJoin [page_id" in plans["folds"] and "BroadcastHashJoin [page_id" not in plans["folds"]
+    assert folded.count() == 20_000 and folded.groupBy("page_id").agg(F.countDistinct("fold").alias("k")).filter("k != 1").count() == 0
+
+
+def test_pages_with_a_null_gold_text_have_no_fold(spark):
+    pages, gold = _pages(spark)
+    gold = gold.withColumn("text", F.when(F.col("doc_id") != 5, F.col("text")))
+    nodes = FE.nonempty_nodes(BodyExtractor().labelled_rows(pages, gold), with_label=True)
+    assert nodes.filter(F.col("label").isNull()).count() > 0
+    seen, _ = P._fold_predictions(nodes, pages, Options(fold_group="page_id", max_iter=3))
+    held = seen.filter("held_out").select("page_id", "pos")
+    assert sorted(held.collect()) == sorted(nodes.filter("page_id != 5").select("page_id", "pos").collect())
+
+
 @pytest.mark.parametrize("tag, value", [("<p>", ""), ("<p CLASS=A>", "A"), ("<p id='class'>", ""), ("<p class='a  b' class=c>", "a  b")])
 def test_class_value(spark, tag, value):
     assert spark.createDataFrame([(tag,)], "t string").select(V.class_value(F.col("t"))).first()[0] == value
